@@ -16,12 +16,11 @@ copies to the pieces of its children.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from millrace.session import cut
+from millrace.session import SharedTables
 
 
 def uuid_key(column: str | Column) -> Column:
@@ -51,11 +50,12 @@ def distinct_nodes(rows: DataFrame, node: str, parent: str, root: str | None = N
     return picked.groupBy("node").agg(F.max("row").alias("row")).select("node", "row.parent", "row.root")
 
 
-def _smaller(a: Column, b: Column, seed: int) -> Column:
-    return F.struct(F.xxhash64(a, F.lit(seed)), a) < F.struct(F.xxhash64(b, F.lit(seed)), b)
+def _smaller(a: Column, b: Column) -> Column:
+    """Fixed random order of ids; with it the rounds of contraction stay logarithmic in the input."""
+    return F.struct(F.xxhash64(a), a) < F.struct(F.xxhash64(b), b)
 
 
-def _round(live: DataFrame, number: int, paths: bool) -> DataFrame:
+def _round(live: DataFrame, paths: bool) -> DataFrame:
     """One compress and rake over the links in ``live``.
 
     Result rows have ``state`` live, raked or compressed.  Raked rows stay one round longer in the
@@ -75,7 +75,7 @@ def _round(live: DataFrame, number: int, paths: bool) -> DataFrame:
         .drop("of", "raked_weight")
     )
     node, parent, only = F.col("node"), F.col("parent"), F.col("only")
-    goes = (F.col("children") == 1) & (node != parent) & (F.col("under_top") | _smaller(node, parent, number)) & _smaller(node, only, number)
+    goes = (F.col("children") == 1) & (node != parent) & (F.col("under_top") | _smaller(node, parent)) & _smaller(node, only)
     seen = seen.withColumn("goes", F.coalesce(goes, F.lit(False)))
     path = [F.concat("via", F.array("node")).alias("add_via")] if paths else []
     handed = seen.where("goes").select(
@@ -112,45 +112,51 @@ def hierarchy(nodes: DataFrame, paths: bool = False) -> DataFrame:
     smallest id on the cycle), on_cycle, descendants (null with a cycle) and, with ``paths``, path:
     ids from the top to the node, null with a cycle.  An empty table gives no rows.
     """
-    nodes = cut(nodes)
+    store = SharedTables(nodes.sparkSession)
+    nodes = store.put("nodes", nodes)
     ids = nodes.select(F.col("node").alias("found"))
     known = nodes.join(ids, nodes.parent == F.col("found"), "left")
     kind = F.when(F.col("parent").isNull(), "root").when(F.col("found").isNull(), "missing").otherwise("link")
-    known = cut(known.select("node", "parent", "root", kind.alias("kind")))
+    known = store.put("known", known.select("node", "parent", "root", kind.alias("kind")))
     tops = known.where("kind <> 'link'").select("node", F.col("kind").alias("top_kind"))
     links = known.where("kind = 'link'")
     top_ids = tops.select(F.col("node").alias("top_id"))
-    empty = [F.array().cast("array<string>").alias("via")] if paths else []
-    live = cut(
-        links.join(top_ids, links.parent == F.col("top_id"), "left").select(
-            "node",
-            "parent",
-            F.lit(1).cast("long").alias("steps"),
-            F.col("node").alias("smallest"),
-            F.lit(1).cast("long").alias("weight"),
-            F.lit(0).cast("long").alias("on_link"),
-            F.col("top_id").isNotNull().alias("under_top"),
-            F.lit("live").alias("state"),
-            *empty,
-        )
+    live = links.join(top_ids, links.parent == F.col("top_id"), "left").select(
+        "node",
+        "parent",
+        F.lit(1).cast("long").alias("steps"),
+        F.col("node").alias("smallest"),
+        F.lit(1).cast("long").alias("weight"),
+        F.lit(0).cast("long").alias("on_link"),
+        F.col("top_id").isNotNull().alias("under_top"),
+        F.lit("live").alias("state"),
+        *([F.array().cast("array<string>").alias("via")] if paths else []),
+        F.lit(None).cast("string").alias("only"),
+        F.lit(None).cast("long").alias("on_child_link"),
     )
-    rounds: list[DataFrame] = []
+    live = store.put("round-0", live)
+    schema, rounds = live.schema, 0
     while not live.where("state = 'live' and node <> parent").isEmpty():
-        done = cut(_round(live, len(rounds) + 1, paths))
-        rounds.append(done)
-        live = done.where("state <> 'compressed'").drop("only", "on_child_link")
-    return _expand(known, tops, live, rounds, paths)
-
-
-def _expand(known: DataFrame, tops: DataFrame, last: DataFrame, rounds: list[DataFrame], paths: bool) -> DataFrame:
-    base_path = [F.array("node").alias("path")] if paths else []
-    core_path = [F.lit(None).cast("array<string>").alias("path")] if paths else []
-    raked_on_top = [r.where("state = 'raked' and under_top").select(F.col("parent").alias("t"), (F.col("weight") + F.col("on_link")).alias("w")) for r in rounds]
-    sizes = tops.withColumn("size", F.lit(1).cast("long"))
-    if raked_on_top:
-        added = reduce(DataFrame.unionByName, raked_on_top).groupBy("t").agg(F.sum("w").alias("w"))
-        sizes = tops.join(added, tops.node == F.col("t"), "left").select("node", "top_kind", (1 + F.coalesce("w", F.lit(0))).alias("size"))
-    start = sizes.select("node", F.col("node").alias("top"), F.lit(0).cast("long").alias("depth"), "top_kind", F.lit(False).alias("on_cycle"), "size", *base_path)
+        rounds += 1
+        live = store.put(f"round-{rounds}", _round(live.where("state <> 'compressed'").drop("only", "on_child_link"), paths))
+    return _expand(store, known, tops, rounds, schema, paths)
+
+
+def _expand(store: SharedTables, known: DataFrame, tops: DataFrame, rounds: int, schema: StructType, paths: bool) -> DataFrame:
+    """Run the records backwards: tops and cores first, then the nodes removed last, and so on."""
+    via = ["via"] if paths else []
+    every = store.get(schema, *(f"round-{i}" for i in range(rounds + 1)))
+    raked_on_top = every.where("state = 'raked' and under_top").groupBy(F.col("parent").alias("t")).agg(F.sum(F.col("weight") + F.col("on_link")).alias("w"))
+    start = tops.join(raked_on_top, tops.node == F.col("t"), "left").select(
+        "node",
+        F.col("node").alias("top"),
+        F.lit(0).cast("long").alias("depth"),
+        "top_kind",
+        F.lit(False).alias("on_cycle"),
+        (1 + F.coalesce("w", F.lit(0))).alias("size"),
+        *([F.array("node").alias("path")] if paths else []),
+    )
+    last = store.get(schema, f"round-{rounds}")
     cores = last.where("state = 'live'").select(
         "node",
         F.col("smallest").alias("top"),
@@ -158,36 +164,41 @@ def _expand(known: DataFrame, tops: DataFrame, last: DataFrame, rounds: list[Dat
         F.lit("cycle").alias("top_kind"),
         F.lit(True).alias("on_cycle"),
         F.lit(None).cast("long").alias("size"),
-        *core_path,
+        *([F.lit(None).cast("array<string>").alias("path")] if paths else []),
     )
-    resolved = [cut(start.unionByName(cores))]
-    for done in reversed(rounds):
-        so_far = reduce(DataFrame.unionByName, resolved)
+    resolved = store.put("resolved-0", start.unionByName(cores)).schema
+    for step in range(1, rounds + 1):
+        done = store.get(schema, f"round-{rounds + 1 - step}")
+        so_far = store.get(resolved, *(f"resolved-{i}" for i in range(step)))
         up = so_far.select(F.col("node").alias("ref"), "top", F.col("depth").alias("ref_depth"), "top_kind", *([F.col("path").alias("ref_path")] if paths else []))
         hung = done.where("state <> 'live'").join(up, F.col("parent") == F.col("ref"))
-        path = [F.when(F.col("top_kind") != "cycle", F.concat("ref_path", "via", F.array("node"))).alias("path")] if paths else []
         own = hung.select(
-            "node", "top", (F.col("ref_depth") + F.col("steps")).alias("depth"), "top_kind", "state", "only", "weight", "on_child_link", *path
+            "node",
+            "top",
+            (F.col("ref_depth") + F.col("steps")).alias("depth"),
+            "top_kind",
+            "state",
+            "only",
+            "weight",
+            "on_child_link",
+            *([F.when(F.col("top_kind") != "cycle", F.concat("ref_path", *via, F.array("node"))).alias("path")] if paths else []),
         )
+        # A compressed node learns its size, and whether it lies on a cycle, from the child that took its link.
         raked = done.where("state = 'raked'").select(F.col("node").alias("owner"), F.lit(False).alias("owner_on_cycle"), F.col("weight").alias("owner_size"))
         owners = so_far.select(F.col("node").alias("owner"), F.col("on_cycle").alias("owner_on_cycle"), F.col("size").alias("owner_size")).unionByName(raked)
-        needs = F.when(F.col("state") == "compressed", F.col("only"))
-        both = own.join(owners, needs == F.col("owner"), "left")
+        both = own.join(owners, F.when(F.col("state") == "compressed", F.col("only")) == F.col("owner"), "left")
         size = F.when(F.col("state") == "raked", F.col("weight")).otherwise(F.col("weight") + F.col("on_child_link") + F.col("owner_size"))
-        resolved.append(
-            cut(
-                both.select(
-                    "node",
-                    "top",
-                    "depth",
-                    "top_kind",
-                    F.coalesce("owner_on_cycle", F.lit(False)).alias("on_cycle"),
-                    F.when(F.col("top_kind") != "cycle", size).alias("size"),
-                    *(["path"] if paths else []),
-                )
-            )
+        resolved_here = both.select(
+            "node",
+            "top",
+            "depth",
+            "top_kind",
+            F.coalesce("owner_on_cycle", F.lit(False)).alias("on_cycle"),
+            F.when(F.col("top_kind") != "cycle", size).alias("size"),
+            *(["path"] if paths else []),
         )
-    everything = reduce(DataFrame.unionByName, resolved).withColumnRenamed("node", "id")
+        store.put(f"resolved-{step}", resolved_here)
+    everything = store.get(resolved, *(f"resolved-{i}" for i in range(rounds + 1))).withColumnRenamed("node", "id")
     joined = known.join(everything, known.node == F.col("id"), "inner")
     return joined.select(
         "node", "parent", "root", "top", "depth", "top_kind", "on_cycle", (F.col("size") - 1).alias("descendants"), *(["path"] if paths else [])

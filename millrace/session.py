@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def local_session(cores: int | str = 8, **conf: str) -> SparkSession:
@@ -36,6 +38,30 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="millrace-checkpoint-"))
 
 
+class SharedTables:
+    """Intermediate tables in the shared checkpoint folder, deleted when the application ends.
+
+    A written table cuts lineage like a checkpoint, but is columnar, and any number of them is read
+    back as one scan, so that the plans of an iterative operator stay the same size in every round.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        ensure_checkpoint_dir(spark)
+        self.spark = spark
+        self.folder = f"{spark.sparkContext.getCheckpointDir()}/tables-{uuid.uuid4().hex}"
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+
+    def put(self, name: str, frame: DataFrame) -> DataFrame:
+        frame.write.parquet(f"{self.folder}/{name}")
+        return self.get(frame.schema, name)
+
+    def get(self, schema: StructType, *names: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*(f"{self.folder}/{name}" for name in names))
+
+
 def cut(frame: DataFrame) -> DataFrame:
     """Materialise ``frame`` in the shared checkpoint folder and drop its lineage.
 
