@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import personal, token_ids
+from millrace.llm import leakage, personal, token_ids
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -15,6 +15,14 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return token_ids.token_ids(table(spark, folder, "documents"))
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
+def p7_items(spark: SparkSession, folder: str) -> DataFrame:
+    return leakage.leak_report(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return personal.personal_found(table(spark, folder, "documents"))
 
@@ -23,6 +31,6 @@ def p8_redacted(spark: SparkSession, folder: str) -> DataFrame:
     return personal.redacted(table(spark, folder, "documents"))
 
 
-QUERIES = {"p6_ids": p6_ids, "p8_found": p8_found, "p8_redacted": p8_redacted}
+QUERIES = {"p6_ids": p6_ids, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found, "p8_redacted": p8_redacted}
 
 ORACLES: dict[str, str] = {}
