@@ -4,13 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import leakage, personal, token_ids
+from millrace.llm import language, leakage, personal, token_ids
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return language.wrong_labels(table(spark, folder, "documents"), language.model_for(spark, folder))
+
+
+def p4_segments(spark: SparkSession, folder: str) -> DataFrame:
+    return language.segments(table(spark, folder, "documents"), language.model_for(spark, folder))
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return token_ids.token_ids(table(spark, folder, "documents"))
 
@@ -31,6 +39,6 @@ def p8_redacted(spark: SparkSession, folder: str) -> DataFrame:
     return personal.redacted(table(spark, folder, "documents"))
 
 
-QUERIES = {"p6_ids": p6_ids, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found, "p8_redacted": p8_redacted}
+QUERIES = {"p4_found": p4_found, "p4_segments": p4_segments, "p6_ids": p6_ids, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found, "p8_redacted": p8_redacted}
 
 ORACLES: dict[str, str] = {}
