@@ -3,14 +3,24 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from millrace.llm import language, leakage, personal, token_ids
+from millrace.llm import language, leakage, personal, similar, token_ids
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    return similar.similar_pairs(table(spark, folder, "rag_chunks"))
+
+
+def p3_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    near = similar.most_similar(table(spark, folder, "rag_chunks"))
+    return near.select("id", "other", "rank", F.round("similarity", 4).alias("similarity"))
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return language.wrong_labels(table(spark, folder, "documents"), language.model_for(spark, folder))
 
@@ -39,6 +49,6 @@ def p8_redacted(spark: SparkSession, folder: str) -> DataFrame:
     return personal.redacted(table(spark, folder, "documents"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_segments": p4_segments, "p6_ids": p6_ids, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found, "p8_redacted": p8_redacted}
+QUERIES = {"p3_found": p3_found, "p3_neighbours": p3_neighbours, "p4_found": p4_found, "p4_segments": p4_segments, "p6_ids": p6_ids, "p7_found": p7_found, "p7_items": p7_items, "p8_found": p8_found, "p8_redacted": p8_redacted}
 
 ORACLES: dict[str, str] = {}
