@@ -8,8 +8,8 @@ enough entries lie in them, and the entries of the visited cells are reranked by
 Codebooks are fitted on a bounded sample, every vector is indexed.  K grows with the square root of
 the number of vectors, so entries per cell and work per vector stay the same.  Cells are shipped in
 blocks: those of one first centroid together, so that a query that visits several of them travels
-once; a first centroid with more rows than a block may hold is split by second centroid, and a cell
-that holds too many rows is divided again by codebooks fitted on its own part of the sample.  Groups of
+once; small ones share a block with their neighbours, and one with more rows than a block may hold
+is split by second centroid.  A cell that holds too many rows is divided again by codebooks fitted on its own part of the sample.  Groups of
 exact copies are represented by their first ``k + 1`` ids, and the other copies get their result
 from these without meeting each other.
 """
@@ -25,21 +25,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.session import cut
+
 #: Vectors in the sample that the codebooks are fitted on.
 FIT_POINTS = 6_000
 FIT_ROUNDS = 8
-#: Entries a query wants to see, by the sample's estimate, cells it visits at least and at most, and centroids of each half it looks at.
+#: Entries a query wants to see, by the sample's estimate, cells it visits at least and at most, at least in the index of a full cell, and centroids of each half it looks at.
 WANTED = 40
 LEAST_CELLS = 3
 MOST_CELLS = 16
+INNER_CELLS = 8
 LISTED = 6
-#: Rows of one block and of one cell by the sample's estimate; a fuller cell gets an index of its own.
+#: Rows of one block at most, at least and as a share of all, and of one cell, by the sample's estimate; a fuller cell gets an index of its own.
 BLOCK_ROWS = 20_000
-CELL_ROWS = 800
+LEAST_BLOCK = 1_000
+BLOCK_SHARE = 32
+CELL_ROWS = 2_500
 LEAST_SAMPLE = 48
 DEEPEST = 4
-#: Exact copies from which a group is represented by its first ids.
+#: Exact copies from which a group is represented by its first ids, and groups whose first ids are broadcast; more are joined by shuffle.
 MANY_COPIES = 64
+BROADCAST_GROUPS = 10_000
 
 
 @dataclass
@@ -60,19 +66,19 @@ class MultiIndex:
             out.append((book**2).sum(axis=1)[None, :] - 2 * part @ book.T)
         return out[0], out[1]
 
-    def visits(self, points: np.ndarray) -> list[list[tuple[int, int]]]:
+    def visits(self, points: np.ndarray, least: int = LEAST_CELLS) -> list[list[tuple[int, int]]]:
         """(block, number) of the cells of each point in the order of summed distance; its own cell comes first."""
         block, number = self.block.tolist(), self.number.tolist()
-        walks = self.walks(points)
+        walks = self.walks(points, least)
         if not self.inner:
             return [[(block[i][j], number[i][j]) for i, j in walk] for walk in walks]
         deeper: dict[tuple[int, int], dict[int, list[tuple[int, int]]]] = {}
         for cell, index in self.inner.items():
             asking = [at for at, walk in enumerate(walks) if cell in walk]
-            deeper[cell] = dict(zip(asking, index.visits(points[asking]), strict=True)) if asking else {}
+            deeper[cell] = dict(zip(asking, index.visits(points[asking], INNER_CELLS), strict=True)) if asking else {}
         return [[leaf for i, j in walk for leaf in (deeper[i, j][at] if (i, j) in deeper else [(block[i][j], number[i][j])])] for at, walk in enumerate(walks)]
 
-    def walks(self, points: np.ndarray) -> list[list[tuple[int, int]]]:
+    def walks(self, points: np.ndarray, least: int = LEAST_CELLS) -> list[list[tuple[int, int]]]:
         """Centroid pairs of each point in the order of summed distance."""
         one, two = self.distances(points)
         listed = min(LISTED, one.shape[1], two.shape[1])
@@ -84,7 +90,7 @@ class MultiIndex:
             heap = [(d1[0] + d2[0], 0, 0)]
             cells: list[tuple[int, int]] = []
             seen = 0.0
-            while heap and len(cells) < MOST_CELLS and (seen < WANTED or len(cells) < LEAST_CELLS):
+            while heap and len(cells) < MOST_CELLS and (seen < WANTED or len(cells) < least):
                 _, i, j = heapq.heappop(heap)
                 cell = (o1[i], o2[j])
                 cells.append(cell)
@@ -119,37 +125,53 @@ def _codebook(points: np.ndarray, count: int, seed: int) -> np.ndarray:
 
 def fit_index(sample: np.ndarray, total: float) -> MultiIndex:
     """Codebooks of a sample of normalised vectors for ``total`` vectors in all."""
-    index, _, _ = _fit(sample, total, 0, 0, 0)
-    return index
+    most = float(np.clip(total / BLOCK_SHARE, LEAST_BLOCK, BLOCK_ROWS))
+    return _fit(sample, total, _Numbering(most), 0)
+
+
+@dataclass
+class _Numbering:
+    """Numbers of cells and blocks as an index and those of its full cells are laid out."""
+
+    most: float
+    cell: int = 0
+    block: int = 0
+    held: float = 0.0
 
+    def place(self, rows: float) -> int:
+        """Block of the next cell: the same one until it is full."""
+        if self.held and self.held + rows > self.most:
+            self.block, self.held = self.block + 1, 0.0
+        self.held += rows
+        return self.block
 
-def _fit(sample: np.ndarray, total: float, number: int, block: int, depth: int) -> tuple[MultiIndex, int, int]:
-    """An index whose cells and blocks are numbered from ``number`` and ``block`` on, and the next of both."""
+
+def _fit(sample: np.ndarray, total: float, numbering: _Numbering, depth: int) -> MultiIndex:
     half = sample.shape[1] // 2
     count = int(np.clip(round(np.sqrt(max(total, 1)) / 5), 1, min(4096, max(1, len(sample) // 8))))
     first, second = _codebook(sample[:, :half], count, 1), _codebook(sample[:, half:], count, 2)
+    # Centroids in the order of their main direction, so that neighbours come to share a block.
+    first = first[np.argsort((first - first.mean(axis=0)) @ np.linalg.svd(first - first.mean(axis=0), full_matrices=False)[2][0], kind="stable")]
     shape = (len(first), len(second))
-    numbers = np.arange(number, number + shape[0] * shape[1]).reshape(shape)
+    numbers = np.arange(numbering.cell, numbering.cell + shape[0] * shape[1]).reshape(shape)
+    numbering.cell += numbers.size
     index = MultiIndex(first, second, np.zeros(shape), numbers, np.zeros(shape, np.int64), {})
-    number += numbers.size
     one, two = (d.argmin(axis=1) for d in index.distances(sample))
     np.add.at(index.expected, (one, two), total / max(1, len(sample)))
     for row in range(shape[0]):
-        held = 0.0
+        # A first centroid isn't divided while it fits into one block.
+        rows = index.expected[row].sum()
+        if numbering.held and rows <= numbering.most < numbering.held + rows:
+            numbering.block, numbering.held = numbering.block + 1, 0.0
         for column in range(shape[1]):
             rows = index.expected[row, column]
             if rows > CELL_ROWS and depth < DEEPEST and count > 1:
                 inside = sample[(one == row) & (two == column)]
                 if len(inside) >= LEAST_SAMPLE:
-                    index.inner[row, column], number, block = _fit(inside, rows, number, block + 1, depth + 1)
-                    held = 0.0
+                    index.inner[row, column] = _fit(inside, rows, numbering, depth + 1)
                     continue
-            if held and held + rows > BLOCK_ROWS:
-                block, held = block + 1, 0.0
-            held += rows
-            index.block[row, column] = block
-        block += 1
-    return index, number, block
+            index.block[row, column] = numbering.place(rows)
+    return index
 
 
 def usable(vectors: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -298,20 +320,26 @@ def most_similar(points: DataFrame, k: int = 5, size: int = 384, least: float =
     # Groups of many exact copies, by two hashes of the vector; their ids beyond the first k + 1 stay out of the index.
     marked = narrow.select("id", F.struct(F.xxhash64("vector").alias("a"), F.xxhash64(F.lit(1), "vector").alias("b")).alias("copy"))
     crowds = marked.groupBy("copy").agg(F.count("id").alias("rows")).where(F.col("rows") >= MANY_COPIES).select("copy")
-    if crowds.isEmpty():
+    groups = len(crowds.limit(BROADCAST_GROUPS + 1).toArrow())
+    if not groups:
         inside, aside = narrow, None
     else:
-        ranked = marked.join(crowds, "copy").distinct()
+        few = groups <= BROADCAST_GROUPS
+        sound = F.forall("vector", lambda x: x.isNotNull() & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
+        copy = F.struct(F.xxhash64("vector").alias("a"), F.xxhash64(F.lit(1), "vector").alias("b"))
+        ranked = narrow.withColumn("copy", copy).join(F.broadcast(crowds) if few else crowds, "copy").where(sound).select("id", "copy").distinct()
         # First ids of a crowd: of each of many parts, then of these, so that no task sees a whole crowd.
         part = Window.partitionBy("copy", F.pmod(F.xxhash64("id"), F.lit(256))).orderBy("id")
         early = ranked.withColumn("n", F.row_number().over(part)).where(F.col("n") <= k + 1)
         early = early.withColumn("n", F.row_number().over(Window.partitionBy("copy").orderBy("id"))).where(F.col("n") <= k + 1)
-        heads = early.groupBy("copy").agg(F.array_sort(F.collect_list("id")).alias("heads"))
-        members = ranked.join(heads, "copy").where(~F.array_contains("heads", F.col("id")))
+        heads = cut(early.groupBy("copy").agg(F.array_sort(F.collect_list("id")).alias("heads")))
+        small = F.broadcast(heads) if few else heads
+        outside = F.coalesce(~F.array_contains("heads", F.col("id")), F.lit(False))
+        members = ranked.join(small, "copy").where(outside)
         aside = members.select("id", F.posexplode(F.slice("heads", 1, k)).alias("at", "other")).select(
             "id", "other", (F.col("at") + 1).alias("rank"), F.lit(1.0).cast("float").alias("similarity")
         )
-        inside = narrow.join(members.select("id").distinct(), "id", "left_anti")
+        inside = narrow.withColumn("copy", copy).join(small, "copy", "left").where(~outside).select("id", "vector")
     near = _reranked(_routed(inside, index, size), size, k, least).groupBy("id", "other").agg(F.max("similarity").alias("similarity"))
     best = Window.partitionBy("id").orderBy(F.desc("similarity"), "other")
     result = near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("id", "other", "rank", "similarity")
