@@ -38,6 +38,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="millrace-checkpoint-"))
 
 
+def spread(frame: DataFrame) -> DataFrame:
+    """Rows over all cores if the source came in fewer splits than there are; else as they are.
+
+    A large table has many splits and isn't moved; a small one in a single file is worked on by all
+    tasks instead of one.
+    """
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores) if frame.rdd.getNumPartitions() * 2 <= cores else frame
+
+
 class SharedTables:
     """Intermediate tables in the shared checkpoint folder, deleted when the application ends.
 
