@@ -57,7 +57,7 @@ def duration_text(seconds: str | Column) -> Column:
     """Seconds as h:mm:ss, or m:ss below an hour."""
     total = F.floor(_col(seconds)).cast("long")
     hours, minutes, rest = F.floor(total / 3600), F.floor(F.pmod(total, F.lit(3600)) / 60), F.pmod(total, F.lit(60))
-    return F.when(hours > 0, F.format_string("%d:%02d:%02d", hours, minutes, rest)).otherwise(F.format_string("%d:%02d", minutes, rest))
+    return F.when(hours > 0, F.format_string("%d:%02d:%02d", hours, minutes, rest)).when(total.isNotNull(), F.format_string("%d:%02d", minutes, rest))
 
 
 def cut_text(text: str | Column, most: int, mark: str = "…") -> Column:

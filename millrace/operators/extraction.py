@@ -8,6 +8,7 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from millrace.functions.text import entity_valid, first_words, sentences, word_count
 
@@ -20,7 +21,7 @@ class Model(Protocol):
 
 def applied(frame: DataFrame, text: str, model: Callable[[list[str]], list[str]], name: str = "answer", batch: int = 32) -> DataFrame:
     """Add the model's answer for each text, in batches; null texts have none and are not sent."""
-    schema = frame.schema.add(name, "string") if name not in frame.columns else frame.schema
+    schema = StructType([*(f for f in frame.schema.fields if f.name != name), StructField(name, StringType())])
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
@@ -30,7 +31,7 @@ def applied(frame: DataFrame, text: str, model: Callable[[list[str]], list[str]]
                 chunk = rows[start : start + batch]
                 for k, answer in zip(chunk, model([part[text].iloc[k] for k in chunk]), strict=True):
                     answers[k] = answer
-            yield part.assign(**{name: pd.Series(answers, index=part.index, dtype=object)})
+            yield part.assign(**{name: pd.Series(answers, index=part.index, dtype=object)})[schema.names]
 
     return frame.mapInPandas(run, schema)
 

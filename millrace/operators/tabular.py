@@ -216,7 +216,7 @@ def trend(series: DataFrame) -> DataFrame:
     The series has one row per period, so numbering it in one task is bounded by the calendar.
     """
     numbered = series.withColumn("n", F.row_number().over(Window.orderBy("period_end")) - 1)
-    return numbered.agg(F.count(F.lit(1)).alias("periods"), finite(F.regr_slope("value", "n")).alias("slope"))
+    return numbered.agg(F.count(F.lit(1)).alias("periods"), finite(slope(F.col("n"), F.col("value"))).alias("slope"))
 
 
 # --- summaries
@@ -425,15 +425,28 @@ def with_p_value(frame: DataFrame, r: str = "r", n: str = "n") -> DataFrame:
     return frame.withColumn("p_value", p(F.col(r), F.col(n)))
 
 
+def pearson(x: Column, y: Column) -> Column:
+    """Correlation of pairs with both; null if one side is constant."""
+    a, b = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    spread = F.sqrt(F.var_pop(a)) * F.sqrt(F.var_pop(b))
+    return F.when(spread > 0, F.covar_pop(x, y) / spread)
+
+
+def slope(x: Column, y: Column) -> Column:
+    """Least squares slope of y over x; null if x is constant."""
+    width = F.var_pop(F.when(y.isNotNull(), x))
+    return F.when(width > 0, F.covar_pop(x, y) / width)
+
+
 def correlation(frame: DataFrame, first: str, second: str, least: int = 3) -> DataFrame:
     """n, r, r_squared, slope, intercept, x_min, x_max over rows with both; no row below ``least`` pairs."""
     need(frame, first, second)
     rows = frame.select(numeric(frame, first).alias("x"), numeric(frame, second).alias("y")).na.drop()
     stats = rows.agg(
         F.count(F.lit(1)).alias("n"),
-        F.corr("x", "y").alias("r"),
-        F.regr_slope("y", "x").alias("slope"),
-        F.regr_intercept("y", "x").alias("intercept"),
+        pearson(F.col("x"), F.col("y")).alias("r"),
+        slope(F.col("x"), F.col("y")).alias("slope"),
+        (F.avg("y") - slope(F.col("x"), F.col("y")) * F.avg("x")).alias("intercept"),
         F.min("x").alias("x_min"),
         F.max("x").alias("x_max"),
     ).where(F.col("n") >= least)
@@ -453,8 +466,8 @@ def correlation_matrix(frame: DataFrame, fields: Sequence[str] | None = None) ->
     for i, a in enumerate(names):
         for b in names[i:]:
             x, y = F.col(a).cast("double"), F.col(b).cast("double")
-            n = F.regr_count(y, x)
-            r = F.lit(1.0) if a == b else F.when(n >= 3, finite(F.corr(x, y)))
+            n = F.count(F.when(x.isNotNull() & y.isNotNull(), 1))
+            r = F.lit(1.0) if a == b else F.when(n >= 3, finite(pearson(x, y)))
             cells.append(F.struct(F.lit(a).alias("field1"), F.lit(b).alias("field2"), r.alias("r"), n.alias("n")).alias(f"c{len(cells)}"))
     wide = frame.agg(*cells)
     return wide.select(F.explode(F.array(*(F.col(f"c{k}") for k in range(len(cells))))).alias("c")).select("c.*")
