@@ -15,7 +15,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.normalise import INVISIBLE
+from millrace.session import spread
 
 #: Bounds of the fitting sample, drawn by hash: labelled rows, labelled documents, sentences a language.
 FIT_ROWS = 20_000
@@ -47,8 +48,9 @@ LABEL = r"^([A-Za-z]{2})(?:[-_][A-Za-z0-9_-]+)?$"
 SLICE_SENTENCES = 4_000
 
 
+@lru_cache(maxsize=50_000)
 def grams(word: str) -> Counter[str]:
-    """Character n-grams of a lower-case word with its borders, and the word itself."""
+    """Character n-grams of a lower-case word with its borders, and the word itself; not to be changed."""
     padded = f" {word} "
     found: Counter[str] = Counter()
     for size in range(2, LONGEST_GRAM + 1):
@@ -82,13 +84,11 @@ class LanguageModel:
         row = len(self.rows)
         if row >= len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        out = np.zeros(self.table.shape[1], dtype=np.float32)
-        for gram, count in grams(word[:40]).items():
-            column = self.columns.get(gram)
-            weight = count * self.weights.get(gram, self.unseen)
-            if column is not None:
-                out[: len(self.centroids)] += weight * self.centroids[:, column]
-            out[len(self.centroids) :] += weight * _signs(gram)
+        found = grams(word[:40])
+        weights = np.array([n * self.weights.get(g, self.unseen) for g, n in found.items()], dtype=np.float32)
+        columns = np.array([self.columns.get(g, -1) for g in found], dtype=np.int64)
+        known = columns >= 0
+        out = np.concatenate([self.centroids[:, columns[known]] @ weights[known], weights @ _signs(list(found))])
         self.table[row] = out
         self.rows[word] = row
         return row
@@ -123,8 +123,8 @@ def _sign_rows() -> np.ndarray:
     return np.random.default_rng(7).choice(np.array([-1.0, 1.0], dtype=np.float32), size=(8192, PROJECTION)) / np.float32(np.sqrt(PROJECTION))
 
 
-def _signs(gram: str) -> np.ndarray:
-    return _sign_rows()[xxhash.xxh32_intdigest(gram) % 8192]
+def _signs(found: list[str]) -> np.ndarray:
+    return _sign_rows()[[xxhash.xxh32_intdigest(g) % 8192 for g in found]]
 
 
 def _clusters(points: np.ndarray, count: int, seed: int) -> np.ndarray:
@@ -144,17 +144,30 @@ def fit(samples: list[tuple[str, str]], centroids: int = CENTROIDS) -> LanguageM
     languages = sorted({language for language, _ in samples})
     forms = [(language, form) for at, (language, text) in enumerate(samples) for form in dict.fromkeys((text.lower(), text.lower().translate(_PLAIN_ACCENTS) if at % 3 == 0 else text.lower()))]
     texts = [(languages.index(language), words_of(form)) for language, form in forms]
-    counted = [(language, sum((grams(w) for w in words), Counter())) for language, words in texts if words]
-    documents: Counter[str] = Counter(g for _, c in counted for g in c)
-    columns = {gram: k for k, gram in enumerate(sorted(g for g, n in documents.items() if n > 2))}
-    weights = {gram: float(np.log((1 + len(counted)) / (1 + n)) + 1) for gram, n in documents.items() if n > 2}
-    matrix = np.zeros((len(counted), len(columns)), dtype=np.float32)
-    for row, (_, count) in enumerate(counted):
-        for gram, n in count.items():
-            if gram in columns:
-                matrix[row, columns[gram]] = n * weights[gram]
+    numbers: dict[str, int] = {}
+
+    @lru_cache(maxsize=None)
+    def of_word(word: str) -> np.ndarray:
+        return np.array([numbers.setdefault(g, len(numbers)) for g, n in grams(word).items() for _ in range(n)], dtype=np.int64)
+
+    counted = [(language, *np.unique(np.concatenate([of_word(w) for w in words]), return_counts=True)) for language, words in texts if words]
+    documents = np.zeros(len(numbers), dtype=np.int64)
+    for _, ids, _ in counted:
+        documents[ids] += 1
+    # N-grams of fewer than three sentences say nothing about a language.
+    names = list(numbers)
+    kept = np.nonzero(documents > 2)[0]
+    place = np.full(len(numbers), -1)
+    place[kept] = np.arange(len(kept))
+    idf = (np.log((1 + len(counted)) / (1 + documents)) + 1).astype(np.float32)
+    columns = {names[g]: k for k, g in enumerate(kept)}
+    weights = {names[g]: float(idf[g]) for g in kept}
+    matrix = np.zeros((len(counted), len(kept)), dtype=np.float32)
+    for row, (_, ids, n) in enumerate(counted):
+        inside = place[ids] >= 0
+        matrix[row, place[ids[inside]]] = n[inside] * idf[ids[inside]]
     matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-9)
-    of_row = np.array([language for language, _ in counted])
+    of_row = np.array([language for language, _, _ in counted])
     centres, of_language = [], []
     for k in range(len(languages)):
         own = _clusters(matrix[of_row == k], centroids, k)
@@ -347,7 +360,7 @@ def document_languages(documents: DataFrame, model: LanguageModel, id_column: st
             )
 
     narrow = documents.select(id_column, F.col(label_column).cast("string").alias("label"), text_column)
-    return narrow.mapInArrow(run, f"`{id_column}` {id_type}, label string, language string, confidence double, sentences int, n_languages int")
+    return spread(narrow).mapInArrow(run, f"`{id_column}` {id_type}, label string, language string, confidence double, sentences int, n_languages int")
 
 
 def segments(documents: DataFrame, model: LanguageModel, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -376,7 +389,7 @@ def segments(documents: DataFrame, model: LanguageModel, id_column: str = "doc_i
             arrays = [pa.array(list(c), t) for c, t in zip(columns, types, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owners, pa.int64())), *arrays], names=[id_column, "segment", "language", "confidence", "sentences", "text"])
 
-    return documents.select(id_column, text_column).mapInArrow(run, f"`{id_column}` {id_type}, segment int, language string, confidence double, sentences int, text string")
+    return spread(documents.select(id_column, text_column)).mapInArrow(run, f"`{id_column}` {id_type}, segment int, language string, confidence double, sentences int, text string")
 
 
 def wrong_labels(documents: DataFrame, model: LanguageModel, id_column: str = "doc_id", text_column: str = "text", label_column: str = "lang") -> DataFrame:
