@@ -20,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from millrace.session import spread
+
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 KEPT_PIECES = 400_000
@@ -188,4 +190,4 @@ def token_ids(documents: DataFrame, tokenizers: str = TOKENIZERS, vocabulary: st
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([part.column(0), ids], names=[id_column, "ids"])
 
-    return documents.select(id_column, text_column).mapInArrow(run, f"`{id_column}` {id_type}, ids array<int>")
+    return spread(documents.select(id_column, text_column)).mapInArrow(run, f"`{id_column}` {id_type}, ids array<int>")
