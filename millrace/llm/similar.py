@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.session import cut
+from millrace.session import cut, spread
 
 #: Vectors in the sample that the codebooks are fitted on.
 FIT_POINTS = 6_000
@@ -238,7 +238,7 @@ def _routed(points: DataFrame, index: MultiIndex, size: int) -> DataFrame:
                     names=["block", "id", "vector", "own", "visited"],
                 )
 
-    return points.mapInArrow(run, "block int, id string, vector binary, own int, visited array<int>")
+    return spread(points).mapInArrow(run, "block int, id string, vector binary, own int, visited array<int>")
 
 
 def _reranked(routed: DataFrame, size: int, k: int, least: float) -> DataFrame:
