@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.normalise import aligned
+from millrace.session import spread
 
 KINDS = ("name", "email", "phone", "id", "addr")
 
@@ -183,7 +184,7 @@ def _family_before(before: str) -> int:
         return -1
     stripped = len(before.rstrip(", "))
     last = words[-1]
-    if last.end() != stripped or not _upper(last[0]) or len(last[0]) < 2 or last[0].lower() in STREETS_EN:
+    if last.end() != stripped or not _upper(last[0]) or len(last[0]) < 2 or last[0].lower() in STREETS_EN or last[0].lower() in OPENERS:
         return -1
     start, shape = last.start(), last[0][1:].isupper()
     for word in reversed(words[:-1]):
@@ -208,6 +209,14 @@ def _family_before(before: str) -> int:
     return start
 
 
+# Words that stand before a comma and a name without being one.
+OPENERS = frozenset(
+    "thanks thank hello hi hey dear well yes no ok okay please however then today yesterday tomorrow now also sorry welcome regards best cheers "
+    "monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december "
+    "hola gracias querido querida sí bueno hoy ayer lunes martes miércoles jueves viernes sábado domingo bonjour merci salut cher chère oui non lundi mardi mercredi jeudi vendredi "
+    "samedi dimanche hallo danke liebe lieber ja nein heute gestern montag dienstag mittwoch donnerstag freitag samstag sonntag ciao grazie caro cara lunedì martedì mercoledì "
+    "giovedì venerdì sabato domenica olá obrigado obrigada caro hoje ontem segunda terça quarta quinta sexta".split()
+)
 _PARTICIPLE = re.compile(r"[^\W\d_]{3,}(?:at|ut|it|ett|ess|tt)[aoei] $")
 
 
@@ -445,7 +454,7 @@ def personal_found(documents: DataFrame, id_column: str = "doc_id", text_column:
             ids = batch.column(0).take(pa.array(owners, type=pa.int64()))
             yield pa.RecordBatch.from_arrays([ids, pa.array(kinds, pa.string()), pa.array(pieces, pa.string())], names=[id_column, "kind", "found"])
 
-    return documents.select(id_column, text_column).mapInArrow(run, f"`{id_column}` {id_type}, kind string, found string")
+    return spread(documents.select(id_column, text_column)).mapInArrow(run, f"`{id_column}` {id_type}, kind string, found string")
 
 
 def redacted(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -459,4 +468,4 @@ def redacted(documents: DataFrame, id_column: str = "doc_id", text_column: str =
             counts = [len(spans(t)) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(clean, pa.string()), pa.array(counts, pa.int32())], names=[id_column, "text", "n_replaced"])
 
-    return documents.select(id_column, F.col(text_column).alias("text")).mapInArrow(run, f"`{id_column}` {id_type}, text string, n_replaced int")
+    return spread(documents.select(id_column, F.col(text_column).alias("text"))).mapInArrow(run, f"`{id_column}` {id_type}, text string, n_replaced int")
