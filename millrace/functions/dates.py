@@ -26,7 +26,20 @@ STANDALONE = {
     "today": 0, "hoy": 0, "aujourd'hui": 0, "heute": 0, "oggi": 0, "yesterday": -1, "ayer": -1, "hier": -1, "gestern": -1, "ieri": -1,
     "tomorrow": 1, "mañana": 1, "demain": 1, "morgen": 1, "domani": 1,
 }
-MARKERS = "ago last next previous past coming hace pasado pasada próximo próxima anterior il y a dernier dernière prochain prochaine vor letzte letzten letzter nächste nächsten nächster fa scorso scorsa prossimo prossima"
+MARKERS = (
+    r"hace", r"dentro de", r"que viene", r"pr[oó]xim\p{L}*", r"pasad\p{L}*", r"ago", r"in", r"next", r"last", r"within", r"vor", r"n[aä]chst\p{L}*", r"letzt\p{L}*",
+    r"il y a", r"dans", r"prochain\p{L}*", r"dernier\p{L}*", r"fa", r"tra", r"fra", r"prossim\p{L}*", r"scors\p{L}*",
+)
+STANDALONE_WORDS = (
+    "ayer hoy mañana manana anteayer anoche yesterday today tomorrow tonight gestern heute morgen vorgestern hier aujourd'hui demain avant-hier ieri oggi domani stanotte"
+).split()
+TIME_UNITS = (
+    r"d[ií]as?", r"semanas?", r"meses", r"mes", r"a[nñ]os?", r"horas?", r"minutos?", r"d[eé]cadas?", r"siglos?",
+    r"days?", r"weeks?", r"months?", r"years?", r"hours?", r"minutes?", r"decades?", r"centur(?:y|ies)",
+    r"tage?n?", r"wochen?", r"monate?n?", r"jahre?n?", r"stunden?", r"minuten?", r"jahrzehnte?n?",
+    r"jours?", r"semaines?", r"mois", r"ann[eé]es?", r"heures?", r"d[eé]cennies?", r"si[eè]cles?",
+    r"giorni?", r"settimane?", r"mesi", r"anni?", r"ore", r"ora", r"minuti?", r"decenni?", r"secoli?",
+)
 UNITS = {
     "day": "day days día dia días dias jour jours tag tage tagen giorno giorni", "week": "week weeks semana semanas semaine semaines woche wochen settimana settimane",
     "month": "month months mes meses mois monat monate monaten mese mesi", "year": "year years año años an ans année années jahr jahre jahren anno anni",
@@ -34,30 +47,28 @@ UNITS = {
 
 _MONTH_WORDS = {word: month for month, words in MONTHS.items() for word in words.split()}
 _MONTH = "|".join(sorted(_MONTH_WORDS, key=len, reverse=True))
-_EDGE = r"(?<![\p{L}\p{N}])(?:%s)(?![\p{L}\p{N}])"
+_EDGE = r"(?<![\p{L}\p{N}_])(?:%s)(?![\p{L}\p{N}_])"
 _UNIT_WORDS = {word: unit for unit, words in UNITS.items() for word in words.split()}
-RANGE = r"\s+(?:to|until|al|a|hasta|y|and|au|jusqu'au|bis|und|fino al)\s+|\s*[–—]\s*|\s+-\s+"
+# What stands between the two ends of a range.
+RANGE = r"(?i)\s+(?:-|–|—|to|al|hasta|a|y|and|e|until|till)\s+|\s*-\s*|\s*–\s*|\s*—\s*"
+YEAR = r"(?<![\p{L}\p{N}_])(?:1[0-9]{3}|2[0-9]{3})(?![\p{L}\p{N}_])"
+NUMERIC = r"(?<![\p{L}\p{N}_])(?:\d{1,2}[/\-.]\d{1,2}[/\-.]\d{2,4}|\d{4}[/\-.]\d{1,2}[/\-.]\d{1,2})(?![\p{L}\p{N}_])"
+DAY_NUMBER = r"(?<![\p{L}\p{N}_])(?:0?[1-9]|[12]\d|3[01])(?![\p{L}\p{N}_])"
 
 
 def kind_of(expression: str | Column) -> Column:
-    """absolute, relative or null: years, numeric dates, months and weekdays are absolute."""
-    text = F.lower(F.trim(F.col(expression) if isinstance(expression, str) else expression))
-    absolute = text.rlike(_EDGE % r"(?:1[0-9]|20)\d\d") | text.rlike(r"\b\d{1,4}[/.-]\d{1,2}(?:[/.-]\d{1,4})?\b") | text.rlike(_EDGE % _MONTH) | text.rlike(_EDGE % "|".join(WEEKDAYS))
-    marks = "|".join(sorted({m for m in MARKERS.split() if m not in ("il", "y", "a")} | {"il y a"}, key=len, reverse=True))
-    relative = text.rlike(_EDGE % "|".join(map(re.escape, STANDALONE))) | (text.rlike(_EDGE % marks) & text.rlike(_EDGE % "|".join(_UNIT_WORDS)))
+    """absolute, relative, or null for what is no date: an amount, or a span of time without a pointer."""
+    text = F.lower(F.col(expression) if isinstance(expression, str) else expression)
+    absolute = text.rlike(YEAR) | text.rlike(NUMERIC) | text.rlike(_EDGE % _MONTH) | text.rlike(_EDGE % "|".join(WEEKDAYS))
+    relative = text.rlike(_EDGE % "|".join(STANDALONE_WORDS)) | (text.rlike(_EDGE % "|".join(MARKERS)) & text.rlike(_EDGE % "|".join(TIME_UNITS)))
     return F.when(absolute, "absolute").when(relative, "relative")
 
 
 def precision_of(expression: str | Column) -> Column:
-    """day, month or year, by what an expression names; day if it is relative."""
-    text = F.lower(F.trim(F.col(expression) if isinstance(expression, str) else expression))
-    month = text.rlike(_EDGE % _MONTH)
-    return (
-        F.when(text.rlike(r"^\s*(?:1[0-9]|20)\d\d\s*$"), "year")
-        .when(text.rlike(r"^\s*(?:(?:1[0-9]|20)\d\d[/.-]\d{1,2}|\d{1,2}[/.-](?:1[0-9]|20)\d\d)\s*$"), "month")
-        .when(month & ~text.rlike(r"(?<!\d)\d{1,2}(?!\d)"), "month")
-        .otherwise("day")
-    )
+    """day, month or year, by what an expression names; day if it names none of them."""
+    text = F.lower(F.col(expression) if isinstance(expression, str) else expression)
+    month, year, day = text.rlike(_EDGE % _MONTH), text.rlike(YEAR), text.rlike(DAY_NUMBER)
+    return F.when(text.rlike(NUMERIC), "day").when(month & year & ~day, "month").when(year & ~month, "year").when(text.isNotNull(), "day")
 
 
 def range_ends(expression: str | Column) -> Column:

@@ -11,19 +11,34 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Bare words of search questions that carry no meaning, in English and Spanish.
+# Words that a search leaves out, in Spanish and English.
 SEARCH_STOPWORDS = (
-    "the and for with that this from what which who where when how are was were has have had about into "
-    "que los las una unos unas del con por para como cual quien donde cuando cuanto este esta estos estas ese esa sobre entre desde hasta tiene tengo hay son fue ser mis sus"
+    "el la los las un una unos unas de del en y o para por con sin sobre que qué como cómo es ha han tengo tiene tienen este esta estos estas "
+    "mi mis tu tus su sus lo le se ya muy más menos a al ni no si sí "
+    "the a an of in on at to for with and or but is are was were be have has had this that these those i you he she it we they what which who where when why how"
 ).split()
 # Kinds of entities that count, and those that need no capital letter.
-ENTITY_LABELS = ("PERSON", "ORG", "GPE", "LOC", "PRODUCT", "EVENT", "WORK_OF_ART", "LAW", "LANGUAGE", "NORP", "FAC")
+ENTITY_LABELS = ("PERSON", "ORG", "GPE", "LOC", "NORP", "EVENT", "FAC", "PRODUCT", "WORK_OF_ART", "LANGUAGE", "LAW")
 ENTITY_FREE = ("NORP", "LANGUAGE")
 # Headings of parts that aren't about the matter.
-AUXILIARY = (
-    r"(?i)^(?:references|bibliography|further reading|see also|external links|notes|footnotes|acknowledg(?:e)?ments?|appendix|index|table of contents|contents|"
-    r"related articles|comments|about the author|referencias|bibliograf[ií]a|v[eé]ase tambi[eé]n|enlaces externos|notas|agradecimientos|ap[eé]ndice|[ií]ndice)\b"
-)
+AUXILIARY_NAMES = (
+    r"references?", r"bibliograph(?:y|ies)", r"works\s+cited", r"literature\s+cited", r"acknowledgements?", r"acknowledgments?",
+    r"appendix(?:es)?", r"appendices", r"annex(?:es)?", r"about\s+the\s+authors?", r"author\s+bio(?:graph(?:y|ies))?", r"biograph(?:y|ies)",
+    r"index", r"glossary", r"nomenclature", r"abbreviations?", r"funding", r"conflicts?\s+of\s+interest", r"disclosures?",
+    r"copyright", r"licen[sc]e", r"disclaimer", r"legal\s+notice", r"footnotes?", r"endnotes?", r"notes?", r"citations?",
+    r"further\s+reading", r"see\s+also", r"table\s+of\s+contents", r"toc", r"contents", r"publication\s+details?", r"colophon", r"imprint",
+    r"erratum", r"errata", r"corrigend(?:um|a)", r"retraction",
+)
+#: The name alone, with a short label (Appendix A), or with a short title behind a colon or dash.
+AUXILIARY = rf"(?i)^\s*(?:{'|'.join(AUXILIARY_NAMES)})(?:\s+[A-Za-z0-9][A-Za-z0-9.\-]*)?\s*(?:[:\-–—].{{0,60}})?\s*$"
+# Marks that aren't odd symbols, besides letters and digits.
+ALLOWED_MARKS = ".,;:!?'\"()[]{}<>#*_`~-–—/\\|@%&+=$€£¥…•·。、，！？：；「」『』（）《》〈〉〔〕・"
+# A bullet, an ordered list mark or a letter mark at the start of a line.
+BULLET = r"^\s*(?:[-*+•·▪◦‣∙]|\d+[.)]|[A-Za-z][.)])\s+"
+# Names of values that must not be shown.
+SECRET_NAMES = (
+    "access[_-]?token", "api[_-]?key", "auth[_-]?token", "authorization", "cookie", "id[_-]?token", "password", "refresh[_-]?token", "session[_-]?token", "token",
+)
 
 
 def _col(value: str | Column) -> Column:
@@ -58,7 +73,7 @@ def without_tags(text: str | Column) -> Column:
 
 def without_blobs(text: str | Column) -> Column:
     """Data URIs as ``[image]``, runs of 2000 or more characters without blank as ``[blob]``."""
-    return F.regexp_replace(F.regexp_replace(_col(text), r"data:[\w/+.-]+;base64,[A-Za-z0-9+/=]+", "[image]"), r"\S{2000,}", "[blob]")
+    return F.regexp_replace(F.regexp_replace(_col(text), r"data:[a-zA-Z0-9+./;=-]*;base64,[A-Za-z0-9+/=\s]+", "[image]"), r"\S{2000,}", "[blob]")
 
 
 def without_thinking(text: str | Column) -> Column:
@@ -114,24 +129,30 @@ def long_enough(unit: str | Column) -> Column:
 
 
 def few_bullets(unit: str | Column) -> Column:
-    rows = lines(unit)
-    marked = F.size(F.filter(rows, lambda x: x.rlike(r"^(?:[-*•‣▪]|\d+[.)])\s")))
-    return F.when(F.size(rows) == 0, True).otherwise(marked / F.size(rows) <= 0.9)
+    """Not almost only list lines; a blank unit goes."""
+    rows = F.filter(F.split(_col(unit), r"\r?\n"), lambda x: F.trim(x) != "")
+    marked = F.size(F.filter(rows, lambda x: x.rlike(BULLET)))
+    return F.when(F.size(rows) == 0, False).otherwise(marked / F.size(rows) <= 0.9)
 
 
 def few_links(unit: str | Column) -> Column:
+    """Not mostly links, by characters that aren't blank; a blank unit goes."""
     text = _col(unit)
-    links = F.regexp_extract_all(text, F.lit(r"https?://\S+|\[[^\]]*\]\([^)]*\)"), F.lit(0))
+    links = F.regexp_extract_all(text, F.lit(r"\[[^\]]*\]\([^)]*\)|https?://\S+"), F.lit(0))
     inside = F.aggregate(links, F.lit(0), lambda n, x: n + F.length(F.regexp_replace(x, r"\s", "")))
     filled = F.length(F.regexp_replace(text, r"\s", ""))
-    return F.when(filled == 0, True).otherwise(inside / filled <= 0.5)
+    return F.when(filled == 0, False).otherwise(inside / filled <= 0.5)
+
+
+_NO_SYMBOL = r"[\s\p{L}\p{N}" + "".join("\\" + c if c in "[]{}()\\^-&|.*+?$" else c for c in ALLOWED_MARKS) + "]"
 
 
 def few_symbols(unit: str | Column) -> Column:
+    """Not dominated by odd symbols; a blank unit goes."""
     text = _col(unit)
     filled = F.length(F.regexp_replace(text, r"\s", ""))
-    odd = F.length(F.regexp_replace(text, r"[\s\p{L}\p{N}.,;:!?'\"()\-]", ""))
-    return F.when(filled == 0, True).otherwise(odd / filled <= 0.3)
+    odd = F.length(F.regexp_replace(text, _NO_SYMBOL, ""))
+    return F.when(filled == 0, False).otherwise(odd / filled <= 0.3)
 
 
 UNIT_FILTERS: dict[str, Callable[[str | Column], Column]] = {
@@ -140,7 +161,7 @@ UNIT_FILTERS: dict[str, Callable[[str | Column], Column]] = {
     "link_density": few_links,
     "symbol_ratio": few_symbols,
 }
-BUNDLES = {"basic": ("dedup", "min_length"), "web": ("dedup", "min_length", "bullet_lines", "link_density", "symbol_ratio")}
+BUNDLES = {"basic": ("dedup", "min_length", "bullet_lines"), "web": ("dedup", "min_length", "bullet_lines", "link_density", "symbol_ratio")}
 
 
 def normal_key(unit: str | Column) -> Column:
@@ -170,9 +191,11 @@ def filter_units(units: DataFrame, names: Sequence[str], document: str = "doc_id
 
 
 def auxiliary_heading(unit: str | Column) -> Column:
-    """Whether a unit's first line, without marks and numbers, is the heading of a side part."""
-    head = F.trim(F.regexp_replace(F.element_at(F.split(F.ltrim(_col(unit)), "\n"), 1), r"^\s*#*\s*(?:\d+(?:\.\d+)*[.)]?\s*)?", ""))
-    return F.coalesce(head.rlike(AUXILIARY), F.lit(False))
+    """Whether a unit's first line that isn't blank, without heading marks and numbers, names a side part."""
+    head = F.trim(F.get(lines(unit), F.lit(0)))
+    head = F.regexp_replace(head, r"^#{1,6}\s+", "")
+    head = F.regexp_replace(head, r"(?i)^(?:\d+(?:\.\d+)*\.?\s+|(?:chapter|section)\s+\d+\s*[:\-–—]?\s*)", "")
+    return F.coalesce(F.substring(head, 1, 80).rlike(AUXILIARY), F.lit(False))
 
 
 def relevant_units(units: DataFrame, document: str = "doc_id", unit: str = "unit") -> DataFrame:
@@ -195,15 +218,15 @@ def preview(unit: str | Column, most: int = 240) -> Column:
 
 
 def search_terms(text: str | Column, most: int = 4) -> Column:
-    """The longest words of at least three letters that mean something, longest first, then by alphabet."""
-    words = F.split(F.lower(_col(text)), r"[^\p{L}\p{N}]+")
-    kept = F.array_except(F.array_distinct(F.filter(words, lambda x: F.length(x) >= 3)), F.array(*map(F.lit, SEARCH_STOPWORDS)))
-    ranked = F.array_sort(F.transform(kept, lambda x: F.struct((-F.length(x)).alias("n"), x.alias("w"))))
-    return F.transform(F.slice(ranked, 1, most), lambda x: x["w"])
+    """The longest words of at least three letters that mean something, longest first, then as they stand."""
+    words = F.split(F.lower(F.trim(_col(text))), r"[\s,.;:!?¿¡()\"']+")
+    placed = F.transform(words, lambda x, at: F.struct((-F.length(x)).alias("n"), at.alias("at"), x.alias("w")))
+    kept = F.filter(placed, lambda x: (F.length(x["w"]) >= 3) & ~x["w"].isin(*SEARCH_STOPWORDS))
+    return F.transform(F.slice(F.array_sort(kept), 1, most), lambda x: x["w"])
 
 
 def entity_valid(word: str | Column, label: str | Column) -> Column:
-    w, kind = _col(word), _col(label)
+    w, kind = F.trim(_col(word)), F.upper(F.trim(_col(label)))
     return (F.length(F.trim(w)) > 1) & kind.isin(*ENTITY_LABELS) & (kind.isin(*ENTITY_FREE) | w.rlike(r"\p{Lu}"))
 
 
@@ -219,13 +242,11 @@ def snake_key(text: str | Column) -> Column:
 
 # --- secrets in logs
 
-SECRET_KEYS = "password|passwd|secret|token|api[_-]?key|authorization|cookie|access[_-]?key|private[_-]?key"
-
-
 def redacted(text: str | Column) -> Column:
-    """Bearer tokens and values of secret keys replaced, think blocks left out."""
-    plain = F.regexp_replace(without_thinking(text), r"(?i)\bbearer\s+[A-Za-z0-9._~+/=-]+", "Bearer [REDACTED]")
-    return F.regexp_replace(plain, rf"(?i)\b({SECRET_KEYS})(\s*[:=]\s*)[^\s,;]+", "$1$2[REDACTED]")
+    """Closed think blocks left out, bearer tokens and values of secret names replaced."""
+    plain = F.regexp_replace(_col(text), r"(?is)<think>.*?</think>", "")
+    plain = F.regexp_replace(plain, r"(?i)\bbearer\s+[A-Za-z0-9._~+/-]+=*", "Bearer [REDACTED]")
+    return F.regexp_replace(plain, rf"(?i)\b({'|'.join(SECRET_NAMES)})\s*[:=]\s*(?!\[REDACTED\])([^\s,;]+)", "$1=[REDACTED]")
 
 
 def result_summary(text: str | Column, most: int = 200) -> Column:

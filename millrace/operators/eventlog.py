@@ -10,25 +10,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PRIORITIES = ("high", "normal", "low", "background")
-
-
 def priority_rank(priority: str = "priority") -> Column:
-    rank = F.when(F.col(priority) == PRIORITIES[0], 0)
-    for at, name in enumerate(PRIORITIES[1:], 1):
-        rank = rank.when(F.col(priority) == name, at)
-    return rank.otherwise(len(PRIORITIES))
+    return F.when(F.col(priority) == "high", 0).when(F.col(priority) == "normal", 1).otherwise(2)
 
 
 def claim_order(executions: DataFrame, now: Column, types: list[str] | None = None, most: int = 100) -> DataFrame:
-    """Queued executions that may start, in the order of claims; background ones wait while others are queued, but for the hours from 2 to 6."""
-    queued = executions.where((F.col("status") == "queued") & (F.coalesce(F.col("available_at") <= now, F.lit(True))))
-    if types is not None:
-        queued = queued.where(F.col("task_type").isin(types))
+    """Queued executions that may start, in the order of claims: high, normal, background, then by time.
+
+    Background ones wait while high or normal ones are queued, but for the hours from 2 to 6.
+    """
+    queued = executions.where(F.col("status") == "queued")
     waiting = queued.agg(F.count_if(F.col("priority").isin("high", "normal")).alias("waiting"))
-    open_hours = (F.hour(now) >= 2) & (F.hour(now) < 6)
-    eligible = queued.join(F.broadcast(waiting), how="cross").where((F.col("priority") != "background") | open_hours | (F.col("waiting") == 0)).drop("waiting")
-    return eligible.orderBy(priority_rank(), F.col("available_at").asc_nulls_first(), F.col("created_at").asc_nulls_last(), "execution_id").limit(most)
+    ready = queued.where(F.col("available_at") <= now)
+    if types is not None:
+        ready = ready.where(F.col("task_type").isin(types))
+    idle = ((F.hour(now) >= 2) & (F.hour(now) < 6)) | (F.col("waiting") == 0)
+    eligible = ready.join(F.broadcast(waiting), how="cross").where(F.col("priority").isin("high", "normal") | ((F.col("priority") == "background") & idle)).drop("waiting")
+    return eligible.orderBy(priority_rank(), "available_at", F.col("created_at").asc_nulls_last(), "execution_id").limit(most)
 
 
 def queue_counts(executions: DataFrame) -> DataFrame:

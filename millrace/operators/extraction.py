@@ -105,15 +105,27 @@ def last_user_message(turns: DataFrame, conversation: str = "conv_id", turn: str
 
 # What a memory step may do, and kinds of memories.
 MEMORY_ACTIONS = ("save", "replace", "forget", "none")
-MEMORY_TYPES = ("fact", "preference", "event", "episode", "instruction", "person", "project")
+MEMORY_TYPES = ("fact", "episode", "instruction")
 
 
 def memory_actions(proposed: DataFrame, known: str = "known_ids") -> DataFrame:
-    """Checked memory steps: unknown actions are none, unknown types fact, names cut to 120, foreign ids null."""
-    action = F.when(F.lower("action").isin(*MEMORY_ACTIONS), F.lower("action")).otherwise("none")
-    kind = F.when(F.lower("type").isin(*MEMORY_TYPES), F.lower("type")).otherwise("fact")
-    target = F.when(action.isin("replace", "forget") & F.array_contains(known, F.col("target_id")), F.col("target_id"))
-    return proposed.withColumns({"action": action, "type": kind, "name": F.substring(F.trim("name"), 1, 120), "target_id": target})
+    """Checked memory steps: action, type, name, body, target_id.
+
+    Saving needs a name and a body, replacing and forgetting an id among the known ones; a step that
+    lacks them, or an unknown one, is none.  Unknown types are fact, names are cut to 120.
+    """
+    action = F.lower(F.trim("action"))
+    written = (F.trim(F.coalesce("name", F.lit(""))) != "") & (F.trim(F.coalesce("body", F.lit(""))) != "")
+    aimed = F.coalesce(F.array_contains(known, F.col("target_id")), F.lit(False))
+    done = F.when((action == "save") & written, action).when((action == "replace") & written & aimed, action).when((action == "forget") & aimed, action).otherwise("none")
+    kind = F.when(F.lower(F.trim("type")).isin(*MEMORY_TYPES), F.lower(F.trim("type"))).otherwise("fact")
+    return proposed.select(
+        done.alias("action"),
+        F.when(done.isin("save", "replace"), kind).alias("type"),
+        F.when(done.isin("save", "replace"), F.substring(F.trim("name"), 1, 120)).alias("name"),
+        F.when(done.isin("save", "replace"), F.trim("body")).alias("body"),
+        F.when(done.isin("replace", "forget"), F.col("target_id")).alias("target_id"),
+    )
 
 
 def keep_allowed(answers: Column, allowed: Sequence[str]) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions import dates, markup, segments, text
+from millrace.functions import dates, markup, records, segments, text
 from millrace.operators import eventlog, extraction, graph, tabular, vectors
 from millrace.plans.predicates import contained, filtered, resolve, selected
 from millrace.sources.readers import DatasetSchema, Field, typed_records
@@ -581,8 +581,9 @@ def relations_valid(spark, folder):
 
 
 @query(
-    """SELECT execution_id FROM executions WHERE status = 'queued' AND priority <> 'background' ORDER BY CASE priority WHEN 'high' THEN 0 WHEN 'normal' THEN 1 WHEN 'low' THEN 2 WHEN 'background' THEN 3 ELSE 4 END,
-available_at NULLS FIRST, created_at NULLS LAST, execution_id LIMIT 100"""
+    """SELECT execution_id FROM executions WHERE status = 'queued' AND available_at <= TIMESTAMP '2030-01-01 12:00:00' AND (priority IN ('high', 'normal') OR (priority = 'background'
+AND NOT EXISTS (SELECT 1 FROM executions WHERE status = 'queued' AND priority IN ('high', 'normal')))) ORDER BY CASE priority WHEN 'high' THEN 0 WHEN 'normal' THEN 1 ELSE 2 END,
+available_at, created_at NULLS LAST, execution_id LIMIT 100"""
 )
 def queue_claim_order(spark, folder):
     return eventlog.claim_order(table(spark, folder, "executions"), F.lit("2030-01-01 12:00:00").cast("timestamp_ntz")).select("execution_id")
@@ -730,29 +731,26 @@ def text_minlen(spark, folder):
 
 @query(
     f"""SELECT doc_id, line FROM {_LINES} WHERE length(regexp_replace(line, '\\s', '', 'g')) > 0
-AND length(regexp_replace(line, '[\\s\\p{{L}}\\p{{N}}.,;:!?''"()\\-]', '', 'g')) / length(regexp_replace(line, '\\s', '', 'g')) > 0.3"""
+AND length(regexp_replace(line, '{text._NO_SYMBOL.replace(chr(39), chr(39) * 2)}', '', 'g')) / length(regexp_replace(line, '\\s', '', 'g')) > 0.3"""
 )
 def text_symbols(spark, folder):
-    return _lines(spark, folder).where(~text.few_symbols("line"))
+    return _lines(spark, folder).where(~text.few_symbols("line") & (F.length(F.regexp_replace("line", r"\s", "")) > 0))
 
 
 @query(
     f"""SELECT doc_id, line FROM {_LINES} WHERE length(regexp_replace(line, '\\s', '', 'g')) > 0 AND coalesce(list_sum(list_transform(
-regexp_extract_all(line, 'https?://\\S+|\\[[^\\]]*\\]\\([^)]*\\)'), lambda x: length(regexp_replace(x, '\\s', '', 'g')))), 0) / length(regexp_replace(line, '\\s', '', 'g')) > 0.5"""
+regexp_extract_all(line, '\\[[^\\]]*\\]\\([^)]*\\)|https?://\\S+'), lambda x: length(regexp_replace(x, '\\s', '', 'g')))), 0) / length(regexp_replace(line, '\\s', '', 'g')) > 0.5"""
 )
 def text_links(spark, folder):
-    return _lines(spark, folder).where(~text.few_links("line"))
+    return _lines(spark, folder).where(~text.few_links("line") & (F.length(F.regexp_replace("line", r"\s", "")) > 0))
 
 
 @query(
-    """SELECT doc_id FROM (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '\\r?\\n'), lambda x: trim(x, ' ')), lambda x: x <> '') AS l FROM documents WHERE text IS NOT NULL)
-WHERE len(l) > 0 AND len(list_filter(l, lambda x: regexp_matches(x, '^(?:[-*•‣▪]|\\d+[.)])\\s'))) / len(l) > 0.5"""
+    f"""SELECT doc_id FROM (SELECT doc_id, list_filter(regexp_split_to_array(text, '\\r?\\n'), lambda x: trim(x, ' ') <> '') AS l FROM documents WHERE regexp_matches(text, '\\S'))
+WHERE len(l) > 0 AND len(list_filter(l, lambda x: regexp_matches(x, '{text.BULLET}'))) / len(l) > 0.9"""
 )
 def text_bullets(spark, folder):
-    rows = table(spark, folder, "documents").where("text is not null")
-    found = text.lines("text")
-    marked = F.size(F.filter(found, lambda x: x.rlike(r"^(?:[-*•‣▪]|\d+[.)])\s")))
-    return rows.where((F.size(found) > 0) & (marked / F.size(found) > 0.5)).select("doc_id")
+    return table(spark, folder, "documents").where(r"text rlike '\\S'").where(~text.few_bullets("text")).select("doc_id")
 
 
 @query(
@@ -774,8 +772,8 @@ def text_aux_heading(spark, folder):
     return text.relevant_units(segments.units(table(spark, folder, "documents"))).select("doc_id", "pos", "unit")
 
 
-_REDACTED = """regexp_replace(regexp_replace(trim(regexp_replace(text, '<think>.*?</think>', '', 'gsi'), ' '), '\\bbearer\\s+[A-Za-z0-9._~+/=-]+', 'Bearer [REDACTED]', 'gi'),
-'\\b(password|passwd|secret|token|api[_-]?key|authorization|cookie|access[_-]?key|private[_-]?key)(\\s*[:=]\\s*)[^\\s,;]+', '\\1\\2[REDACTED]', 'gi')"""
+_REDACTED = """regexp_replace(regexp_replace(regexp_replace(text, '<think>.*?</think>', '', 'gsi'), '\\bbearer\\s+[A-Za-z0-9._~+/-]+=*', 'Bearer [REDACTED]', 'gi'),
+'\\b(access[_-]?token|api[_-]?key|auth[_-]?token|authorization|cookie|id[_-]?token|password|refresh[_-]?token|session[_-]?token|token)\\s*[:=]\\s*([^\\s,;]+)', '\\1=[REDACTED]', 'gi')"""
 
 
 @query(f"SELECT doc_id, {_REDACTED} AS text FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '<think>', 'i')")
@@ -784,7 +782,7 @@ def text_redact(spark, folder):
     return rows.select("doc_id", text.redacted("text").alias("text"))
 
 
-@query("SELECT doc_id, regexp_replace(regexp_replace(text, 'data:[\\w/+.-]+;base64,[A-Za-z0-9+/=]+', '[image]', 'g'), '\\S{1000}\\S{1000}\\S*', '[blob]', 'g') AS text FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, regexp_replace(regexp_replace(text, 'data:[a-zA-Z0-9+./;=-]*;base64,[A-Za-z0-9+/=\\s]+', '[image]', 'g'), '\\S{1000}\\S{1000}\\S*', '[blob]', 'g') AS text FROM documents WHERE text IS NOT NULL")
 def text_blobs(spark, folder):
     return table(spark, folder, "documents").where("text is not null").select("doc_id", text.without_blobs("text").alias("text"))
 
@@ -879,6 +877,17 @@ def date_resolve(spark, folder):
     return rows.distinct().select("doc_id", "expression", dates.resolved("expression", "day").alias("resolved"))
 
 
+@query("SELECT execution_id, 'sha256:' || sha256(input) AS hash FROM (SELECT DISTINCT execution_id, '{\"id\":\"' || execution_id || '\",\"n\":' || step || '}' AS input FROM executions WHERE step IS NOT NULL)")
+def record_hash(spark, folder):
+    rows = table(spark, folder, "executions").where("step is not null").select("execution_id", F.to_json(F.struct(F.col("step").alias("n"), F.col("execution_id").alias("id"))).alias("j")).distinct()
+    return rows.select("execution_id", records.to_content_hash("j").alias("hash"))
+
+
+@query()
+def record_redacted(spark, folder):
+    return table(spark, folder, "execution_events").where("envelope is not null").select("event_id", records.to_redacted_json("envelope").alias("envelope"))
+
+
 # --- conversations, from the messages of chat executions
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import dates as D
 from millrace.functions import markup as M
+from millrace.functions import records as R
 from millrace.functions import segments as S
 from millrace.functions import text as T
 from millrace.operators import eventlog, extraction, graph, vectors
@@ -19,17 +20,28 @@ def one(spark, column, *values):
 def test_text_expressions(spark):
     assert one(spark, T.word_count, "a  b\nc ", "", None) == [3, 0, -1] or one(spark, T.word_count, "a  b\nc ", "") == [3, 0]
     assert one(spark, T.without_thinking, "<think>x</think> a", "a <THINK>b", "<think>only") == ["a", "a", "<think>only"]
-    assert one(spark, T.without_blobs, "x" * 2500 + " data:image/png;base64,AAAA= y") == ["[blob] [image] y"]
+    assert one(spark, T.without_blobs, "x" * 2500 + " data:image/png;base64,AAAA=. y") == ["[blob] [image]. y"]
     assert one(spark, T.without_tags, "<p>a &amp; <b>b</b></p>") == ["a & b"]
-    assert one(spark, T.redacted, "Bearer abc.def api_key = 55, x") == ["Bearer [REDACTED] api_key = [REDACTED], x"]
+    assert one(spark, T.redacted, "Bearer abc.def api_key = 55, x") == ["Bearer [REDACTED] api_key=[REDACTED], x"]
     assert one(spark, T.snake_key, " Größe (cm) ", "2 items") == ["gr_e_cm", "col_2_items"]
     assert one(spark, T.cleaned_items, "- a, 2) b\n* c,,") == [["a", "b", "c"]]
-    assert one(spark, T.search_terms, "What was the largest archive in the west archive?") == [["archive", "largest", "west"]]
+    assert one(spark, T.search_terms, "What was the archive, largest archive in the west?") == [["archive", "largest", "archive", "west"]]
     assert one(spark, T.tool_calls, 'x <tool_call>{"name": "f", "arguments": {"a": 1}}</tool_call><tool_call>{bad}</tool_call>')[0][0]["name"] == "f"
     assert one(spark, lambda c: T.kept_indices(c, 4), '{"keep": [3, 1, 1, 9]}') == [[1, 3]]
     assert one(spark, T.preview, "Head\nbody  text") == ["Head | body text"]
 
 
+def test_records():
+    assert R.tolerant('x ```json\n{"a": 1}\n``` y') == {"a": 1} and R.tolerant('so: {"a": "}"} ok') == {"a": "}"} and R.tolerant("none") is None
+    assert R.tolerant_list('[{"a": 1}, "b", {"c": ') == [{"a": 1}, "b"] and R.tolerant_list("x") == [] and R.tolerant_list("see [1, 2] there") == [1, 2]
+    assert R.content_hash('{"b": 1, "a": [2]}') == R.content_hash(' {"a":[2],"b":1}') and R.content_hash("{") is None
+    assert R.call_fingerprint('{"name": "f", "arguments": {"x": 1}}') and R.call_fingerprint('{"name": "f", "arguments": 1}') is None and R.call_fingerprint('{"name": "f", "arguments": {"x": NaN}}') is None
+    assert R.redacted_value({"Api-Key": 1, "reasoning": "x", "a": [{"b": "token: abc, Bearer x.y"}]}) == {"Api-Key": "[REDACTED]", "a": [{"b": "token=[REDACTED], Bearer [REDACTED]"}]}
+    assert R.redacted_json("password=abc {") == "password=[REDACTED] {" and R.redacted_json(None) is None
+    found = R.proposed_columns([{"name": "2 Size", "type": "odd", "description": "d"}, {"key": "2_size", "description": "again"}, {"name": "x"}])
+    assert [(c["key"], c["type"]) for c in found] == [("col_2_size", "text")]
+
+
 def test_unit_filters_fail_open(spark):
     rows = [(1, 0, "tiny"), (1, 1, "A sentence with enough words."), (1, 2, "a  SENTENCE with enough words."), (2, 0, "x"), (3, 0, "***** ##### $$$$$ ^^^^^ a b c d")]
     frame = spark.createDataFrame(rows, "doc_id long, pos int, unit string")
@@ -64,9 +76,9 @@ def test_chunk_frames(spark):
 
 
 def test_dates(spark):
-    kinds = one(spark, D.kind_of, "3 March 2024", "2024-01-05", "last week", "ayer", "hace 3 días", "lunes", "price 5", "vor 2 Tagen")
-    assert kinds == ["absolute", "absolute", "relative", "relative", "relative", "absolute", None, "relative"]
-    assert one(spark, D.precision_of, "2024", "March 2024", "3 March 2024", "2024-03") == ["year", "month", "day", "month"]
+    kinds = one(spark, D.kind_of, "3 March 2024", "2024-01-05", "last week", "ayer", "hace 3 días", "lunes", "price 5", "vor 2 Tagen", "90 minutos")
+    assert kinds == ["absolute", "absolute", "relative", "relative", "relative", "absolute", None, "relative", None]
+    assert one(spark, D.precision_of, "2024", "March 2024", "3 March 2024", "2024-03-05", "yesterday") == ["year", "month", "day", "day", "day"]
     anchor = date(2024, 3, 15)
     expected = {"2024-01-05": date(2024, 1, 5), "31/12/2023": date(2023, 12, 31), "4 juillet 2020": date(2020, 7, 4), "yesterday": date(2024, 3, 14), "hace 3 días": date(2024, 3, 12), "2 weeks ago": date(2024, 3, 1), "last month": date(2024, 2, 15), "December 3": date(2023, 12, 3), "monday": date(2024, 3, 11), "30 febrero 2024": None, "nothing": None}
     assert {e: D.resolve(e, anchor) for e in expected} == expected
@@ -129,8 +141,10 @@ def test_extraction(spark):
     assert {r.id: len(r.t.split()) for r in extraction.translated(items, list, "id", "t").collect()} == {1: 1000, 2: 1}
     turns = spark.createDataFrame([("c", k, "user" if k % 2 else "assistant", f"t{k}") for k in range(5)] + [("c", 9, "system", "s")], "conv_id string, turn int, role string, text string")
     assert sorted(r.turn for r in extraction.last_turns(turns, 3).collect()) == [2, 3, 4] and extraction.last_user_message(turns).first().text == "t3"
-    memory = spark.createDataFrame([("SAVE", "odd", "n" * 200, "m1", ["m1"]), ("forget", "fact", "x", "m9", ["m1"]), ("dance", None, None, None, None)], "action string, type string, name string, target_id string, known_ids array<string>")
-    assert [(r.action, r.type, r.target_id) for r in extraction.memory_actions(memory).collect()] == [("save", "fact", None), ("forget", "fact", None), ("none", "fact", None)]
+    steps = [("SAVE", "odd", "n" * 200, "b", "m1", ["m1"]), ("save", "fact", "x", " ", None, None), ("replace", "episode", "x", "b", "m1", ["m1"]), ("forget", "fact", "x", "b", "m9", ["m1"]), ("forget", None, None, None, "m1", ["m1"]), ("dance", None, None, None, None, None)]
+    memory = spark.createDataFrame(steps, "action string, type string, name string, body string, target_id string, known_ids array<string>")
+    got = [(r.action, r.type, len(r.name or ""), r.target_id) for r in extraction.memory_actions(memory).collect()]
+    assert got == [("save", "fact", 120, None), ("none", None, 0, None), ("replace", "episode", 1, "m1"), ("none", None, 0, None), ("forget", None, 0, "m1"), ("none", None, 0, None)]
 
 
 def test_streams(spark, tmp_path):
