@@ -2,7 +2,7 @@
 
 Every window of ``WINDOW`` words of an item's passage and of a document has a SimHash fingerprint.
 ``WINDOW`` is the longest run that any reportable stretch must hold unchanged (14 words with at most
-two changes have a run of five), so the windows of both sides have one size and a leaked stretch
+two changes have a run of five, 21 with three one of six), so the windows of both sides have one size and a leaked stretch
 always has a window at distance zero.  Fingerprints are found by four Hamming blocks of 16 bits:
 two that differ in at most three bits agree in a block, so none within the radius is missed.  Each
 hit is then verified exactly: the words of document and passage are aligned along the hit's diagonal
@@ -26,12 +26,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.normalise import plain_words
+from millrace.session import spread
 
 WINDOW = 5
 RADIUS = 3
 BLOCKS = 4
 LEAST_WORDS = 14
-EDITS = 2
+#: Words of the passage for each edit, and edits of the alignments that are looked at: of any longer
+#: stretch some piece of 14 to 27 words keeps the rule, and that has three at most.
+WORDS_PER_EDIT = 7
+EDITS = 3
 #: Characters of item texts in one broadcast index.
 INDEX_CHARS = 8_000_000
 #: Words scanned at once, and words whose bits are remembered.
@@ -174,20 +178,22 @@ class ItemIndex:
         size = len(ids)
         for at in range(self.longest):
             wanted = self.words[item, at]
+            before = best.copy()
             for d, offset in enumerate(span):
                 place = shift + at + offset
                 inside = (place >= 0) & (place < size)
                 place = np.where(inside, place, 0)
                 same = inside & (ids[place] == wanted) & (owner[place] == doc)
-                for e in range(EDITS, 0, -1):
-                    # A word changed, while this diagonal still goes on.
-                    best[e, d] = np.where(same, best[e, d] + 1, best[e - 1, d])
-                best[0, d] = np.where(same, best[0, d] + 1, 0)
-            for e in range(EDITS, 0, -1):
-                # A word of the text added or one of the passage dropped.
+                # A word repeated, or changed while this diagonal still goes on.
+                best[0, d] = np.where(same, before[0, d] + 1, 0)
+                for e in range(1, EDITS + 1):
+                    best[e, d] = np.where(same, before[e, d] + 1, before[e - 1, d])
+            for e in range(1, EDITS + 1):
+                # This word of the passage dropped, or a word of the text added behind it.
+                best[e, :-1] = np.maximum(best[e, :-1], before[e - 1, 1:])
                 best[e, 1:] = np.maximum(best[e, 1:], best[e - 1, :-1])
-                best[e, :-1] = np.maximum(best[e, :-1], best[e - 1, 1:])
-            found |= best.max(axis=(0, 1)) >= LEAST_WORDS
+            for e in range(EDITS + 1):
+                found |= best[e].max(axis=0) >= max(LEAST_WORDS, WORDS_PER_EDIT * e)
         return found
 
     def scan(self, texts: list[list[str]]) -> set[tuple[int, int]]:
@@ -205,8 +211,11 @@ class ItemIndex:
         windows, entries = self.near(prints, valid)
         if not len(windows):
             return set()
-        hits = np.unique(np.stack([owner[windows], self.item[entries], windows - self.place[entries]]), axis=1)
-        doc, item, shift = hits
+        windows, entries = np.divmod(np.unique(windows * len(self.prints) + entries), len(self.prints))
+        doc, item, shift = owner[windows], self.item[entries], windows - self.place[entries]
+        # A stretch with few enough edits has two unchanged windows at least (words less four for each of its runs).
+        _, pair, hits = np.unique(doc * len(self.items) + item, return_inverse=True, return_counts=True)
+        doc, item, shift = np.unique(np.stack([doc, item, shift])[:, hits[pair] >= 2], axis=1)
         kept: set[tuple[int, int]] = set()
         for start in range(0, len(doc), 20_000):
             part = slice(start, start + 20_000)
@@ -248,7 +257,7 @@ def _scan_with(documents: DataFrame, index: ItemIndex, id_column: str, text_colu
             ids = batch.column(0).take(pa.array(docs, pa.int64()))
             yield pa.RecordBatch.from_arrays([ids, pa.array(found, item_type)], names=[id_column, item_name])
 
-    return documents.select(id_column, text_column).mapInArrow(run, f"`{id_column}` {id_type}, `{item_name}` {item_sql}")
+    return spread(documents.select(id_column, text_column)).mapInArrow(run, f"`{id_column}` {id_type}, `{item_name}` {item_sql}")
 
 
 def leaks(documents: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "item_text") -> DataFrame:
