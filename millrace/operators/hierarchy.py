@@ -10,12 +10,15 @@ is exactly the tops and one core per cycle.
 
 A round costs one aggregation and two equi-joins over the links that are left; they shrink by a
 constant factor, so all rounds together move a constant multiple of the input.  A hub with very many
-children is aggregated map-side; on the way back it is one build row that adaptive skew splitting
+children is aggregated map-side; once few links are left, one task does the last rounds.  On the way back a hub is one build row that adaptive skew splitting
 copies to the pieces of its children.
 """
 
 from __future__ import annotations
 
+import zlib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -101,6 +104,8 @@ def _round(live: DataFrame, paths: bool) -> DataFrame:
     return merged.withColumns(changed).select(*LINK, *(["via"] if paths else []), "only", "on_child_link")
 
 
+#: Links that are contracted inside one task once no more are left, which spares rounds of tiny jobs.
+LAST_LINKS = 4_000
 LINK = ["node", "parent", "steps", "smallest", "weight", "on_link", "under_top", "state"]
 
 
@@ -135,17 +140,81 @@ def hierarchy(nodes: DataFrame, paths: bool = False) -> DataFrame:
         F.lit(None).cast("long").alias("on_child_link"),
     )
     live = store.put("round-0", live)
-    schema, rounds = live.schema, 0
-    while not live.where("state = 'live' and node <> parent").isEmpty():
+    schema, rounds, tail = live.schema, 0, None
+    while left := live.where("state = 'live' and node <> parent").limit(LAST_LINKS + 1).count():
+        if left <= LAST_LINKS:
+            tail = store.put("last", _last_rounds(live.where("state <> 'compressed'"), schema, paths))
+            break
         rounds += 1
         live = store.put(f"round-{rounds}", _round(live.where("state <> 'compressed'").drop("only", "on_child_link"), paths))
-    return _expand(store, known, tops, rounds, schema, paths)
+    return _expand(store, known, tops, rounds, schema, tail, paths)
+
 
+def _last_rounds(live: DataFrame, schema: StructType, paths: bool) -> DataFrame:
+    """The same rounds for the last few links, inside one task, and their records run backwards.
 
-def _expand(store: SharedTables, known: DataFrame, tops: DataFrame, rounds: int, schema: StructType, paths: bool) -> DataFrame:
+    Rows as of ``_round`` and, resolved, ``ref`` (a top or a core), ``ref_steps`` to it, ``ref_size``,
+    ``ref_on_cycle`` and ``ref_via``.  The links are at most ``LAST_LINKS``, whatever the input.
+    """
+    more = "ref string, ref_steps long, ref_size long, ref_on_cycle boolean, ref_via array<string>"
+    out = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields) + ", " + more
+    columns = [f.name for f in schema.fields]
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        links = {r["node"]: r for r in rows[rows["state"] == "live"].to_dict("records")}
+        for link in links.values():
+            link["via"] = list(link["via"]) if paths else []
+        for r in rows[rows["state"] == "raked"].to_dict("records"):
+            if r["parent"] in links:
+                links[r["parent"]]["weight"] += r["weight"] + r["on_link"]
+        order = {node: at for at, node in enumerate(sorted(links, key=lambda n: (zlib.crc32(n.encode()), n)))}
+        records: list[dict] = []
+        alive = dict(links)
+        while any(node != link["parent"] for node, link in alive.items()):
+            children: dict[str, list[str]] = {}
+            for node, link in alive.items():
+                children.setdefault(link["parent"], []).append(node)
+            goes = []
+            for node, link in alive.items():
+                below = children.get(node, ())
+                if len(below) == 1 and node != link["parent"] and order[node] < order[below[0]] and (link["under_top"] or order[node] < order[link["parent"]]):
+                    goes.append((node, below[0]))
+            for node, child in goes:
+                link, heir = alive.pop(node), alive[child]
+                records.append(link | {"state": "compressed", "only": child, "on_child_link": heir["on_link"]})
+                heir.update(parent=link["parent"], steps=heir["steps"] + link["steps"], smallest=min(heir["smallest"], link["smallest"]), under_top=link["under_top"])
+                heir["on_link"] += link["weight"] + link["on_link"]
+                heir["via"] = link["via"] + [node] + heir["via"]
+            for node in [n for n in alive if n not in children]:
+                link = alive.pop(node)
+                records.append(link | {"state": "raked"})
+                if link["parent"] in alive:
+                    alive[link["parent"]]["weight"] += link["weight"] + link["on_link"]
+        found = {node: (node, 0, None, True, []) for node in alive}
+        resolved = [link | {"ref": None, "ref_steps": None, "ref_size": None, "ref_on_cycle": None, "ref_via": None} for link in alive.values()]
+        for record in reversed(records):
+            ref, steps, _, _, via = found.get(record["parent"], (record["parent"], 0, None, False, []))
+            inner = [record["parent"]] if record["parent"] in found and record["parent"] not in alive else []
+            if record["state"] == "raked":
+                size, on_cycle = record["weight"], False
+            else:
+                _, _, below, on_cycle, _ = found[record["only"]]
+                size = None if below is None else record["weight"] + record["on_child_link"] + below
+            path = via + inner + record["via"] if paths else []
+            found[record["node"]] = (ref, steps + record["steps"], size, on_cycle, path)
+            resolved.append(record | {"ref": ref, "ref_steps": steps + record["steps"], "ref_size": size, "ref_on_cycle": on_cycle, "ref_via": path})
+        frame = pd.DataFrame(resolved, columns=[*columns, "ref", "ref_steps", "ref_size", "ref_on_cycle", "ref_via"])
+        return frame.astype({c: "Int64" for c in ("steps", "weight", "on_link", "on_child_link", "ref_steps", "ref_size")})
+
+    return live.groupBy().applyInPandas(run, out)
+
+
+def _expand(store: SharedTables, known: DataFrame, tops: DataFrame, rounds: int, schema: StructType, tail: DataFrame | None, paths: bool) -> DataFrame:
     """Run the records backwards: tops and cores first, then the nodes removed last, and so on."""
     via = ["via"] if paths else []
     every = store.get(schema, *(f"round-{i}" for i in range(rounds + 1)))
+    if tail is not None:
+        every = every.unionByName(tail.select(*schema.names))
     raked_on_top = every.where("state = 'raked' and under_top").groupBy(F.col("parent").alias("t")).agg(F.sum(F.col("weight") + F.col("on_link")).alias("w"))
     start = tops.join(raked_on_top, tops.node == F.col("t"), "left").select(
         "node",
@@ -156,7 +225,7 @@ def _expand(store: SharedTables, known: DataFrame, tops: DataFrame, rounds: int,
         (1 + F.coalesce("w", F.lit(0))).alias("size"),
         *([F.array("node").alias("path")] if paths else []),
     )
-    last = store.get(schema, f"round-{rounds}")
+    last = store.get(schema, f"round-{rounds}") if tail is None else tail
     cores = last.where("state = 'live'").select(
         "node",
         F.col("smallest").alias("top"),
@@ -166,10 +235,25 @@ def _expand(store: SharedTables, known: DataFrame, tops: DataFrame, rounds: int,
         F.lit(None).cast("long").alias("size"),
         *([F.lit(None).cast("array<string>").alias("path")] if paths else []),
     )
-    resolved = store.put("resolved-0", start.unionByName(cores)).schema
+    base = store.put("resolved-0", start.unionByName(cores))
+    resolved, done_names = base.schema, ["resolved-0"]
+    if tail is not None:
+        ends = base.select(F.col("node").alias("end"), "top", F.col("depth").alias("end_depth"), "top_kind", *([F.col("path").alias("end_path")] if paths else []))
+        near = tail.where("ref is not null").join(ends, F.col("ref") == F.col("end"))
+        near = near.select(
+            "node",
+            "top",
+            (F.col("end_depth") + F.col("ref_steps")).alias("depth"),
+            "top_kind",
+            F.col("ref_on_cycle").alias("on_cycle"),
+            F.when(F.col("top_kind") != "cycle", F.col("ref_size")).alias("size"),
+            *([F.when(F.col("top_kind") != "cycle", F.concat("end_path", "ref_via", F.array("node"))).alias("path")] if paths else []),
+        )
+        store.put("resolved-last", near)
+        done_names.append("resolved-last")
     for step in range(1, rounds + 1):
         done = store.get(schema, f"round-{rounds + 1 - step}")
-        so_far = store.get(resolved, *(f"resolved-{i}" for i in range(step)))
+        so_far = store.get(resolved, *done_names)
         up = so_far.select(F.col("node").alias("ref"), "top", F.col("depth").alias("ref_depth"), "top_kind", *([F.col("path").alias("ref_path")] if paths else []))
         hung = done.where("state <> 'live'").join(up, F.col("parent") == F.col("ref"))
         own = hung.select(
@@ -198,7 +282,8 @@ def _expand(store: SharedTables, known: DataFrame, tops: DataFrame, rounds: int,
             *(["path"] if paths else []),
         )
         store.put(f"resolved-{step}", resolved_here)
-    everything = store.get(resolved, *(f"resolved-{i}" for i in range(rounds + 1))).withColumnRenamed("node", "id")
+        done_names.append(f"resolved-{step}")
+    everything = store.get(resolved, *done_names).withColumnRenamed("node", "id")
     joined = known.join(everything, known.node == F.col("id"), "inner")
     return joined.select(
         "node", "parent", "root", "top", "depth", "top_kind", "on_cycle", (F.col("size") - 1).alias("descendants"), *(["path"] if paths else [])

@@ -3,6 +3,8 @@
 import random
 import uuid
 
+import pytest
+
 from millrace.operators import hierarchy as H
 
 SCHEMA = "execution_id string, parent_execution_id string, root_execution_id string, updated_at timestamp_ntz, node string, parent int"
@@ -54,7 +56,9 @@ def walked(parent):
     return out
 
 
-def test_findings_and_paths_as_walked(spark):
+@pytest.mark.parametrize("last", [4000, 60, 0])
+def test_findings_and_paths_as_walked(spark, monkeypatch, last):
+    monkeypatch.setattr(H, "LAST_LINKS", last)
     parent, rng = forest(5, 300)
     truth = walked(parent)
     rows = []
