@@ -32,6 +32,8 @@ FIT_DOCUMENTS = 2_500
 FIT_SENTENCES = 800
 #: Sentences learnt of one document at most.
 FIT_OF_ONE = 6
+#: Longest labelled document that is drawn for fitting; longer ones are judged like all others.
+FIT_CHARS = 100_000
 #: A document's sentence is not learnt if it leads this much for another language than the label's.
 OTHER_LEAD = 0.08
 CENTROIDS = 8
@@ -217,7 +219,7 @@ def fit_model(samples: DataFrame, documents: DataFrame | None = None, rows: int
     # The draw is a hash range of the ids, so no sort and one scan; long texts take part whole.
     label = F.lower(F.regexp_extract("lang", LABEL, 1))
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(1_000_003 * min(1.0, texts / count))
-    drawn = documents.where(share & F.col("text").isNotNull() & label.isin(model.languages)).select(label.alias("l"), "text", "doc_id").limit(2 * texts).collect()
+    drawn = documents.where(share & F.col("text").isNotNull() & label.isin(model.languages) & (F.length("text") <= FIT_CHARS)).select(label.alias("l"), "text", "doc_id").limit(2 * texts).collect()
     return refit(model, picked, [(r["l"], r["text"]) for r in sorted(drawn, key=lambda r: str(r["doc_id"]))])
 
 
@@ -229,6 +231,8 @@ _END = re.compile(r"[.!?…][\"'”»)*_]*\s+")
 _NO_END = re.compile(r"(?:\b\d{1,4}|\b[^\W\d_]|\b(?:Dr|Mr|Mrs|Ms|Mme|Prof|Sr|Sra|St|No|Nr|bzw|ca|etc))$")
 _CODE_MARKS = re.compile(r"[{}\[\]()=;<>|\\/_$#@^~`+*%]")
 _INVISIBLE = re.compile(f"[{INVISIBLE}]")
+#: A line break inside a sentence: small letters or a number go on after a small letter or comma.
+_WRAP = re.compile(r"(?<=[a-zà-ÿ,])\r?\n(?=[a-zà-ÿ\d])")
 _FENCE = re.compile(r"```.*?(?:```|\Z)", re.S)
 _CODE_LINE = re.compile(r"^\s*(?:\$ |>>> |def |class |import |from \w+ import |return |for .+ in .+:|if .+:$|SELECT |INSERT |UPDATE |[{}|]|\[[{\"\[]|\w+\(.*\)$|\w+ = )")
 
@@ -237,14 +241,14 @@ def sentences_of(text: str) -> Iterator[tuple[str, list[str]]]:
     """Sentences of at least ``LEAST_WORDS`` words with their words.
 
     Code, markup, tables, headings and short quotes are left out; a quote as long as a sentence is
-    one.  Line breaks within a paragraph's sentence end it only after a full stop, list marks always.
+    one.  A line break ends a sentence unless the next line goes on in small letters or with a number.
     """
     text = _INVISIBLE.sub("", text)
     if "```" in text:
         text = _FENCE.sub("\n", text)
     if "<" in text:
         text = _TAG.sub("\n", text)
-    for line in text.split("\n"):
+    for line in _WRAP.sub(" ", text).split("\n"):
         if len(line) < 2 * LEAST_WORDS:
             continue
         if _CODE_LINE.match(line) or line.lstrip().startswith("#"):

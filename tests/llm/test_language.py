@@ -40,6 +40,11 @@ def test_sentences_leave_out_what_is_no_sentence():
     assert [" ".join(w) for _, w in L.sentences_of(text)] == ["one two three four five six seven eight nine", "ten words are in this one and no more"]
 
 
+def test_wrapped_lines_are_one_sentence():
+    text = "one two three four,\nfive six seven 8 eight\nnine ten. Next words stand\nHere on a new line"
+    assert [" ".join(w) for _, w in L.sentences_of(text)] == ["one two three four five six seven eight nine ten"]
+
+
 def test_mixed_and_wrong_labels(spark, model):
     by = {}
     for k, t in SENTENCES[1::2]:
