@@ -7,13 +7,15 @@ a time; the batch functions keep order and never meet other rows.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.markup import blocks_of, looks_like_markup
+from millrace.functions import text as rules
+from millrace.functions.markup import blocks_of, looks_like_markup, markdown_of
 
 _HEADING = re.compile(r"^#{1,6}\s+\S")
 
@@ -135,3 +137,32 @@ def chunked(frame: DataFrame, most: int = 250, target: int = 150, overlap: int =
 def units(frame: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Units of each text with their number and total."""
     return exploded(frame, sections, key, text, "unit")
+
+
+def built_chunks(frame: DataFrame, filters: Sequence[str] = ("basic",), most: int = 1500, key: str = "doc_id", source: str = "text") -> DataFrame:
+    """Chunks for a model: blobs out, markup to markdown, units filtered (never all of a text), packed to ``most`` words.
+
+    The units of a text are collected again after filtering, so a text must fit into a task, as it did as one value.
+    """
+    plain = frame.where(F.col(source).isNotNull()).select(key, rules.without_blobs(source).alias("__t"))
+    found = exploded(plain, lambda t: sections(markdown_of(t)), key, "__t", "unit")
+    kept = rules.filter_units(found.select(key, "pos", "unit"), filters, key)
+    packed = kept.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "unit"))).alias("u")).select(key, F.transform("u", lambda x: x["unit"]).alias("u"))
+
+    @F.pandas_udf("array<string>")
+    def pack_units(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda x: chunk_units(list(x), most))
+
+    return packed.select(key, F.posexplode(pack_units("u")).alias("pos", "chunk"))
+
+
+def chunk_offsets(whole: str, chunks: Sequence[str], head: int = 200) -> list[int]:
+    """Where each chunk starts in its text, by its first ``head`` characters, looked for from the chunk before on; 0 if nowhere."""
+    out, cursor = [], 0
+    for chunk in chunks:
+        at = whole.find(chunk[:head], cursor)
+        if at < 0:
+            at = whole.find(chunk[:head])
+        out.append(max(at, 0))
+        cursor = max(at, cursor)
+    return out

@@ -108,6 +108,33 @@ def next_producer_sequence(events: DataFrame) -> DataFrame:
     return events.groupBy(*keys).agg((F.coalesce(F.max("producer_sequence"), F.lit(0)) + 1).alias("next_sequence"))
 
 
+def appended(log: DataFrame, fresh: DataFrame) -> DataFrame:
+    """Fresh events numbered behind a log: sequence per root, producer_sequence per stream, cause and content hash.
+
+    ``fresh`` is one batch with event_id, root_execution_id, producer_component, producer_instance_id,
+    event_type, occurred_at and payload; it is numbered by occurred_at, then by event_id.  An event's cause
+    is the one before it in its root.  Events that the log already has are left out.
+    """
+    stream = ["root_execution_id", "producer_component", "producer_instance_id"]
+    new = fresh.join(log.select("event_id").distinct(), "event_id", "left_anti").dropDuplicates(["event_id"])
+    roots = new.select("root_execution_id").distinct()
+    known = log.join(roots, "root_execution_id", "left_semi")
+    last = known.groupBy("root_execution_id").agg(F.max("sequence").alias("last_sequence"), F.max_by("event_id", F.struct("sequence", "event_id")).alias("last_event_id"))
+    last_own = known.groupBy(*stream).agg(F.max("producer_sequence").alias("last_own"))
+    by_root = Window.partitionBy("root_execution_id").orderBy("occurred_at", "event_id")
+    by_stream = Window.partitionBy(*stream).orderBy("occurred_at", "event_id")
+    rows = new.join(last, "root_execution_id", "left").join(last_own, stream, "left")
+    rows = rows.withColumns(
+        {
+            "sequence": F.coalesce("last_sequence", F.lit(0)) + F.row_number().over(by_root),
+            "producer_sequence": F.coalesce("last_own", F.lit(0)) + F.row_number().over(by_stream),
+            "caused_by_event_id": F.coalesce(F.lag("event_id").over(by_root), F.col("last_event_id")),
+        }
+    )
+    body = F.to_json(F.struct("caused_by_event_id", "event_id", "event_type", "payload", "producer_sequence", "root_execution_id", "sequence"))
+    return rows.drop("last_sequence", "last_event_id", "last_own").withColumn("content_hash", F.concat(F.lit("sha256:"), F.sha2(body, 256)))
+
+
 def latest_state(events: DataFrame) -> DataFrame:
     """execution_id, event_type, sequence of each execution's last event; ties go to the greater event id."""
     rows = events.where("execution_id is not null and sequence is not null")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions import dates, markup, records, segments, text
+from millrace.functions import dates, markup, records, scalars, segments, text
 from millrace.operators import eventlog, extraction, graph, tabular, vectors
 from millrace.plans.predicates import contained, filtered, resolve, selected
 from millrace.sources.readers import DatasetSchema, Field, typed_records
@@ -668,6 +668,21 @@ def log_fenced(spark, folder):
     return eventlog.fenced(table(spark, folder, "execution_events"), table(spark, folder, "executions")).select("event_id").distinct()
 
 
+@query(
+    """WITH log AS (SELECT * FROM execution_events WHERE sequence % 5 <> 0), fresh AS (SELECT event_id, min(root_execution_id) AS r, min(producer_component) AS c, min(producer_instance_id) AS i, min(occurred_at) AS o
+FROM execution_events WHERE sequence % 5 = 0 AND event_id NOT IN (SELECT event_id FROM log) GROUP BY 1),
+root AS (SELECT root_execution_id AS r, max(sequence) AS s, arg_max(event_id, (sequence, event_id)) AS e FROM log GROUP BY 1),
+own AS (SELECT root_execution_id AS r, producer_component AS c, producer_instance_id AS i, max(producer_sequence) AS p FROM log GROUP BY 1, 2, 3)
+SELECT event_id, coalesce(root.s, 0) + row_number() OVER a AS sequence, coalesce(own.p, 0) + row_number() OVER b AS producer_sequence, coalesce(lag(event_id) OVER a, root.e) AS caused_by_event_id
+FROM fresh LEFT JOIN root ON root.r = fresh.r LEFT JOIN own ON own.r = fresh.r AND own.c = fresh.c AND own.i = fresh.i
+WINDOW a AS (PARTITION BY fresh.r ORDER BY o NULLS FIRST, event_id), b AS (PARTITION BY fresh.r, fresh.c, fresh.i ORDER BY o NULLS FIRST, event_id)"""
+)
+def log_append(spark, folder):
+    events = table(spark, folder, "execution_events")
+    fresh = events.where("sequence % 5 = 0").select("event_id", "root_execution_id", "producer_component", "producer_instance_id", "event_type", "occurred_at", F.lit("{}").alias("payload"))
+    return eventlog.appended(events.where("sequence % 5 <> 0"), fresh).select("event_id", "sequence", "producer_sequence", "caused_by_event_id")
+
+
 # --- streams, as batches
 
 
@@ -700,6 +715,52 @@ def stream_once(spark, folder):
     return windows.once(table(spark, folder, "execution_events"), "ingested_at", ["event_id"]).select("event_id")
 
 
+# --- scalars
+
+
+@query(
+    """SELECT doc_id, 'source:' || source AS owner, 'doc_' || doc_id AS source_key, 'passage: ' || lang AS passage, CASE WHEN length(trim(doc_kind, ' ')) > 3 THEN left(trim(doc_kind, ' '), 3) || '…' ELSE trim(doc_kind, ' ') END AS short
+FROM documents"""
+)
+def scalar_labels(spark, folder):
+    rows = table(spark, folder, "documents")
+    return rows.select(
+        "doc_id",
+        F.when(F.col("source").isNotNull(), scalars.owner_tag(F.lit("source"), "source")).alias("owner"),
+        scalars.source_key(F.lit("note"), "doc_id").alias("source_key"),
+        scalars.embedding_prefix("lang").alias("passage"),
+        scalars.cut_text("doc_kind", 3).alias("short"),
+    )
+
+
+@query(
+    """SELECT event_id, CASE WHEN s >= 3600 THEN (s // 3600) || ':' || lpad(((s % 3600) // 60)::VARCHAR, 2, '0') || ':' || lpad((s % 60)::VARCHAR, 2, '0')
+ELSE (s // 60) || ':' || lpad((s % 60)::VARCHAR, 2, '0') END AS duration FROM (SELECT event_id, floor(value * 20)::BIGINT AS s FROM events)"""
+)
+def scalar_durations(spark, folder):
+    return table(spark, folder, "events").select("event_id", scalars.duration_text(F.col("value") * 20).alias("duration"))
+
+
+@query(
+    """SELECT doc_id, CASE WHEN regexp_matches(lang, '^\\s*[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)\\s*$') THEN lang END AS as_number, CASE WHEN lower(trim(lang, ' ')) IN ('true', 'yes', 't', 'y', '1') THEN 'true'
+WHEN lower(trim(lang, ' ')) IN ('false', 'no', 'f', 'n', '0') THEN 'false' END AS as_boolean, nullif(trim(lang, ' '), '') AS as_text, strftime(created_at, '%Y-%m-%d') AS as_date FROM documents"""
+)
+def scalar_cells(spark, folder):
+    rows = table(spark, folder, "documents")
+    return rows.select(
+        "doc_id",
+        scalars.typed_cell("lang", "number").alias("as_number"),
+        scalars.typed_cell("lang", "boolean").alias("as_boolean"),
+        scalars.typed_cell("lang", "text").alias("as_text"),
+        scalars.typed_cell(F.col("created_at").cast("string"), "date").alias("as_date"),
+    )
+
+
+@query("SELECT execution_id, coalesce(retry_count BETWEEN -10080 AND 0, true) AND coalesce(starts_with(priority, 'FREQ='), true) AS valid FROM executions")
+def scalar_reminders(spark, folder):
+    return table(spark, folder, "executions").select("execution_id", scalars.reminder_valid("retry_count", "priority").alias("valid"))
+
+
 # --- texts
 
 _TOKENS = "list_filter(regexp_split_to_array({0}, '\\s+'), lambda x: x <> '')"
@@ -847,6 +908,11 @@ def text_units(spark, folder):
     return segments.units(table(spark, folder, "documents"))
 
 
+@query()
+def text_chunks_built(spark, folder):
+    return segments.built_chunks(table(spark, folder, "documents"), ["web"], 300)
+
+
 @query()
 def html_blocks(spark, folder):
     return table(spark, folder, "documents").where("text like '%<%'").select("doc_id", F.posexplode(markup.to_blocks("text")).alias("pos", "block"))

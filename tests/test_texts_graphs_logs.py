@@ -70,6 +70,26 @@ def test_markup():
     assert M.markdown_of(page) == "## T\n\na b\n\n- c\n\n- d\n\ntail" and M.markdown_of("a < b") == "a < b"
 
 
+def test_built_chunks_and_offsets(spark):
+    page = "<h1>Head</h1><p>" + " ".join(f"w{k}" for k in range(50)) + "</p>"
+    frame = spark.createDataFrame([(1, page), (2, None), (3, "x"), (4, "one two three four\n\nONE two  three four\n\nfive six seven eight")], "doc_id long, text string")
+    got = {}
+    for r in S.built_chunks(frame, ["basic"], 30).collect():
+        got.setdefault(r.doc_id, []).append(r.chunk)
+    assert set(got) == {1, 3, 4} and got[4] == ["one two three four\n\nfive six seven eight"] and got[3] == ["x"]
+    assert " ".join(got[1]).split() == ["#", "Head"] + [f"w{k}" for k in range(50)]
+    assert S.chunk_offsets("aa bb aa cc", ["aa", "bb", "aa", "zz"]) == [0, 3, 6, 0]
+
+
+def test_append(spark):
+    at = datetime(2025, 1, 1)
+    log = spark.createDataFrame([("a", "r", 4, "c", "i", 2)], "event_id string, root_execution_id string, sequence long, producer_component string, producer_instance_id string, producer_sequence long")
+    fresh = spark.createDataFrame([("c", "r", "c", "j", "t", at.replace(hour=2), "{}"), ("b", "r", "c", "i", "t", at, "{}"), ("a", "r", "c", "i", "t", at, "{}"), ("b", "r", "c", "i", "t", at, "{}"), ("d", "s", "c", "i", "t", None, "{}")], "event_id string, root_execution_id string, producer_component string, producer_instance_id string, event_type string, occurred_at timestamp_ntz, payload string")
+    got = {r.event_id: (r.sequence, r.producer_sequence, r.caused_by_event_id) for r in eventlog.appended(log, fresh).collect()}
+    assert got == {"b": (5, 3, "a"), "c": (6, 1, "b"), "d": (1, 1, None)}
+    assert all(r.content_hash.startswith("sha256:") for r in eventlog.appended(log, fresh).collect())
+
+
 def test_chunk_frames(spark):
     frame = spark.createDataFrame([(1, "a b", "z"), (2, None, "z"), (3, "", "z"), (1, "a b", "z")], "doc_id long, text string, pos string")
     assert sorted(tuple(r) for r in S.chunked(frame).collect()) == [(1, 1, 1, "a b"), (1, 1, 1, "a b")]
