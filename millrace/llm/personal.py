@@ -112,7 +112,7 @@ _PHONE_WORDS = re.compile(r"(?:phone|tel|call|fax|mobil|handy|cell|telef|llamar|
 _NINE = re.compile(r"\d{3}[ .]?\d{3}[ .]?\d{3}(?!\d)|\d{9,11}(?!\d)")
 
 _INITIAL = r"(?:[^\W\d_]\. ?){1,3}"
-_PART = r"(?:(?:de la|de los|de las|van der|van den|von der|" + "|".join(p for p in PARTICLES if p != "d'") + r") |d'|d’)?"
+_PART = "(?:(?i:de la|de los|de las|van der|van den|von der|" + "|".join(p for p in PARTICLES if p != "d'") + ") |(?i:d)['’])?"
 _FAMILY = r"[^\W\d_][^\W\d_]*(?:['’-][^\W\d_]+)*"
 
 

@@ -12,6 +12,7 @@ FOUND = [
     ("La riunione era guidata da di Gortini, Chiara e", "name", "di Gortini, Chiara"),
     ("La riunione era guidata da GORLOTTO, Chiara e", "name", "GORLOTTO, Chiara"),
     ("Wie Frau Käthe von Halmann sagte", "name", "Käthe von Halmann"),
+    ("Das Gespräch leitete Annika VON CALKRUG und am", "name", "Annika VON CALKRUG"),
     ("a Rocío Daldugal Istgal antes", "name", "Rocío Daldugal Istgal"),
     ("Selon Mme Élodie R. de Calveau-Torgnac, les", "name", "Élodie R. de Calveau-Torgnac"),
     ("write to a.b+news@mail.example.org, please", "email", "a.b+news@mail.example.org"),
