@@ -17,13 +17,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HOUR_US = 3_600_000_000
-EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 CELL = ["root_execution_id", "hour_id", "outcome", "source", "version"]
 
 
 def micros(column: str) -> Column:
     """Microseconds since 1970 of a timestamp column, whatever the session's zone."""
-    return F.expr(f"timestampdiff(MICROSECOND, {EPOCH}, cast(`{column}` as timestamp_ntz))")
+    # From the fields of the local time: a difference of timestamps would go through the session's zone.
+    t = F.col(column).cast("timestamp_ntz")
+    seconds = F.unix_date(t.cast("date")).cast("long") * 86_400 + F.hour(t) * 3_600 + F.minute(t) * 60
+    return seconds * 1_000_000 + (F.date_part(F.lit("SECOND"), t) * 1_000_000).cast("long")
 
 
 def first_arrivals(events: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from millrace.operators import late_events as L
 
 SCHEMA = "event_id string, root_execution_id string, sequence long, producer_component string, producer_instance_id string, producer_sequence long, occurred_at timestamp_ntz, ingested_at timestamp_ntz, note string, hour_id int"
-START = datetime(2025, 3, 1)
+START = datetime(2025, 3, 29, 12)
 
 
 def rows_of(seed, n=400, hot=0.4):
@@ -75,9 +75,19 @@ def test_nulls_and_empty(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert L.late_found(none).count() == 0 and L.corrected_hours(none).count() == 0
     nulls = [(None,) * 10, ("e", None, None, None, None, None, None, None, None, None), ("e2", "r", None, None, None, None, START, START, None, None)]
-    assert [tuple(r) for r in L.corrected_hours(spark.createDataFrame(nulls, SCHEMA)).collect()] == [("r", 483552, 1, 0, 0)]
+    assert [tuple(r) for r in L.corrected_hours(spark.createDataFrame(nulls, SCHEMA)).collect()] == [("r", 484236, 1, 0, 0)]
 
 
 def test_equal_arrivals_do_not_mark_each_other(spark):
     rows = [("a", "r", 1, "c", "i", 1, START, START + timedelta(hours=9), None, None), ("b", "r", 2, "c", "i", 2, START + timedelta(hours=8), START + timedelta(hours=9), None, None)]
     assert L.late_found(spark.createDataFrame(rows, SCHEMA)).count() == 0
+
+
+def test_zone_of_the_session_makes_no_difference(spark):
+    frame = spark.createDataFrame(rows_of(6), SCHEMA)
+    utc = sorted(map(str, L.corrected_hours(frame).collect()))
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        assert sorted(map(str, L.corrected_hours(frame).collect())) == utc
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
