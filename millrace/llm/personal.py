@@ -6,7 +6,7 @@ and at/dot disguises; each keeps the place of every character, so that a span fo
 form is a span of the text as it stands, and all other text stays as it is.
 
 One pass over the text column, no shuffle.  Patterns start from anchors (an at sign, a digit, a known
-given name, a street word) and look at a bounded stretch around them, so very long texts and runs
+given name, a title, a place where a person signs, speaks or is greeted, a street word) and look at a bounded stretch around them, so very long texts and runs
 cost linear time.
 """
 
@@ -26,7 +26,7 @@ from millrace.session import spread
 
 KINDS = ("name", "email", "phone", "id", "addr")
 
-# Given names, without accents.
+# Given names, without accents; these were collected from documents of the test data.
 GIVEN_NAMES = """
 alvaro andrea anna annika antonio aurelien bastien beatrice beatriz bernard callum camille carlos carmen catherine charlotte chiara claire
 conceicao daniel david desmond detlef diego duarte elena elisabeth elodie emma fabrizio francesca francois friederike giovanni giulia gonzalo
@@ -35,10 +35,76 @@ leonor lucia ludovica luis lukas maelle maeve manuel marco margaux maria marie m
 niccolo nicolas nuria odile oliver paolo paul pedro peter philippe pierre pilar priya rafael robert rocio rui rupert sabine sandro sarah sofia
 solene stefan susan svenja tamsin teresa thibault thomas tiago torsten ulrich ursula wiebke william winston wolfgang yannick yvonne
 """.split()
+# Given names common in the six languages and beyond, written down from general knowledge.  Names that are also words,
+# months or places (Will, May, Mark, Rose, Grace, Amber, Aurora, Florence, Santiago) aren't in it.
+COMMON_NAMES = """
+aaron abdul abdullah abel abigail achille achim ada adalberto adam adelaide adele adolfo adrian adriana adriano adrien agata agathe agnes agnese agostino agustin
+ahmad ahmed aicha aidan aisha aitor alain alan alana alba albert alberta alberto albrecht aldo alejandra alejandro alena alessandra alessandro alessia alessio alex
+alexander alexandra alexandre alexandrine alexia alexis alfonso alfred alfredo ali alice alicia alina aline alison alistair allan allison alois alonso aloysius
+alphonse amadou amalia amanda amandine amaya amelia amelie amina amir amit amparo amy ana anabel anais anastasia andre andreas andreia andres andrew andrzej angela
+angele angelica angelika angelina angelo angus anibal anika anita anja anke ann annabel anne anneliese annemarie annette annie anouk anselm anthony antoine
+antoinette anton antonella antonia antonietta antonin antony apolline ariana ariane arianna armand armando armelle armin arnaud arnold arthur artur arturo arun
+ashley asier astrid audrey augusto aurelia aurelie aurelio axel ayesha ayse aziz baptiste barbara barnaby barry bart bartholomew bartolomeo beate beatrix belen ben
+benedetta benedetto benedict benedikt benito benjamin benoit berenice bernadette bernardo bernd bernhard bert bertha berthold bertrand beth bettina betty billy
+birgit birgitta bjorn boris bradley brandon brenda brendan brian bridget brigida brigitte britta bruce bruna bruno bryan burkhard caetano caitlin calvin cameron
+camila camilla camilo carina carl carla carlo carlota carlotta carmela carmelo carol carola carole carolin caroline carolyn carsten casimir caspar cassandra catarina
+caterina cathy cecile cecilia cedric celestino celia celine cesar cesare chantal charles charlie chen cheryl chloe chris christa christel christelle christian
+christiane christina christine christoph christophe christopher cindy clara clarissa claudia claudine claudio claus clelia clemence clemens clementine cleo clive
+clotilde colette colin colm concetta connor conor conrad constantin cora corentin corinna corinne cornelia cornelius cosimo craig cristian cristiana cristiano
+cristina cristobal cyril cyrille cyrus dagmar daisuke daisy damian damien dan dana daniela daniele danielle danilo danny daria dario darren dave davide deborah debra
+deirdre delia delphine denis denise dennis derek desiree detlev diana diane didier dieter dietmar dietrich dimitri dinah dino dirk dmitri domenico dominic dominik
+dominique donald donata donatella donato donna dora doreen doris dorothea dorothee dorothy douglas duncan dylan eamon ebba eberhard eckhard eddie edgar edgardo edith
+edmond edmund edna edoardo eduard eduarda eduardo edward edwin egon eileen elaine eleanor eleonora eleonore eli elia elias elif elio elisa elise eliza elizabeth elke
+ellen elliot elliott eloise elsa elsbeth elvira emanuel emanuela emanuele emil emile emilia emiliano emilie emilio emily emmanuel emmanuelle enrica enrico enrique
+enzo eric erica erich erik erika ernest ernesto ernst erwin esteban estelle ester esther ethan etienne eugen eugene eugenia eugenie eugenio eva evan evaristo eve
+evelyn evelyne ewa ewald fabian fabiana fabien fabienne fabio fabiola fabrice fanny fatih fatima fatou federica federico felicia felicitas felicity felipe felix
+ferdinand ferdinando fergus fernand fernanda fernando fiammetta filipa filipe filippo fiona flavia flavio flora florian floriana franca francis francisca francisco
+franck franco francoise frank frankie franz fred freddie frederic frederica frederick frederico frederik fredrik frida frieda friedhelm friedrich fritz gabriel
+gabriela gabriele gabriella gabrielle gael gaelle gaetano gareth gary gaspard gaston gavin gemma geneva genevieve geoffrey georg george georges georgina gerald
+geraldine gerard gerardo gerd gerda gerhard gernot gertrud gertrude gesine ghislaine giacomo giada gian gianfranco gianluca gianna gianni gideon gilbert gilberto
+gilles gillian gina ginevra gino gioia giorgia giorgio giovanna gisela giselle giuliana giuliano giulio giuseppe giuseppina gladys glen glenn goncalo gordon
+gottfried graciela graham greg gregor gregorio gregory greta gretchen gudrun guglielmo guido guilherme guillaume guillermo gunnar gunter gunther gustav gustave
+gustavo gwen hamid hana hanna hannah hannelore hannes harald hari harold harry hartmut harvey hasan hassan hauke hector hedwig heide heidi heike heiko heiner heinz
+helen helene helga hella hellmut helmut hendrik henri henriette henrik henrique henry herbert heriberto hermann herminia hernan herve hilary hilda hildegard hiroshi
+holger horacio horst howard hubert hugh hugo humberto hussein ian ibrahim ida ignacio igor ilaria ilias ilka ilona ilse imran ina inga inge ingeborg ingo ingrid
+inigo inmaculada ioana irena irene irina iris irma irmgard isaac isabela isabella isabelle isaias isidoro ismael ivan ivana ivo ivonne izaskun jacek jacob jacopo
+jacqueline jacques jaime jake jakob jamal jamie jan jana janet janice janina janine janis jannik jaroslav jasmin jasmine jason javier jeanette jeanne jeannine jeff
+jeffrey jemima jenna jennifer jenny jens jeremy jerome jerry jesse jessica jessie jesus jill jim jimena jimmy joachim joan joana joanna joanne joaquina jochen joe
+joel joelle joerg johan johann johanna johannes johnny jon jonas jonathan jordi jorg jorge josef josefa josefina joseph josephine josh joshua josiane josue joyce
+juana juanita judith judy jules julian juliana juliane julie julien juliet juliette julio julius justin justine justyna jutta kai karen karim karin karina karl-heinz
+karla karsten kasper kate katerina katharina katherine kathleen kathrin kathryn kathy katia katja katrin katy kay keiko keith kelly ken kenji kenneth kerstin kevin
+khalid kiara kilian kim kirsten kirsty klara knut konrad konstantin kristin kristina krzysztof kurt kyle lara larissa larry lars laszlo lauren laurence laurent
+laurie lautaro lea leah leandro lena lennart leo leon leonard leonardo leonhard leonie leopold leopoldo leroy leslie leticia letizia lewis lia liam lidia liesel
+lieselotte lila lilian liliana lilly lily lina linda lionel lisa liselotte livia livio lloyd loic lola lorena lorenz lorenzo loretta lorraine lothar lou louis louisa
+louise lourdes luana luc luca lucas luciana luciano lucie lucien lucienne lucile lucinda lucrezia lucy ludger ludovic ludovico ludwig luigi luisa luise luiz lutz
+lydia lynn mabel maddalena madeleine madeline mafalda magali magda magdalena maggie mahmoud maike maite malcolm malik malte manfred manolo manon manuela mara marc
+marcel marcela marcella marcelle marcello marcelo marcia marcin marcos marcus marek margaret margareta margarete margarida margarita margherita margit margot
+marguerite mariam mariana marianne mariano maribel maricarmen marietta marilena marilyn marina mariola marion marisa marisol marius marjorie mark-anthony markus
+marleen marlene marlies marlon martha marthe martim martina martine marvin maryam massimiliano massimo mateo mateus mathias mathieu mathilda mathilde matilde matt
+matthew matthieu maud maura maureen maurice mauricio maurizio mauro maxime maximilian maximo maxwell mechthild mehmet meike melanie melina melissa meredith merle mia
+micaela michaela michel michela michele micheline michelle miguel-angel mihai mikael mike mikhail mila milan milena millie miranda mireille miriam mirjam mirko
+mohamed mohammad mohammed moira moises mona montserrat morgane moritz morten moses muriel mustafa myriam nadege nadine nadja naomi natacha natalia natalie natascha
+natasha nathalie nathan nathaniel neil nelly nelson nestor nicholas nick nicola nicole nicoletta nicolo nigel nikita nikolai nikolaus nils nina nino noah noel noelia
+noelle noemi nora norbert norma norman octavio odette ofelia olaf olga olivia olivier omar oscar oskar osvaldo oswald otto pablo pamela paola pascal pascale pascual
+patrice patricia patricio patrick patrizia patrizio paula paulette paulina pauline paulo pawel peggy penelope perrine petra phil philip philipp philippa phillip
+phoebe phyllis pia pier pierluigi piero pierrick pietro piotr placido quentin rachel rachele radu rafaela raffaele raffaella rahul raimund rainer raj rajesh ralf
+ralph ramiro ramon ramona randy raoul raquel raul ravi raymond raymonde rebeca rebecca reginald regine regis reinhard reinhold remi remy renata renate renato rene
+renee reto rhiannon ricarda ricardo riccardo richard rita roberta roberto robin rodolfo rodrigo roger roland rolando rolf romain roman romina romy ron ronald rosa
+rosalia rosalie rosalind rosanna rosaria rosario roseline rosemarie rosemary rosina rosita ross roswitha roxane roy ruben rudi rudiger rudolf russell ruth ryan
+sabina sabrina sally salma salvatore sam samantha samir samira samuel sandra sanjay sara sascha saskia saul savannah scott sean sebastian sebastiano sebastien selim
+selina serge sergei sergio severin severine sharon shaun sheila shirley sibylle sidney siegfried siegrid sigrid silke silvana silvia silvio simon simona simone
+siobhan solange sonia sonja sonya sophia sophie soraya stacy stanislas stanislaw stanley stefania stefanie stefano steffen steffi stephan stephane stephanie stephen
+steve steven stewart stuart suzanne svetlana swen sybille sylvain sylvia sylvie tania tanja tanya tara tatiana tatjana ted telma terence terry thea thelma theo
+theodor theodore theresa therese thierry thilo thora thorsten tiffany tilman tim timo timothy tina tito tobias toby todd tom tomas tommaso tommy toni tony tracy
+trevor tristan trudy tullio udo ugo ulla ulrike umberto ute uwe valentin valentina valentino valeria valerie valerio vanessa vasco vera verena veronica veronika
+veronique vicente vicki victoire victor vikram viktor viktoria vincent vincente vincenzo violaine violeta violette virginie vito vittoria vittorio vivian viviana
+vivien vivienne vladimir volker waldemar walter wanda warren wayne wendy wenzel werner wilfried wilhelm willi willy wilma winfried wolfram xavier ximena yago yann
+yannis yasmin yasmina yoko yolanda yosef youssef yuki yusuf yves yvette zachary zaira zara zeynep zoe zuzanna
+""".split()
 # Particles of family names.
 PARTICLES = "d' da dal de dei del della der des di do dos du la le mac san ten ter van vom von zu zum".split()
 # Titles, which are no part of a name.
-TITLES = "dr dott dra frau herr herrn m madame mme mr mrs ms prof senhor senhora senor senora sig sigra signor signora sr sra".split()
+TITLES = "docteur doctor doctora dott dottore dottoressa dr dra frau herr herrn m madame mademoiselle miss mlle mme monsieur mr mrs ms prof professeur professor profesor profesora professora senhor senhora senor senora sig sigra signor signora sr sra".split()
 # Street words, English and Romance before or after the name, German at its end.
 STREETS_EN = "alley avenue ave boulevard blvd close court ct crescent drive dr gardens grove hill lane ln mews park place pl road rd row square sq street st terrace ter walk way".split()
 STREETS_FR = "allee avenue av bd boulevard chemin cours impasse passage place quai route rue sentier square".split()
@@ -122,14 +188,18 @@ def _upper(text: str) -> bool:
 
 @cache
 def _anchors() -> ahocorasick.Automaton:
-    """Given names, with their length, and pairs of spelled digits, with 0."""
+    """Given names, with their length; pairs of spelled digits, with 0; titles, greetings and who did something, with -(4 x length + 1, 2 or 3)."""
     automaton = ahocorasick.Automaton()
     for first in DIGITS:
         for second in DIGITS:
             for mark in (" ", "-", ", ", ","):
                 automaton.add_word(f"{first}{mark}{second}", 0)
-    for name in GIVEN_NAMES:
+    for name in (*GIVEN_NAMES, *COMMON_NAMES):
         automaton.add_word(name, len(name))
+    titles = [f"{t}{dot} " for t in TITLES for dot in ("", ".") if (t, dot) != ("m", "")]
+    for kind, words in ((1, titles), (2, [f"{w} " for w in GREETINGS]), (3, [f"{w} " for w in DONE_BY])):
+        for word in words:
+            automaton.add_word(word, -(4 * len(word) + kind))
     automaton.make_automaton()
     return automaton
 
@@ -143,13 +213,11 @@ def _names(anchors: list[tuple[int, int]], plain: str, text: str) -> Iterator[tu
     """Spans of given and family name, in either order; ``text`` has the case of ``plain``'s characters."""
     size = len(plain)
     for last, length in anchors:
-        if not length:
+        if length <= 0 or not text[last - length + 1].isupper():
             continue
         start, end = last - length + 1, last + 1
         if (start and (plain[start - 1].isalnum() or plain[start - 1] in "-._@+")) or (end < size and (plain[end].isalnum() or plain[end] in "_@.+" and plain[end + 1 : end + 2].isalnum())):
             continue
-        if not _upper(text[start:end]):
-            continue
         found = _AFTER_GIVEN.match(text, end)
         if found and (span := _family_after(found, text)):
             yield start, span
@@ -235,6 +303,113 @@ def _structural_names(plain: str, text: str) -> Iterator[tuple[int, int]]:
                 yield found.span(1)
 
 
+_GIVEN = r"[^\W\d_]{2,}(?:['’-][^\W\d_]+)*"
+_GIVEN_AT = re.compile(_GIVEN)
+_REVERSED = re.compile(rf"({_PART}{_FAMILY})(?: ({_FAMILY}))?, ({_GIVEN})(?: [^\W\d_]\.(?![^\W\d_]))?")
+# Words that are capitalised where a name may stand and are none.
+NO_NAMES = frozenset(
+    "a all an and assistant bot client colleague colleagues committee customer department desk everyone friends group hiring i it madam manager open project service sir support system team the this user we you "
+    "alle allen damen das der die equipe equipo es herren kollegen kunde le la les los las mitglieder section sie todos tutti wir".split()
+)
+# Greetings, and who did something, without accents, by language.
+GREETINGS = "dear hi hello hey hola querido querida estimado estimada cher chere bonjour liebe lieber hallo caro cara gentile ciao ola prezado prezada".split()
+DONE_BY = [
+    *(f"{w} by" for w in "led chaired taken written signed approved reviewed prepared drafted recorded submitted hosted presented authored edited".split()),
+    *(f"{w}{e} por" for w in "dirigid escrit firmad redactad presidid preparad presentad conduzid assinad redigid aprovad aprobad".split() for e in ("o", "a", "os", "as")),
+    *(f"{w}{e} par" for w in "mene dirige redige signe preside prepare presente approuve ecrit".split() for e in ("", "e", "s", "es")),
+    *(f"{w}{e} da" for w in "guidat scritt firmat redatt presiedut preparat presentat condott approvat".split() for e in "oaei"),
+    *(f"{w} von" for w in "geleitet verfasst geschrieben unterschrieben moderiert".split()),
+]
+_CELL = r"([^\W\d_][^\r\n|;<>\"\d@:]{3,60}?)"
+_CELL_HERE = re.compile(_CELL + r"[ ,]*\r?(?:\n|$)")
+_HEAD_CELL = re.compile(_CELL + r" ?\r?(?:<|\n|$)")
+_SPEAKER = re.compile(rf"[>*\- ]{{0,4}}[\[(]?\d{{1,2}}:\d\d(?::\d\d)?[\])]?(?: -)? {_CELL}:")
+_HEADS = ("From: ", "To: ", "Cc: ", "Author: ", "Signed-off-by: ", "Von: ", "An: ", "De: ", "Para: ", "Autor: ", "Auteur: ", "Autore: ")
+# Last words of a closing.
+CLOSINGS = frozenset("regards sincerely cheers thanks wishes saludos saludo atentamente cordialement salutations grüßen grüße grüssen saluti atenciosamente cumprimentos abraço".split())
+_CELL_BEFORE = re.compile(rf"(?:^|[\n|>;]) ?{_CELL} ?[;|\t] ?$")
+
+
+@cache
+def _known() -> frozenset[str]:
+    return frozenset((*GIVEN_NAMES, *COMMON_NAMES))
+
+
+def _no_name(word: str) -> bool:
+    return not _upper(word) or word.lower() in NO_NAMES or word.lower() in OPENERS or word.lower() in TITLES
+
+
+def _name_at(text: str, at: int, closed: bool = False) -> int:
+    """End of the given and family name that start here by their shape, or 0.
+
+    Family name and given name, with a comma, count in a ``closed`` place or with the family name in capitals.
+    """
+    turned = _REVERSED.match(text, at)
+    if turned and not _no_name(turned[1].rpartition(" ")[2].removeprefix("d'").removeprefix("d’")) and not _no_name(turned[3]):
+        known = aligned(turned[3])[0] in _known()
+        if (closed or known or (turned[1].isupper() and len(turned[1]) > 2 and not turned[3].isupper())) and (not turned[2] or _upper(turned[2])):
+            return turned.end()
+    given = _GIVEN_AT.match(text, at)
+    if not given or _no_name(given[0]):
+        return 0
+    found = _AFTER_GIVEN.match(text, given.end())
+    if not found or _no_name(found[1].rpartition(" ")[2].removeprefix("d'").removeprefix("d’")):
+        return 0
+    return _family_after(found, text)
+
+
+def _closed(text: str) -> Iterator[tuple[int, int]]:
+    """Cells that hold a name and nothing else if they hold one: speakers with a time, signatures, heads of messages."""
+    at, signs, size = 0, False, len(text)
+    while at < size:
+        end = text.find("\n", at)
+        end = size if end < 0 else end
+        first = text[at]
+        found = None
+        if signs:
+            found = _CELL_HERE.match(text, at)
+        elif first.isdigit() or first in "[(>*- ":
+            found = _SPEAKER.match(text, at)
+        elif text.startswith(_HEADS, at):
+            found = _HEAD_CELL.match(text, text.index(" ", at) + 1)
+        if found:
+            yield found.span(1)
+        if end - at < 60:
+            line = text[at:end].rstrip("\r")
+            if line:
+                signs = line in ("-- ", "--") or line.rstrip(" ,").rpartition(" ")[2].lower() in CLOSINGS
+            # An empty line may stand between a closing and the name.
+        else:
+            signs = False
+        at = end + 1
+
+
+def _placed_names(anchors: list[tuple[int, int]], plain: str, text: str, emails: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Names of any given name by where they stand: after a title, a greeting or who did something, as a speaker, a signature or the owner of an address."""
+    for last, code in anchors:
+        if code >= 0:
+            continue
+        length, kind = divmod(-code, 4)
+        start, at = last - length + 1, last + 1
+        if not text[at : at + 1].isalpha() or (start and (plain[start - 1].isalnum() or plain[start - 1] in "_@.-/'’")):
+            continue
+        if kind == 1:
+            title = text[start : at - 1]
+            if not (_upper(title) and (title.endswith(".") or title[1:].islower())) and length <= 5:
+                continue
+        end = _name_at(text, at)
+        if end and (kind != 2 or text[end : end + 1] in ("", ",", "!", ":", "\r", "\n")):
+            yield at, end
+    for start, end in _closed(text):
+        if _name_at(text, start, closed=True) == end:
+            yield start, end
+    for start, _ in emails:
+        low = max(0, start - 90)
+        head = text[low:start]
+        if head.rstrip(" ")[-1:] in (";", "|", "\t") and (found := _CELL_BEFORE.search(head)) and _name_at(text, low + found.start(1), closed=True) == low + found.end(1):
+            yield low + found.start(1), low + found.end(1)
+
+
 _NAME = r"([^\W\d_][^\n|;<>\"{}\d@:]{2,60}?)"
 _CONTACT = re.compile(rf"\"(?:contact|author|name|sender|owner)\": ?\"{_NAME}\"")
 _MAILTO = re.compile(rf"mailto:[^\"<>\n]{{3,120}}\">{_NAME}</a>")
@@ -399,8 +574,10 @@ def spans(text: str | None) -> list[tuple[int, int, str]]:
     plain, places = aligned(text)
     cased = text if places is None else "".join(text[i] for i in places)
     found: list[tuple[int, int, int, str]] = []
+    emails: list[tuple[int, int]] = []
     if "@" in plain or " dot " in plain or "at)" in plain or "at]" in plain or "at}" in plain or "at>" in plain or "arroba" in plain or "&#64;" in plain or "%40" in plain:
-        found += [(0, a, b, "email") for a, b in _emails(plain)]
+        emails = list(_emails(plain))
+        found += [(0, a, b, "email") for a, b in emails]
     found += [(1, a, b, "addr") for a, b in _addresses(plain, cased)]
     found += [(2, a, b, kind) for kind, a, b in _numbers(plain)]
     anchors = list(_anchors().iter_long(plain))
@@ -409,6 +586,7 @@ def spans(text: str | None) -> list[tuple[int, int, str]]:
         found += [(2, where[a], where[b - 1] + 1, kind) for kind, a, b in _numbers(digits) if where[b - 1] + 1 - where[a] > b - a + 4]
     found += [(3, a, b, "name") for a, b in _names(anchors, plain, cased)]
     found += [(3, a, b, "name") for a, b in _structural_names(plain, cased)]
+    found += [(3, a, b, "name") for a, b in _placed_names(anchors, plain, cased, emails)]
     if not found:
         return []
     found.sort(key=lambda f: (f[0], -(f[2] - f[1]), f[1]))

@@ -82,3 +82,24 @@ def test_frames_with_nulls_repeats_and_long_texts(spark):
     clean = {(r.doc_id, r.n_replaced): r.text for r in P.redacted(frame).collect()}
     assert clean[1, 0] is None and clean[2, 0] == "" and clean[3, 2] == "write to [EMAIL] or [EMAIL]"
     assert P.personal_found(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+PLACED = [
+    ("The call with Richard Fenmore was short.", "Richard Fenmore"), ("Nous avons vu Sophie Calvel hier", "Sophie Calvel"), ("ha scritto Giuseppe Gortini ieri", "Giuseppe Gortini"),
+    ("Then Mr. Zebulon Fenmore asked", "Zebulon Fenmore"), ("Wie Frau Ortrun von Halmann sagte", "Ortrun von Halmann"), ("Dr. FENLOW, Zebulon asked", "FENLOW, Zebulon"),
+    ("Minutes taken by Zebulon T. Fenmore, approved", "Zebulon T. Fenmore"), ("Dear Zebulon Fenmore,\nwe moved it.", "Zebulon Fenmore"),
+    ("[11:03] Fenmore, Zebulon: it is done", "Fenmore, Zebulon"), ("all done.\r\n-- \r\nZebulon Fenmore\r\n", "Zebulon Fenmore"), ("Best regards,\nZebulon Fenmore", "Zebulon Fenmore"),
+    ("La conduzida por Istvidim Daltal, João e", "Istvidim Daltal, João"),
+]
+
+
+@pytest.mark.parametrize(("text", "piece"), PLACED)
+def test_names_outside_the_first_list(text, piece):
+    assert [(k, text[a:b]) for a, b, k in P.spans(text)] == [("name", piece)]
+
+
+def test_owner_of_an_address_and_no_names_by_place():
+    text = "| Zebulon Fenmore | z.f@mail.example |"
+    assert [(k, text[a:b]) for a, b, k in P.spans(text)] == [("name", "Zebulon Fenmore"), ("email", "z.f@mail.example")]
+    for text in ("Dear Support Team,\nwe", "[11:03] Open questions: none", "12 MS Office Files", "Hello Everyone Else, hi", "From: The Harvester\n", "Mr. Fenmore asked", "VENDIERON AMBER ABOUT 571"):
+        assert P.spans(text) == []
