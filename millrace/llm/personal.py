@@ -238,10 +238,8 @@ def _family_after(found: re.Match[str], text: str) -> int:
     if core.lower() in STREETS_EN:
         return 0
     second = found[2]
-    if second and _upper(second) and len(second) > 1 and core[-1:].lower() in "aeilmoszrn" and second.lower() not in STREETS_EN and second[1:].islower() == core[1:].islower():
-        after = text[found.end() : found.end() + 1]
-        if second[-1:].lower() in "aoezlmis" and after != "-":
-            return found.end(2)
+    if second and _upper(second) and len(second) > 1 and second.lower() not in STREETS_EN and second.lower() not in NO_SECOND and second.lower() not in OPENERS and second[1:].islower() == core[1:].islower() and text[found.end() : found.end() + 1] != "-":
+        return found.end(2)
     return found.end(1)
 
 
@@ -285,6 +283,22 @@ OPENERS = frozenset(
     "samedi dimanche hallo danke liebe lieber ja nein heute gestern montag dienstag mittwoch donnerstag freitag samstag sonntag ciao grazie caro cara lunedì martedì mercoledì "
     "giovedì venerdì sabato domenica olá obrigado obrigada caro hoje ontem segunda terça quarta quinta sexta".split()
 )
+# Capitalised words that follow a name without being a second family name: of headings and sentences in capitals, of
+# times and firms, and German nouns and forms of address.
+NO_SECOND = frozenset(
+    "a about after and are as asked at be before but by can co company corp could did do does for from gmbh group had has have he her his i if in inc into is it its jr limited llc ltd may mr mrs ms "
+    "must my not of off on or our out over phd plc said sagl sarl says senior she should so spa sr srl team than that the their then they this to under until up was we were when who will with would you your "
+    "al así aunque como con cuando de del desde después dice dijo donde el ella en entre era es esta este fue ha hasta la las lo los más no para pero por porque que se según ser si sin sobre su también un una y ya "
+    "au aux avec avant ce ces chez comme dans depuis des du elle est et il ils la le les leur lui mais ne nous ou où par pas plus pour puis qui sa sans selon ses son sont sous sur un une vous à a été "
+    "ai alla anche che chi ci come con da dal dalla dei della di dopo e è era fra gli ha i il in lo loro ma nel nella non per perché più poi prima quando se si sono su sul un una uno "
+    "ao aos com como da das de depois do dos e ela ele em era essa esse está foi mais mas na nas no nos não o os ou para pela pelo por porque quando que se sem seu sua são também um uma à é "
+    "aber als am an auf aus bei bis das dem den der die ein eine er es für hat ihm ihn ihnen ihr ihre im ist kann mit nach nicht noch oder sagte sich sie sind über um und vom von vor war wenn wie wird zu zum zur "
+    "abend anfang angebot antrag anruf antwort arbeit auftrag bericht beispiel daten email ende entwurf fehler frage fragen freitag geld heute jahr mail mitte mittag montag morgen nachricht post problem "
+    "projekt rechnung rechnungen samstag sonntag stunden tag tage tagen telefon termin uhr unterlagen vertrag woche wochen zahlen zeit "
+    "january february march april june july august september october november december enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre janvier février mars avril mai juin "
+    "juillet août septembre octobre novembre décembre januar februar märz juni juli oktober dezember gennaio febbraio aprile maggio giugno luglio settembre ottobre dicembre janeiro fevereiro março maio junho julho "
+    "setembro outubro novembro dezembro".split()
+)
 _PARTICIPLE = re.compile(r"[^\W\d_]{3,}(?:at|ut|it|ett|ess|tt)[aoei] $")
 
 

@@ -103,3 +103,14 @@ def test_owner_of_an_address_and_no_names_by_place():
     assert [(k, text[a:b]) for a, b, k in P.spans(text)] == [("name", "Zebulon Fenmore"), ("email", "z.f@mail.example")]
     for text in ("Dear Support Team,\nwe", "[11:03] Open questions: none", "12 MS Office Files", "Hello Everyone Else, hi", "From: The Harvester\n", "Mr. Fenmore asked", "VENDIERON AMBER ABOUT 571"):
         assert P.spans(text) == []
+
+
+@pytest.mark.parametrize("name", ["Pilar Ortega Calderón", "Antonio López Martín", "Lucía Ruiz Salazar", "Inês Prat Duarte", "JUAN VIDAL FERRER", "Maria Lopes Albuquerque"])
+def test_second_family_names_of_any_ending(name):
+    text = f"y {name} dijo"
+    assert [(k, text[a:b]) for a, b, k in P.spans(text)] == [("name", name)]
+
+
+@pytest.mark.parametrize(("text", "piece"), [("Laut Anna Krug Ende Mai", "Anna Krug"), ("met Sarah Fenwick Monday", "Sarah Fenwick"), ("JUAN VIDAL CON ELLA", "JUAN VIDAL"), ("Notes by Paul Fenlow And Others", "Paul Fenlow"), ("David Fenlow Ltd is", "David Fenlow")])
+def test_words_after_a_name_that_are_no_second_family_name(text, piece):
+    assert [(k, text[a:b]) for a, b, k in P.spans(text)] == [("name", piece)]
