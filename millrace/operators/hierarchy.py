@@ -143,30 +143,44 @@ def hierarchy(nodes: DataFrame, paths: bool = False) -> DataFrame:
     schema, rounds, tail = live.schema, 0, None
     while left := live.where("state = 'live' and node <> parent").limit(LAST_LINKS + 1).count():
         if left <= LAST_LINKS:
-            tail = store.put("last", _last_rounds(live.where("state <> 'compressed'"), schema, paths))
+            tail = store.put("last", _last_rounds(_last_links(live), schema, paths))
             break
         rounds += 1
         live = store.put(f"round-{rounds}", _round(live.where("state <> 'compressed'").drop("only", "on_child_link"), paths))
     return _expand(store, known, tops, rounds, schema, tail, paths)
 
 
+def _last_links(live: DataFrame) -> DataFrame:
+    """The links still contracted, with the weight raked off them in the last round, and the cores they hang on.
+
+    Callers see to it that at most ``LAST_LINKS`` links don't end at themselves, so rows are at most twice as many.  Raked rows
+    (the leaves of a hub) and cores have no such bound: raked rows are summed by parent, and other cores are left out.
+    """
+    links = live.where("state = 'live' and node <> parent")
+    heads = F.broadcast(links.select(F.col("node").alias("head")).distinct())
+    raked = live.where("state = 'raked'").join(heads, F.col("parent") == F.col("head"), "left_semi")
+    raked = raked.groupBy(F.col("parent").alias("of")).agg(F.sum(F.col("weight") + F.col("on_link")).alias("raked_weight"))
+    weighed = links.join(F.broadcast(raked), F.col("node") == F.col("of"), "left").withColumn("weight", F.col("weight") + F.coalesce("raked_weight", F.lit(0)))
+    parents = F.broadcast(links.select(F.col("parent").alias("above")).distinct())
+    cores = live.where("state = 'live' and node = parent").join(parents, F.col("node") == F.col("above"), "left_semi")
+    return weighed.select(*live.columns).unionByName(cores.select(*live.columns))
+
+
 def _last_rounds(live: DataFrame, schema: StructType, paths: bool) -> DataFrame:
     """The same rounds for the last few links, inside one task, and their records run backwards.
 
     Rows as of ``_round`` and, resolved, ``ref`` (a top or a core), ``ref_steps`` to it, ``ref_size``,
-    ``ref_on_cycle`` and ``ref_via``.  The links are at most ``LAST_LINKS``, whatever the input.
+    ``ref_on_cycle`` and ``ref_via``.  ``live`` is as of ``_last_links``; the cores in it aren't given back.
     """
     more = "ref string, ref_steps long, ref_size long, ref_on_cycle boolean, ref_via array<string>"
     out = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields) + ", " + more
     columns = [f.name for f in schema.fields]
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        links = {r["node"]: r for r in rows[rows["state"] == "live"].to_dict("records")}
+        links = {r["node"]: r for r in rows.to_dict("records")}
+        given = {node for node, link in links.items() if node == link["parent"]}
         for link in links.values():
             link["via"] = list(link["via"]) if paths else []
-        for r in rows[rows["state"] == "raked"].to_dict("records"):
-            if r["parent"] in links:
-                links[r["parent"]]["weight"] += r["weight"] + r["on_link"]
         order = {node: at for at, node in enumerate(sorted(links, key=lambda n: (zlib.crc32(n.encode()), n)))}
         records: list[dict] = []
         alive = dict(links)
@@ -191,7 +205,7 @@ def _last_rounds(live: DataFrame, schema: StructType, paths: bool) -> DataFrame:
                 if link["parent"] in alive:
                     alive[link["parent"]]["weight"] += link["weight"] + link["on_link"]
         found = {node: (node, 0, None, True, []) for node in alive}
-        resolved = [link | {"ref": None, "ref_steps": None, "ref_size": None, "ref_on_cycle": None, "ref_via": None} for link in alive.values()]
+        resolved = [link | {"ref": None, "ref_steps": None, "ref_size": None, "ref_on_cycle": None, "ref_via": None} for node, link in alive.items() if node not in given]
         for record in reversed(records):
             ref, steps, _, _, via = found.get(record["parent"], (record["parent"], 0, None, False, []))
             inner = [record["parent"]] if record["parent"] in found and record["parent"] not in alive else []
@@ -225,8 +239,10 @@ def _expand(store: SharedTables, known: DataFrame, tops: DataFrame, rounds: int,
         (1 + F.coalesce("w", F.lit(0))).alias("size"),
         *([F.array("node").alias("path")] if paths else []),
     )
-    last = store.get(schema, f"round-{rounds}") if tail is None else tail
-    cores = last.where("state = 'live'").select(
+    last = store.get(schema, f"round-{rounds}").where("state = 'live' and node = parent")
+    if tail is not None:
+        last = last.unionByName(tail.where("state = 'live'").select(*schema.names))
+    cores = last.select(
         "node",
         F.col("smallest").alias("top"),
         F.lit(None).cast("long").alias("depth"),

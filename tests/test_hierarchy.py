@@ -113,3 +113,21 @@ def test_newest_delivery_counts(spark):
 
     rows = [("a", None, "a", None, None, None), ("b", "gone", "a", datetime(2025, 1, 1), None, None), ("b", "a", "a", datetime(2025, 1, 2), None, None)]
     assert H.hierarchy_findings(spark.createDataFrame(rows, SCHEMA)).count() == 0
+
+
+def test_leaves_and_cycles_stay_out_of_the_last_task(spark, monkeypatch):
+    monkeypatch.setattr(H, "LAST_LINKS", 40)
+    entered, last_rounds = [], H._last_rounds
+    monkeypatch.setattr(H, "_last_rounds", lambda live, *rest: (entered.append(live.count()), last_rounds(live, *rest))[1])
+    chain = [(f"c{k:04d}", f"c{k - 1:04d}" if k else None, "c0000", None, None, None) for k in range(30)]
+    hub = [(f"h{k:04d}", "c0010", "c0000", None, None, None) for k in range(500)]
+    loops = [(f"s{k:03d}", f"s{k:03d}", "x", None, None, None) for k in range(150)]
+    below = [(f"t{k}", f"s{k:03d}", "x", None, None, None) for k in range(3)]
+    rows = spark.createDataFrame(chain + hub + loops + below, SCHEMA)
+    got = {r.execution_id: (r.top_id, r.depth, r.descendants) for r in H.hierarchy_paths(rows).collect()}
+    assert len(entered) == 1 and entered[0] <= 80
+    assert len(got) == 30 + 500 + 150 + 3
+    assert all(got[f"c{k:04d}"] == ("c0000", k, 29 - k + (500 if k <= 10 else 0)) for k in range(30))
+    assert got["h0007"] == ("c0000", 11, 0) and got["s149"] == ("s149", None, None) and got["t2"] == ("s002", None, None)
+    findings = [r.finding for r in H.hierarchy_findings(rows).collect()]
+    assert findings.count("cycle") == 150 and findings.count("into_cycle") == 3
