@@ -153,17 +153,33 @@ def scatter(frame: DataFrame, x: str, y: str, limit: int | None = None) -> DataF
 # --- pivots
 
 
-def pivot_cells(frame: DataFrame, row: str, column: str, value: str | None = None, fn: str = "count") -> DataFrame:
-    """row, col, value: every cell of the grid, 0 where there is none.
+#: Cells up to which a pivot's grid is filled with zeros.
+MAX_GRID = 100_000_000
+
 
-    Rows and columns whose cells are all null are left out for mean, min, max and median; sum and
-    count give 0 and keep them.  The grid is the cross of the labels that occur, which are aggregated first.
+def pivot_filled(frame: DataFrame, row: str, column: str, value: str | None = None, fn: str = "count") -> DataFrame:
+    """row, col, value: the cells that rows fall into, of any number of labels.
+
+    Cells that are null, which mean, min, max and median may give, are left out; sum and count give 0 and keep them.
     """
     need(frame, row, column)
     measure = F.count(F.lit(1)) if value not in frame.columns else aggregate(fn, numeric(frame, value))
     cells = frame.where(F.col(row).isNotNull() & F.col(column).isNotNull()).groupBy(F.col(row).alias("row"), F.col(column).alias("col")).agg(finite(measure).alias("value"))
-    kept = cells.where("value is not null")
-    grid = kept.select("row").distinct().join(F.broadcast(kept.select("col").distinct().limit(10_000)), how="cross")
+    return cells.where("value is not null")
+
+
+def pivot_cells(frame: DataFrame, row: str, column: str, value: str | None = None, fn: str = "count") -> DataFrame:
+    """row, col, value: every cell of the grid, 0 where there is none.
+
+    Rows and columns whose cells are all null are left out.  The grid is the cross of the labels of ``pivot_filled``; they
+    are counted first, and a grid above ``MAX_GRID`` cells is an error, never a part of it.
+    """
+    kept = pivot_filled(frame, row, column, value, fn)
+    rows, columns = kept.agg(F.count_distinct("row"), F.count_distinct("col")).first()
+    if rows * columns > MAX_GRID:
+        raise ValueError(f"a grid of {rows} rows and {columns} columns is above {MAX_GRID} cells: use pivot_filled, which leaves zeros out")
+    many, few = (kept.select(name).distinct() for name in (("row", "col") if rows > columns else ("col", "row")))
+    grid = many.join(F.broadcast(few), how="cross")
     return grid.join(kept, ["row", "col"], "left").select("row", "col", F.coalesce("value", F.lit(0.0)).alias("value"))
 
 
@@ -174,7 +190,7 @@ def pivot_wide(frame: DataFrame, row: str, column: str, columns: Sequence[str],
 
 
 def pivot_totals(cells: DataFrame) -> DataFrame:
-    """axis, label, total: sums of the displayed cells by row, by column and in all."""
+    """axis, label, total: sums of the cells by row, by column and in all; zeros make no difference."""
     sums = cells.groupingSets([["row"], ["col"], []], "row", "col").agg(F.sum("value").alias("total"), F.grouping("row").alias("gr"), F.grouping("col").alias("gc"))
     axis = F.when((F.col("gr") == 0), "row").when(F.col("gc") == 0, "col").otherwise("all")
     return sums.select(axis.alias("axis"), F.coalesce(F.col("row").cast("string"), F.col("col").cast("string")).alias("label"), finite("total").alias("total"))

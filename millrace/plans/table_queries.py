@@ -201,7 +201,7 @@ SELECT 'row' AS axis, row::VARCHAR AS label, sum(value)::DOUBLE AS total FROM gr
 UNION ALL SELECT 'col', col::VARCHAR, sum(value)::DOUBLE FROM grid GROUP BY col UNION ALL SELECT 'all', NULL, sum(value)::DOUBLE FROM grid"""
 )
 def pivot_totals(spark, folder):
-    return tabular.pivot_totals(tabular.pivot_cells(table(spark, folder, "part"), "p_brand", "p_size"))
+    return tabular.pivot_totals(tabular.pivot_filled(table(spark, folder, "part"), "p_brand", "p_size"))
 
 
 @query(

@@ -164,3 +164,14 @@ def test_pushed_filters(spark, tmp_path):
     spark.range(100).select("id", (F.col("id") * 2).alias("v"), F.lit("x").alias("t")).write.parquet(path)
     plan = filtered(spark.read.parquet(path), [{"field": "v", "operator": "gt", "value": 10}]).select("id")._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(v)" in plan and "t#" not in plan.split("ReadSchema")[1]
+
+
+def test_pivot_of_many_columns_is_whole_or_an_error(spark, monkeypatch):
+    frame = spark.range(12_000).selectExpr("id % 3 as r", "id as c")
+    cells = T.pivot_cells(frame, "r", "c")
+    assert cells.count() == 36_000 and cells.agg({"value": "sum"}).first()[0] == 12_000
+    totals = {r.label: r.total for r in T.pivot_totals(T.pivot_filled(frame, "r", "c")).where("axis <> 'col'").collect()}
+    assert totals == {"0": 4000, "1": 4000, "2": 4000, None: 12_000}
+    monkeypatch.setattr(T, "MAX_GRID", 35_999)
+    with pytest.raises(ValueError, match="12000 columns"):
+        T.pivot_cells(frame, "r", "c")
