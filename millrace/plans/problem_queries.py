@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from millrace.operators import flatten, hierarchy, late_events
 
@@ -37,7 +38,10 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_tables(spark: SparkSession, folder: str) -> DataFrame:
-    return flatten.flat_tables(table(spark, folder, "executions"), "execution_id", "payload")
+    """Tables of payloads and of envelopes; ``source`` and table_name name a table."""
+    payloads = flatten.flat_tables(table(spark, folder, "executions"), "execution_id", "payload").withColumn("source", F.lit("executions.payload"))
+    envelopes = flatten.flat_tables(table(spark, folder, "execution_events"), "event_id", "envelope").withColumn("source", F.lit("execution_events.envelope"))
+    return payloads.unionByName(envelopes)
 
 
 P1_CTE = """

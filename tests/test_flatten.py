@@ -87,3 +87,20 @@ def test_empty_and_very_deep(spark):
     assert X.list_elements(spark.createDataFrame([], schema), "id", "body").count() == 0
     deep = '{"hits": [' * 300 + "{}" + "]}" * 300
     assert X.list_elements(spark.createDataFrame([("d", deep)], schema), "id", "body").count() == 301 - 1
+
+
+def test_tables_of_payloads_and_envelopes(spark, tmp_path):
+    from millrace.plans.problem_queries import p5_tables
+
+    record = json.dumps({"n": 1, "units": [{"pos": 0}]})
+    spark.createDataFrame([("x", record)], "execution_id string, payload string").write.parquet(f"{tmp_path}/executions.parquet")
+    spark.createDataFrame([("x", record), ("y", '{"spans": [{"a": 2}]}')], "event_id string, envelope string").write.parquet(f"{tmp_path}/execution_events.parquet")
+    rows = {(r.source, r.table_name, r.record_id, r.owner_path, r.columns) for r in p5_tables(spark, str(tmp_path)).collect()}
+    assert rows == {
+        ("executions.payload", "$", "x", None, '{"n": "1"}'),
+        ("executions.payload", "units", "x", "", '{"pos": "0"}'),
+        ("execution_events.envelope", "$", "x", None, '{"n": "1"}'),
+        ("execution_events.envelope", "units", "x", "", '{"pos": "0"}'),
+        ("execution_events.envelope", "$", "y", None, "{}"),
+        ("execution_events.envelope", "spans", "y", "", '{"a": "2"}'),
+    }
