@@ -3,7 +3,8 @@
 The counts are conflict-free counters.  A *cell* is keyed by stream, period, outcome, source and
 the source's own sequence number (the version); its value is how many events that version holds.
 Two cell states merge by the maximum per cell and a period's count is the sum over all sources, so
-delivering a batch again, or in another order, changes nothing.
+delivering a batch again, or in another order, changes nothing.  ``late_counts`` doesn't merge states: it has all
+arrivals and removes repeated events by their id instead.
 
 Lateness needs, for each event, the greatest event time that had arrived in its stream before it.
 A stream can hold a third of all rows, so this running maximum is never computed in one task per
