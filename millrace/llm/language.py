@@ -34,8 +34,8 @@ FIT_SENTENCES = 800
 FIT_OF_ONE = 6
 #: Longest labelled document that is drawn for fitting; longer ones are judged like all others.
 FIT_CHARS = 100_000
-#: A document's sentence is not learnt if it leads this much for another language than the label's.
-OTHER_LEAD = 0.08
+#: Times that one mean a language is fitted to tell which labels hold.
+MEANS = 2
 CENTROIDS = 8
 LONGEST_GRAM = 4
 PROJECTION = 16
@@ -164,44 +164,48 @@ def fit(samples: list[tuple[str, str]], centroids: int = CENTROIDS) -> LanguageM
     idf = (np.log((1 + len(counted)) / (1 + documents)) + 1).astype(np.float32)
     columns = {names[g]: k for k, g in enumerate(kept)}
     weights = {names[g]: float(idf[g]) for g in kept}
-    matrix = np.zeros((len(counted), len(kept)), dtype=np.float32)
-    for row, (_, ids, n) in enumerate(counted):
-        inside = place[ids] >= 0
-        matrix[row, place[ids[inside]]] = n[inside] * idf[ids[inside]]
-    matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-9)
-    of_row = np.array([language for language, _, _ in counted])
     centres, of_language = [], []
     for k in range(len(languages)):
-        own = _clusters(matrix[of_row == k], centroids, k)
-        centres.append(own)
-        of_language += [k] * len(own)
+        own = [(ids, n) for language, ids, n in counted if language == k]
+        matrix = np.zeros((len(own), len(kept)), dtype=np.float32)
+        for row, (ids, n) in enumerate(own):
+            inside = place[ids] >= 0
+            matrix[row, place[ids[inside]]] = n[inside] * idf[ids[inside]]
+        matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-9)
+        found = _clusters(matrix, centroids, k)
+        centres.append(found)
+        of_language += [k] * len(found)
     return LanguageModel(languages, weights, np.concatenate(centres), np.array(of_language), columns)
 
 
-def refit(first: LanguageModel, samples: list[tuple[str, str]], documents: list[tuple[str, str]], most: int = FIT_SENTENCES) -> LanguageModel:
+def refit(samples: list[tuple[str, str]], documents: list[tuple[str, str]], most: int = FIT_SENTENCES) -> LanguageModel:
     """A model of the samples and of the sentences of (language, text) documents whose label holds.
 
-    A label holds if most of the document's sentences are nearest to its language; of such a document
-    the sentences that lead clearly for another language are left out.
+    Wrong labels and foreign sentences are told by a model with one centroid a language, fitted on the
+    samples and on the documents as they are labelled: a mean is hardly moved by the few that are
+    wrong, and it knows the phrases of every language, which a model of the samples alone doesn't.
+    Sentences that lead for another language in it are left out, the model is fitted again without
+    them, and what holds then is learnt with all its centroids.
     """
-    found: dict[str, dict[str, None]] = {language: {} for language in first.languages}
+    known = {language for language, _ in samples}
+    drawn: dict[str, dict[str, None]] = {language: {} for language in known}
     for language, text in documents:
-        if language not in found or len(found[language]) >= most:
-            continue
-        parts = list(sentences_of(text))
-        if not parts:
-            continue
-        cosines = first.cosines([words for _, words in parts])
-        own = first.languages.index(language)
-        nearest = cosines.argmax(axis=1)
-        if np.bincount(nearest, minlength=len(first.languages)).argmax() != own:
-            continue
-        behind = cosines.max(axis=1) - cosines[:, own]
-        held = [part for (part, _), gap in zip(parts, behind, strict=True) if gap < OTHER_LEAD]
-        for part in sorted(held, key=xxhash.xxh32_intdigest)[:FIT_OF_ONE]:
-            if len(found[language]) < most:
-                found[language][part] = None
-    return fit([*samples, *((language, part) for language, parts in found.items() for part in parts)])
+        if language in known and len(drawn[language]) < 2 * most:
+            parts = sorted((part for part, _ in sentences_of(text)), key=xxhash.xxh32_intdigest)
+            drawn[language].update(dict.fromkeys(parts[:FIT_OF_ONE]))
+    labelled = [(language, part) for language, parts in drawn.items() for part in parts]
+    words = [words_of(part) for _, part in labelled]
+    held = labelled
+    for _ in range(MEANS if labelled else 0):
+        means = fit([*samples, *held], 1)
+        cosines = means.cosines(words)
+        own = np.array([means.languages.index(language) for language, _ in labelled])
+        behind = cosines.max(axis=1) - cosines[np.arange(len(own)), own]
+        held = [pair for pair, gap in zip(labelled, behind, strict=True) if gap <= 0]
+    kept: list[tuple[str, str]] = []
+    for language in sorted(known):
+        kept += [pair for pair in held if pair[0] == language][:most]
+    return fit([*samples, *kept])
 
 
 def fit_model(samples: DataFrame, documents: DataFrame | None = None, rows: int = FIT_ROWS, texts: int = FIT_DOCUMENTS) -> LanguageModel:
@@ -212,15 +216,15 @@ def fit_model(samples: DataFrame, documents: DataFrame | None = None, rows: int
     """
     wanted = samples.where("language is not null and sample is not null").select(F.lower(F.trim("language")).alias("l"), F.col("sample").alias("t")).distinct()
     picked = sorted((r["l"], r["t"]) for r in wanted.orderBy(F.xxhash64("t"), "l", "t").limit(rows).collect())
-    model = fit(picked)
     if documents is None:
-        return model
+        return fit(picked)
+    known = sorted({language for language, _ in picked})
     count = max(1, documents.count())
     # The draw is a hash range of the ids, so no sort and one scan; long texts take part whole.
     label = F.lower(F.regexp_extract("lang", LABEL, 1))
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(1_000_003 * min(1.0, texts / count))
-    drawn = documents.where(share & F.col("text").isNotNull() & label.isin(model.languages) & (F.length("text") <= FIT_CHARS)).select(label.alias("l"), "text", "doc_id").limit(2 * texts).collect()
-    return refit(model, picked, [(r["l"], r["text"]) for r in sorted(drawn, key=lambda r: str(r["doc_id"]))])
+    drawn = documents.where(share & F.col("text").isNotNull() & label.isin(known) & (F.length("text") <= FIT_CHARS)).select(label.alias("l"), "text", "doc_id").limit(2 * texts).collect()
+    return refit(picked, [(r["l"], r["text"]) for r in sorted(drawn, key=lambda r: str(r["doc_id"]))])
 
 
 _TAG = re.compile(r"<[/!?A-Za-z][^<>]{0,400}>")

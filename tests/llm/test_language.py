@@ -68,13 +68,27 @@ def test_very_long_text(spark, model):
     assert [tuple(r) for r in L.wrong_labels(frame, model).collect()] == [(1, "en")]
 
 
-def test_refit_learns_from_labelled_documents(model):
+def test_refit_learns_from_labelled_documents():
     docs = [(k, " ".join(t for language, t in SENTENCES[1::2] if language == k)) for k in PARTS] + [("en", " ".join(t for k, t in SENTENCES if k == "de"))]
-    better = L.refit(model, SENTENCES[::2], docs)
+    better = L.refit(SENTENCES[::2], docs)
     cosines = better.cosines([L.words_of(t) for _, t in SENTENCES])
     assert all(better.languages[k] == language for k, (language, _) in zip(cosines.argmax(axis=1), SENTENCES))
 
 
+def test_refit_learns_phrases_that_look_foreign_to_the_samples():
+    """Borrowed words make a phrase look French; labelled documents, a fifth of them labelled wrongly, say otherwise."""
+    own = [(k, t) for k, t in SENTENCES[::2] if k in ("en", "fr")]
+    strange = [f"{a} {b} {c} courtes notes manque" for a in ("Her", "His", "Their") for b in ("souvenir entree fits", "menu dessert suits", "boutique decor needs") for c in ("classic", "modern", "plain")]
+    first = L.fit(own)
+    assert all(first.languages[k] == "fr" for k in first.cosines([L.words_of(t) for t in strange]).argmax(axis=1))
+    docs = [("fr" if at % 5 == 0 else "en", f"{text}. {SENTENCES[at % 27][1]}") for at, text in enumerate(strange * 5)]
+    docs += [("fr", t) for k, t in SENTENCES if k == "fr"]
+    better = L.refit(own, docs)
+    assert all(better.languages[k] == "en" for k in better.cosines([L.words_of(t) for t in strange]).argmax(axis=1))
+    cosines = better.cosines([L.words_of(t) for k, t in SENTENCES if k == "fr"])
+    assert all(better.languages[k] == "fr" for k in cosines.argmax(axis=1))
+
+
 def test_fit_from_tables(spark):
     samples = spark.createDataFrame([*SENTENCES, (None, "x"), ("en", None)], "language string, sample string")
     documents = spark.createDataFrame([(1, SENTENCES[0][1], "en"), (2, None, "en"), (3, "x", None)], "doc_id long, text string, lang string")
