@@ -1,10 +1,13 @@
 """Event-time counts per period that stay right under late, repeated and reordered arrival.
 
 The counts are conflict-free counters.  A *cell* is keyed by stream, period, outcome, source and
-the source's own sequence number (the version); its value is how many events that version holds.
-Two cell states merge by the maximum per cell and a period's count is the sum over all sources, so
-delivering a batch again, or in another order, changes nothing.  ``late_counts`` doesn't merge states: it has all
-arrivals and removes repeated events by their id instead.
+version: the source's own sequence number with the event's id, since a number may be missing or be
+given twice.  Its value is how many events that version holds.  Counter states merge by the maximum
+of each cell, and a period's count is the sum over all versions and sources, so delivering a batch
+again, or in another order, changes nothing.  Every count runs through this merge.
+
+A version delivered several times is judged as of its first arrival: before cells are made, the
+arrivals of a version merge to the earliest, which is as indifferent to repetition and order.
 
 Lateness needs, for each event, the greatest event time that had arrived in its stream before it.
 A stream can hold a third of all rows, so this running maximum is never computed in one task per
@@ -39,7 +42,7 @@ def first_arrivals(events: DataFrame) -> DataFrame:
         "event_id",
         "root_execution_id",
         F.concat_ws("/", F.coalesce("producer_component", F.lit("")), F.coalesce("producer_instance_id", F.lit(""))).alias("source"),
-        F.coalesce(F.col("producer_sequence"), F.col("sequence"), F.lit(-1)).cast("long").alias("version"),
+        F.coalesce(F.col("producer_sequence"), F.col("sequence")).cast("long").alias("version"),
         micros("ingested_at").alias("arrived_us"),
         micros("occurred_at").alias("occurred_us"),
     ).where("event_id is not null and root_execution_id is not null and arrived_us is not null and occurred_us is not null")
@@ -97,8 +100,18 @@ def classify(marked: DataFrame, cut_off_hours: int = 12) -> DataFrame:
 
 
 def counter_cells(classified: DataFrame) -> DataFrame:
-    """Counter state of a set of first arrivals: one cell per stream, hour, outcome, source and version."""
-    return classified.groupBy(*CELL).agg(F.count("event_id").alias("n"))
+    """Counter state of a set of first arrivals: one cell per stream, hour, outcome, source and version.
+
+    No rows meet here: a version is one event, and states that hold it twice merge later.
+    """
+    return classified.select(
+        "root_execution_id",
+        "hour_id",
+        "outcome",
+        "source",
+        F.concat_ws(":", F.col("version").cast("string"), "event_id").alias("version"),
+        F.lit(1).cast("long").alias("n"),
+    )
 
 
 def merge_cells(*states: DataFrame) -> DataFrame:
@@ -110,7 +123,10 @@ def merge_cells(*states: DataFrame) -> DataFrame:
 
 
 def cell_totals(cells: DataFrame) -> DataFrame:
-    """Counts per stream, hour and outcome: the sum over sources and versions."""
+    """Counts per stream, hour and outcome of a merged state: the sum over sources and versions.
+
+    Summed where they lie first, so that a stream with a third of all events is no single task.
+    """
     return cells.groupBy("root_execution_id", "hour_id", "outcome").agg(F.sum("n").alias("n"))
 
 
@@ -119,8 +135,8 @@ def late_counts(events: DataFrame, cut_off_hours: int = 12, slice_seconds: int =
 
     An empty log gives no rows; extra columns of the input are ignored.
     """
-    arrivals = first_arrivals(events)
-    return cell_totals(counter_cells(classify(with_mark(arrivals, slice_seconds), cut_off_hours)))
+    classified = classify(with_mark(first_arrivals(events), slice_seconds), cut_off_hours)
+    return cell_totals(merge_cells(counter_cells(classified)))
 
 
 def late_found(events: DataFrame, cut_off_hours: int = 12) -> DataFrame:

@@ -68,8 +68,9 @@ def execution_states(events: DataFrame) -> DataFrame:
 class LateCounts:
     """Sink that keeps late-corrected hour counts of a stream in a folder.
 
-    Each micro-batch adds its events to the log of arrivals and rewrites the counts.  A batch that is
-    run again writes the same files: its folder is named by its number, and counts are made again from the log without repeated events.
+    Each micro-batch adds its events to the log of arrivals and rewrites the counts of the streams it
+    touches by merging their counter cells.  A batch that is run again writes the same files: its
+    folder is named by its number, and cells that the log holds twice merge to one.
     """
 
     def __init__(self, folder: str, cut_off_hours: int = 12) -> None:

@@ -71,6 +71,23 @@ def test_counters_merge_idempotent_and_in_any_order(spark):
     assert sorted(map(str, L.cell_totals(merged).collect())) == whole
 
 
+def test_versions_without_a_number_or_with_one_given_twice_all_count(spark):
+    """Events without sequence numbers, and two of one number, are versions of their own, in whichever state they come."""
+    numbers = [None, None, 7, 7, 8]
+    rows = [(f"e{k}", "r", n, "c", "i", None, START, START + timedelta(minutes=k), None, None) for k, n in enumerate(numbers)]
+    whole = spark.createDataFrame(rows, SCHEMA)
+    assert [tuple(r) for r in L.corrected_hours(whole).collect()] == [("r", 484236, 5, 0, 0)]
+    cells = [L.counter_cells(L.classify(L.with_mark(L.first_arrivals(spark.createDataFrame(part, SCHEMA))))) for part in (rows[:3], rows[2:], rows[1:4])]
+    assert [r.n for r in L.cell_totals(L.merge_cells(*cells)).collect()] == [5]
+
+
+def test_delivering_again_changes_no_count(spark):
+    rows = rows_of(7)
+    once = sorted(map(str, L.corrected_hours(spark.createDataFrame(rows, SCHEMA)).collect()))
+    again = rows + [(*r[:7], r[7] + timedelta(days=9), *r[8:]) for r in rows if r[7]]
+    assert sorted(map(str, L.corrected_hours(spark.createDataFrame(again[::-1], SCHEMA)).collect())) == once
+
+
 def test_nulls_and_empty(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert L.late_found(none).count() == 0 and L.corrected_hours(none).count() == 0
