@@ -15,7 +15,9 @@ only repeated deliveries of one record are merged, after shredding, on narrow ro
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterable, Iterator
+from json.decoder import scanstring
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,10 +38,71 @@ def read_json(text: str | None) -> object:
         return None
     try:
         return json.loads(text)
-    except (ValueError, RecursionError):
+    except RecursionError:
+        return _read_deep(text)
+    except ValueError:
         return None
 
 
+_TOKEN = re.compile(r"[ \t\r\n]*(?:([\[\]{},:])|(\")|([^ \t\r\n\[\]{},:\"]+))")
+_BLANK = re.compile(r"[ \t\r\n]*")
+
+
+def _read_deep(text: str) -> object:
+    """The JSON value of a text that nests deeper than the interpreter's stack; None if it can't be read.
+
+    Open lists and objects are kept on an explicit stack.  ``wanted`` names what may come next.
+    """
+    stack: list[dict | list] = []
+    keys: list[str] = []
+    root: object = None
+    at, wanted = 0, "value"
+    while wanted != "end":
+        token = _TOKEN.match(text, at)
+        if not token:
+            return None
+        at, mark = token.end(), token[1]
+        value: object = None
+        try:
+            if mark and mark in "[{" and wanted in ("value", "value or close"):
+                value = [] if mark == "[" else {}
+            elif mark and mark in "]}" and stack and wanted in ("value or close", "key or close", "comma") and (type(stack[-1]) is list) == (mark == "]"):
+                stack.pop()
+                wanted = "comma" if stack else "end"
+                continue
+            elif mark == "," and wanted == "comma":
+                wanted = "value" if type(stack[-1]) is list else "key"
+                continue
+            elif mark == ":" and wanted == "colon":
+                wanted = "value"
+                continue
+            elif token[2] and wanted in ("key", "key or close"):
+                key, at = scanstring(text, at)
+                keys.append(key)
+                wanted = "colon"
+                continue
+            elif token[2] and wanted in ("value", "value or close"):
+                value, at = scanstring(text, at)
+            elif token[3] and wanted in ("value", "value or close"):
+                value = json.loads(token[3])
+            else:
+                return None
+        except ValueError:
+            return None
+        if not stack:
+            root = value
+        elif type(stack[-1]) is list:
+            stack[-1].append(value)
+        else:
+            stack[-1][keys.pop()] = value
+        if mark:
+            stack.append(value)
+            wanted = "value or close" if mark == "[" else "key or close"
+        else:
+            wanted = "comma" if stack else "end"
+    return root if _BLANK.fullmatch(text, at) else None
+
+
 def opened(value: object) -> object:
     """``value``, or the object or list it spells if it is a string with such JSON in it."""
     while type(value) is str:
@@ -147,11 +210,11 @@ def relations(edges: Iterable[tuple[str, str, bool]]) -> dict[str, str]:
     return reason
 
 
-def read_graph(graph: DataFrame) -> list[tuple[str, str, bool]]:
+def read_graph(graph: DataFrame, most: int = MAX_EDGES) -> list[tuple[str, str, bool]]:
     """The schema graph on the driver; an error if key names are data, so that it isn't small."""
-    rows = graph.limit(MAX_EDGES + 1).collect()
-    if len(rows) > MAX_EDGES:
-        raise ValueError(f"more than {MAX_EDGES} pairs of element names: keys hold data; name them first")
+    rows = graph.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} pairs of element names: keys hold data; name them first")
     return [(r["around"], r["element"], r["repeated"]) for r in rows]
 
 
@@ -181,13 +244,13 @@ def _inline(value: dict, tables: dict[str, str], list_keys: frozenset[str]) -> d
 
 
 def shred(
-    records: DataFrame, id_column: str, json_column: str, tables: dict[str, str], with_columns: bool = True, list_keys: frozenset[str] = LIST_KEYS
+    records: DataFrame, id_column: str, json_column: str, tables: dict[str, str] | None, with_columns: bool = True, list_keys: frozenset[str] = LIST_KEYS
 ) -> DataFrame:
     """Rows of all tables: table_name, record_id, node_path, parent_path, owner_path, is_element, ordinal, columns.
 
     owner_path is the row's foreign key: the path of the nearest object around it that has a table
     (the record's own row has the empty path).  A record whose id or JSON is null or unreadable
-    gives no rows; one that is repeated gives each row once.
+    gives no rows.  Without ``tables`` every element of a list has a row, and other objects have none.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,13 +267,13 @@ def shred(
                     continue
                 owners: list[str] = []
                 for name, path, near, _, in_list, index, node in objects(value, list_keys):
-                    if name not in tables:
+                    if not in_list if tables is None else name not in tables:
                         continue
                     while owners and not (owners[-1] == "" or path.startswith((owners[-1] + ".", owners[-1] + "["))):
                         owners.pop()
                     row = [name, key, path, near, owners[-1] if owners else None, in_list, index]
                     if with_columns:
-                        row.append(json.dumps(_inline(node, tables, list_keys), ensure_ascii=False, sort_keys=True))
+                        row.append(json.dumps(_inline(node, tables or {}, list_keys), ensure_ascii=False, sort_keys=True))
                     for column, cell in zip(out, row, strict=True):
                         column.append(cell)
                     owners.append(path)
@@ -227,8 +290,16 @@ def flat_tables(records: DataFrame, id_column: str, json_column: str, with_colum
     return shred(records, id_column, json_column, tables, with_columns).distinct()
 
 
-def list_elements(records: DataFrame, id_column: str, json_column: str) -> DataFrame:
-    """record_id, node_path, parent_path of every object that is an element of a list."""
-    tables = relations(read_graph(schema_graph(records, json_column)))
+def list_elements(records: DataFrame, id_column: str, json_column: str, most: int = MAX_EDGES) -> DataFrame:
+    """record_id, node_path, parent_path of every object that is an element of a list.
+
+    Elements of lists are repeated, so each has a table; a schema graph of more than ``most`` edges,
+    too large for the driver, isn't needed to know that.
+    """
+    graph = schema_graph(records, json_column)
+    try:
+        tables = relations(read_graph(graph, most))
+    except ValueError:
+        tables = None
     rows = shred(records, id_column, json_column, tables, with_columns=False)
     return rows.where("is_element").select("record_id", "node_path", "parent_path").distinct()

@@ -2,6 +2,9 @@
 
 import json
 
+from hypothesis import given
+from hypothesis import strategies as st
+
 from millrace.operators import flatten as X
 
 
@@ -89,6 +92,33 @@ def test_empty_and_very_deep(spark):
     assert X.list_elements(spark.createDataFrame([("d", deep)], schema), "id", "body").count() == 301 - 1
 
 
+def test_deeper_than_the_interpreter(spark):
+    depth = 6_000
+    deep = '{"hits": [' * depth + '{"a": "b"}' + "]}" * depth
+    rows = [("d", deep), ("l", "[" * 20_000 + "{}" + "]" * 20_000), ("cut", deep[:-1]), ("wrong", '{"hits": [' * depth + "}]" + "]}" * depth)]
+    found = X.list_elements(spark.createDataFrame(rows, "id string, body string"), "id", "body").groupBy("record_id").count().collect()
+    assert {tuple(r) for r in found} == {("d", depth), ("l", 1)}
+
+
+@given(st.recursive(st.none() | st.booleans() | st.integers() | st.floats(allow_nan=False) | st.text(), lambda x: st.lists(x, max_size=4) | st.dictionaries(st.text(), x, max_size=4), max_leaves=12), st.booleans(), st.integers(0, 200))
+def test_deep_reader_agrees_with_the_usual_one(value, wide, cut):
+    text = json.dumps(value, indent=1 if wide else None)
+    assert X._read_deep(text) == value
+    broken = text[:cut] + text[cut + 1 :]
+    try:
+        expected = json.loads(broken)
+    except ValueError:
+        expected = None
+    assert X._read_deep(broken) == expected
+
+
+def test_graph_too_large_for_the_driver(spark):
+    rows = [("a", json.dumps({f"k{n}": {"units": [{"x": n}, 3, {}]} for n in range(20)}))]
+    frame = spark.createDataFrame(rows, "id string, body string")
+    whole = sorted(map(str, X.list_elements(frame, "id", "body").collect()))
+    assert len(whole) == 40 and sorted(map(str, X.list_elements(frame, "id", "body", most=10).collect())) == whole
+
+
 def test_tables_of_payloads_and_envelopes(spark, tmp_path):
     from millrace.plans.problem_queries import p5_tables
 
