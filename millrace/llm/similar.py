@@ -27,9 +27,15 @@ from pyspark.sql import functions as F
 
 from millrace.session import cut, spread
 
-#: Vectors in the sample that the codebooks are fitted on.
+#: Vectors in the sample that the codebooks are fitted on: this many times the root of all, within bounds.
+FIT_SHARE = 24
 FIT_POINTS = 6_000
+MOST_FIT_POINTS = 24_000
 FIT_ROUNDS = 8
+#: Centroids of one half at most, which bounds the index by four million cells of 16 bytes.
+MOST_CENTROIDS = 2_048
+#: Rows that visit blocks and meet in one task, about.
+TASK_ROWS = 100_000
 #: Entries a query wants to see, by the sample's estimate, cells it visits at least and at most, at least in the index of a full cell, and centroids of each half it looks at.
 WANTED = 40
 LEAST_CELLS = 3
@@ -148,14 +154,14 @@ class _Numbering:
 
 def _fit(sample: np.ndarray, total: float, numbering: _Numbering, depth: int) -> MultiIndex:
     half = sample.shape[1] // 2
-    count = int(np.clip(round(np.sqrt(max(total, 1)) / 5), 1, min(4096, max(1, len(sample) // 8))))
+    count = int(np.clip(round(np.sqrt(max(total, 1)) / 5), 1, min(MOST_CENTROIDS, max(1, len(sample) // 8))))
     first, second = _codebook(sample[:, :half], count, 1), _codebook(sample[:, half:], count, 2)
     # Centroids in the order of their main direction, so that neighbours come to share a block.
     first = first[np.argsort((first - first.mean(axis=0)) @ np.linalg.svd(first - first.mean(axis=0), full_matrices=False)[2][0], kind="stable")]
     shape = (len(first), len(second))
-    numbers = np.arange(numbering.cell, numbering.cell + shape[0] * shape[1]).reshape(shape)
+    numbers = np.arange(numbering.cell, numbering.cell + shape[0] * shape[1], dtype=np.int32).reshape(shape)
     numbering.cell += numbers.size
-    index = MultiIndex(first, second, np.zeros(shape), numbers, np.zeros(shape, np.int64), {})
+    index = MultiIndex(first, second, np.zeros(shape), numbers, np.zeros(shape, np.int32), {})
     one, two = (d.argmin(axis=1) for d in index.distances(sample))
     np.add.at(index.expected, (one, two), total / max(1, len(sample)))
     for row in range(shape[0]):
@@ -241,8 +247,11 @@ def _routed(points: DataFrame, index: MultiIndex, size: int) -> DataFrame:
     return spread(points).mapInArrow(run, "block int, id string, vector binary, own int, visited array<int>")
 
 
-def _reranked(routed: DataFrame, size: int, k: int, least: float) -> DataFrame:
-    """The ``k`` best other points of each point among the entries of the cells it visits in a block."""
+def _reranked(routed: DataFrame, size: int, k: int, least: float, tasks: int = 0) -> DataFrame:
+    """The ``k`` best other points of each point among the entries of the cells it visits in a block.
+
+    ``tasks`` is the number of tasks that blocks are spread over; 0 leaves it to the session.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         names, codes = np.unique(np.array(table.column("id").to_pylist(), dtype=object).astype(str), return_inverse=True)
@@ -291,7 +300,7 @@ def _reranked(routed: DataFrame, size: int, k: int, least: float) -> DataFrame:
             asks, holds, cosines = np.zeros(0, int), np.zeros(0, int), np.zeros(0, np.float32)
         return pa.table({"id": pa.array(names[asks].tolist(), pa.string()), "other": pa.array(names[holds].tolist(), pa.string()), "similarity": pa.array(cosines.astype(np.float32), pa.float32())})
 
-    return routed.groupBy("block").applyInArrow(run, "id string, other string, similarity float")
+    return (routed.repartition(tasks, "block") if tasks else routed).groupBy("block").applyInArrow(run, "id string, other string, similarity float")
 
 
 def most_similar(points: DataFrame, k: int = 5, size: int = 384, least: float = -1.0, id_column: str = "id", vector_column: str = "vector") -> DataFrame:
@@ -308,11 +317,12 @@ def most_similar(points: DataFrame, k: int = 5, size: int = 384, least: float =
     out = "id string, other string, rank int, similarity float"
     if not total:
         return points.sparkSession.createDataFrame([], out)
-    share = min(1.0, FIT_POINTS / total)
-    drawn = narrow.where(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) <= int(1_000_003 * share)).select("vector").limit(2 * FIT_POINTS).toArrow()
+    wanted = int(np.clip(FIT_SHARE * np.sqrt(total), FIT_POINTS, MOST_FIT_POINTS))
+    share = min(1.0, wanted / total)
+    drawn = narrow.where(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) <= int(1_000_003 * share)).select("vector").limit(2 * wanted).toArrow()
     _, sample = usable(drawn.column(0), size)
     if not len(sample):
-        _, sample = usable(narrow.select("vector").limit(FIT_POINTS).toArrow().column(0), size)
+        _, sample = usable(narrow.select("vector").limit(wanted).toArrow().column(0), size)
     if not len(sample):
         sample = np.eye(1, size, dtype=np.float32)
     index = fit_index(unit(sample), total)
@@ -340,7 +350,12 @@ def most_similar(points: DataFrame, k: int = 5, size: int = 384, least: float =
             "id", "other", (F.col("at") + 1).alias("rank"), F.lit(1.0).cast("float").alias("similarity")
         )
         inside = narrow.withColumn("copy", copy).join(small, "copy", "left").where(~outside).select("id", "vector")
-    near = _reranked(_routed(inside, index, size), size, k, least).groupBy("id", "other").agg(F.max("similarity").alias("similarity"))
+    # A point visits about two blocks.  Many points need more tasks than the session's shuffles have; else adaptive execution settles them.
+    tasks = 2 * total // TASK_ROWS
+    tasks = tasks if tasks > int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")) else 0
+    near = _reranked(_routed(inside, index, size), size, k, least, tasks)
+    # One exchange by id serves both the merging of what a point found in several blocks and the ranking.
+    near = near.repartition("id").groupBy("id", "other").agg(F.max("similarity").alias("similarity"))
     best = Window.partitionBy("id").orderBy(F.desc("similarity"), "other")
     result = near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("id", "other", "rank", "similarity")
     return result if aside is None else result.unionByName(aside)

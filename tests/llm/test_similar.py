@@ -72,6 +72,19 @@ def test_crowd_of_copies_isnt_expanded(spark, monkeypatch):
     assert all(s == 1.0 for _, _, s in got["c150"])
 
 
+def test_many_points_are_spread_over_more_tasks(spark, monkeypatch):
+    vectors = points(9, 400)
+    rows = [(f"p{k}", v.tolist()) for k, v in enumerate(vectors)]
+    few = sorted(map(str, M.most_similar(frame_of(spark, rows), 5, SIZE).collect()))
+    monkeypatch.setattr(M, "TASK_ROWS", 20)
+    assert sorted(map(str, M.most_similar(frame_of(spark, rows), 5, SIZE).collect())) == few
+
+
+def test_index_of_very_many_points_stays_small():
+    index = M.fit_index(M.unit(points(10, 2_000)), 1e11)
+    assert index.number.dtype == np.int32 and len(index.first) <= M.MOST_CENTROIDS
+
+
 def test_full_cells_are_divided(spark, monkeypatch):
     monkeypatch.setattr(M, "CELL_ROWS", 25)
     monkeypatch.setattr(M, "LEAST_SAMPLE", 16)
