@@ -1,7 +1,8 @@
 """Languages of documents and of their sentences by nearest TF-IDF centroid.
 
 The model is fitted on labelled sentences: character n-grams within words, TF-IDF weighted and
-normalised, and for each language several centroids found by clustering its sentences.  A sentence
+normalised, and for each language several centroids found by clustering its sentences and shrunk
+towards their mean.  A sentence
 goes to the language of the centroid with the highest cosine; one that is far from every centroid is
 rejected.  The dot products with the centroids are sums over words, so each word's share is worked
 out once per worker and a sentence is a sum of table rows; its norm comes from a signed projection
@@ -16,6 +17,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import cache, lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,8 @@ FIT_CHARS = 100_000
 #: Times that one mean a language is fitted to tell which labels hold.
 MEANS = 2
 CENTROIDS = 8
+#: Weight of a language's mean in each of its centroids, beside 1 for the cluster's own.
+SHRINK = 4.0
 LONGEST_GRAM = 4
 PROJECTION = 16
 LEAST_WORDS = 8
@@ -44,6 +48,8 @@ LEAST_WORDS = 8
 LEAST_COSINE = 0.09
 #: Lead over the next language that a sentence needs to stand against the rest of its text.
 LEAST_LEAD = 0.06
+#: Confidence that such a sentence needs if its text is in neither of its likeliest languages.
+LEAST_ODDS = 0.5
 KEPT_WORDS = 200_000
 #: A label that names a language: two letters, with a region after a dash or underscore.
 LABEL = r"^([A-Za-z]{2})(?:[-_][A-Za-z0-9_-]+)?$"
@@ -100,14 +106,13 @@ class LanguageModel:
         if len(self.rows) + sum(map(len, sentences)) > KEPT_WORDS:
             self.rows.clear()
         known, add = self.rows.get, self.word_row
-        ids = [known(w, -1) for s in sentences for w in s]
-        if -1 in ids:
-            flat = [w for s in sentences for w in s]
+        flat = list(chain.from_iterable(sentences))
+        ids = list(map(known, flat))
+        if None in ids:
             for at, row in enumerate(ids):
-                if row < 0:
-                    ids[at] = known(flat[at], -1)
-                    if ids[at] < 0:
-                        ids[at] = add(flat[at])
+                if row is None:
+                    row = known(flat[at])
+                    ids[at] = add(flat[at]) if row is None else row
         starts = np.zeros(len(sentences), dtype=np.int64)
         np.cumsum([len(s) for s in sentences[:-1]], out=starts[1:])
         sums = np.add.reduceat(self.table[np.array(ids, dtype=np.int64)], starts, axis=0)
@@ -134,48 +139,70 @@ def _clusters(points: np.ndarray, count: int, seed: int) -> np.ndarray:
     rng = np.random.default_rng(seed)
     count = min(count, len(points))
     centres = points[rng.choice(len(points), count, replace=False)]
-    for _ in range(12):
+    for _ in range(12 if count > 1 else 1):
         nearest = (points @ centres.T).argmax(axis=1)
         centres = np.stack([points[nearest == k].mean(axis=0) for k in range(len(centres)) if (nearest == k).any()])
         centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-9)
     return centres
 
 
+class _Counted:
+    """N-gram counts of (language, sentence) pairs, taken once for every fit on some of them.
+
+    Each sentence is learnt as it is, and every third also without its accents.
+    """
+
+    def __init__(self, pairs: list[tuple[str, str]]) -> None:
+        self.languages = sorted({language for language, _ in pairs})
+        numbers: dict[str, int] = {}
+
+        @lru_cache(maxsize=None)
+        def of_word(word: str) -> np.ndarray:
+            return np.array([numbers.setdefault(g, len(numbers)) for g, n in grams(word).items() for _ in range(n)], dtype=np.int64)
+
+        #: Of each form: the pair it is of, its language, the numbers of its n-grams and their counts.
+        self.forms: list[tuple[int, int, np.ndarray, np.ndarray]] = []
+        for at, (language, text) in enumerate(pairs):
+            low = text.lower()
+            for form in dict.fromkeys((low, low.translate(_PLAIN_ACCENTS)) if at % 3 == 0 else (low,)):
+                if words := words_of(form):
+                    found, counts = np.unique(np.concatenate([of_word(w) for w in words]), return_counts=True)
+                    self.forms.append((at, self.languages.index(language), found, counts))
+        self.names = list(numbers)
+
+    def fit(self, held: np.ndarray | None = None, centroids: int = CENTROIDS) -> LanguageModel:
+        """A model of the pairs that ``held`` marks, or of all."""
+        forms = [form for form in self.forms if held is None or held[form[0]]]
+        documents = np.zeros(len(self.names), dtype=np.int64)
+        for _, _, found, _ in forms:
+            documents[found] += 1
+        # N-grams of fewer than three sentences say nothing about a language.
+        kept = np.nonzero(documents > 2)[0]
+        place = np.full(len(self.names), -1)
+        place[kept] = np.arange(len(kept))
+        idf = (np.log((1 + len(forms)) / (1 + documents)) + 1).astype(np.float32)
+        columns = {self.names[g]: k for k, g in enumerate(kept)}
+        weights = {self.names[g]: float(idf[g]) for g in kept}
+        centres, of_language = [], []
+        for k in range(len(self.languages)):
+            own = [(found, n) for _, language, found, n in forms if language == k] or [(kept[:0], kept[:0])]
+            matrix = np.zeros((len(own), len(kept)), dtype=np.float32)
+            for row, (found, n) in enumerate(own):
+                inside = place[found] >= 0
+                matrix[row, place[found[inside]]] = n[inside] * idf[found[inside]]
+            matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-9)
+            # Centroids shrunk towards the mean of their language: one of a single phrase would attract that phrase's cognates.
+            mean = matrix.mean(axis=0)
+            clusters = _clusters(matrix, centroids, k) + SHRINK * mean / max(np.linalg.norm(mean), 1e-9)
+            clusters /= np.maximum(np.linalg.norm(clusters, axis=1, keepdims=True), 1e-9)
+            centres.append(clusters)
+            of_language += [k] * len(clusters)
+        return LanguageModel(self.languages, weights, np.concatenate(centres), np.array(of_language), columns)
+
+
 def fit(samples: list[tuple[str, str]], centroids: int = CENTROIDS) -> LanguageModel:
-    """A model of (language, sentence) pairs; each sentence is learnt as it is, and every third also without its accents."""
-    languages = sorted({language for language, _ in samples})
-    forms = [(language, form) for at, (language, text) in enumerate(samples) for form in dict.fromkeys((text.lower(), text.lower().translate(_PLAIN_ACCENTS) if at % 3 == 0 else text.lower()))]
-    texts = [(languages.index(language), words_of(form)) for language, form in forms]
-    numbers: dict[str, int] = {}
-
-    @lru_cache(maxsize=None)
-    def of_word(word: str) -> np.ndarray:
-        return np.array([numbers.setdefault(g, len(numbers)) for g, n in grams(word).items() for _ in range(n)], dtype=np.int64)
-
-    counted = [(language, *np.unique(np.concatenate([of_word(w) for w in words]), return_counts=True)) for language, words in texts if words]
-    documents = np.zeros(len(numbers), dtype=np.int64)
-    for _, ids, _ in counted:
-        documents[ids] += 1
-    # N-grams of fewer than three sentences say nothing about a language.
-    names = list(numbers)
-    kept = np.nonzero(documents > 2)[0]
-    place = np.full(len(numbers), -1)
-    place[kept] = np.arange(len(kept))
-    idf = (np.log((1 + len(counted)) / (1 + documents)) + 1).astype(np.float32)
-    columns = {names[g]: k for k, g in enumerate(kept)}
-    weights = {names[g]: float(idf[g]) for g in kept}
-    centres, of_language = [], []
-    for k in range(len(languages)):
-        own = [(ids, n) for language, ids, n in counted if language == k]
-        matrix = np.zeros((len(own), len(kept)), dtype=np.float32)
-        for row, (ids, n) in enumerate(own):
-            inside = place[ids] >= 0
-            matrix[row, place[ids[inside]]] = n[inside] * idf[ids[inside]]
-        matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-9)
-        found = _clusters(matrix, centroids, k)
-        centres.append(found)
-        of_language += [k] * len(found)
-    return LanguageModel(languages, weights, np.concatenate(centres), np.array(of_language), columns)
+    """A model of (language, sentence) pairs."""
+    return _Counted(samples).fit(None, centroids)
 
 
 def refit(samples: list[tuple[str, str]], documents: list[tuple[str, str]], most: int = FIT_SENTENCES) -> LanguageModel:
@@ -187,25 +214,24 @@ def refit(samples: list[tuple[str, str]], documents: list[tuple[str, str]], most
     Sentences that lead for another language in it are left out, the model is fitted again without
     them, and what holds then is learnt with all its centroids.
     """
-    known = {language for language, _ in samples}
+    known = sorted({language for language, _ in samples})
     drawn: dict[str, dict[str, None]] = {language: {} for language in known}
     for language, text in documents:
         if language in known and len(drawn[language]) < 2 * most:
             parts = sorted((part for part, _ in sentences_of(text)), key=xxhash.xxh32_intdigest)
             drawn[language].update(dict.fromkeys(parts[:FIT_OF_ONE]))
     labelled = [(language, part) for language, parts in drawn.items() for part in parts]
-    words = [words_of(part) for _, part in labelled]
-    held = labelled
-    for _ in range(MEANS if labelled else 0):
-        means = fit([*samples, *held], 1)
-        cosines = means.cosines(words)
-        own = np.array([means.languages.index(language) for language, _ in labelled])
-        behind = cosines.max(axis=1) - cosines[np.arange(len(own)), own]
-        held = [pair for pair, gap in zip(labelled, behind, strict=True) if gap <= 0]
-    kept: list[tuple[str, str]] = []
-    for language in sorted(known):
-        kept += [pair for pair in held if pair[0] == language][:most]
-    return fit([*samples, *kept])
+    counted = _Counted([*samples, *labelled])
+    held = np.ones(len(samples) + len(labelled), dtype=bool)
+    if labelled:
+        words = [words_of(part) for _, part in labelled]
+        own = np.array([counted.languages.index(language) for language, _ in labelled])
+        for _ in range(MEANS):
+            cosines = counted.fit(held, 1).cosines(words)
+            held[len(samples) :] = cosines.max(axis=1) <= cosines[np.arange(len(own)), own]
+        for k in range(len(counted.languages)):
+            held[len(samples) + np.nonzero((own == k) & held[len(samples) :])[0][most:]] = False
+    return counted.fit(held)
 
 
 def fit_model(samples: DataFrame, documents: DataFrame | None = None, rows: int = FIT_ROWS, texts: int = FIT_DOCUMENTS) -> LanguageModel:
@@ -288,7 +314,7 @@ def judge(model: LanguageModel, cosines: np.ndarray) -> list[tuple[int, float] |
     """Language and confidence of each sentence of one text, or None.
 
     A sentence without a clear lead goes with the language that most of the text's clear sentences
-    have, if that is its first or second choice.
+    have, if that is its first or second choice; else it is rejected if it is less than even odds.
     """
     order = np.argsort(-cosines, axis=1)
     first, second = order[:, 0], order[:, 1] if cosines.shape[1] > 1 else order[:, 0]
@@ -304,8 +330,12 @@ def judge(model: LanguageModel, cosines: np.ndarray) -> list[tuple[int, float] |
         if cosines[at, pick] < LEAST_COSINE:
             out.append(None)
             continue
-        if not clear[at] and usual >= 0 and usual in (first[at], second[at]):
-            pick = int(usual)
+        if not clear[at] and usual >= 0:
+            if usual in (first[at], second[at]):
+                pick = int(usual)
+            elif shares[at, pick] < LEAST_ODDS:
+                out.append(None)
+                continue
         out.append((pick, float(shares[at, pick])))
     return out
 

@@ -89,6 +89,22 @@ def test_refit_learns_phrases_that_look_foreign_to_the_samples():
     assert all(better.languages[k] == "fr" for k in cosines.argmax(axis=1))
 
 
+def test_fit_is_the_same_in_any_process():
+    """The order of sets differs from process to process; the model doesn't."""
+    import subprocess
+    import sys
+
+    code = "from millrace.llm import language as L; from tests.llm.test_language import SENTENCES as S; print(L.refit(S[::2], S[1::2]).centroids.sum(axis=0)[:50].tolist())"
+    found = {subprocess.run([sys.executable, "-c", code], env={"PYTHONHASHSEED": seed, "PYTHONPATH": "."}, capture_output=True, text=True, check=True).stdout for seed in "123"}
+    assert len(found) == 1
+
+
+def test_language_without_words():
+    model = L.fit([*SENTENCES, ("xx", "1 2 3"), ("yy", "")])
+    cosines = model.cosines([L.words_of(t) for _, t in SENTENCES])
+    assert not ({model.languages[k] for k in cosines.argmax(axis=1)} & {"xx", "yy"})
+
+
 def test_fit_from_tables(spark):
     samples = spark.createDataFrame([*SENTENCES, (None, "x"), ("en", None)], "language string, sample string")
     documents = spark.createDataFrame([(1, SENTENCES[0][1], "en"), (2, None, "en"), (3, "x", None)], "doc_id long, text string, lang string")
