@@ -71,10 +71,35 @@ def precision_of(expression: str | Column) -> Column:
     return F.when(text.rlike(NUMERIC), "day").when(month & year & ~day, "month").when(year & ~month, "year").when(text.isNotNull(), "day")
 
 
-def range_ends(expression: str | Column) -> Column:
-    """The two sides of a range, or the expression alone."""
-    text = F.col(expression) if isinstance(expression, str) else expression
-    return F.split(text, RANGE, 2)
+def expressions(text: str | Column) -> Column:
+    """Stretches of a text that name a date: numbers, days and months, weekdays, relative days and counts of units, and ranges of days.
+
+    A year alone counts after a word for "in" or "since" only.
+    """
+    unit, edge_l, edge_r = "|".join((*TIME_UNITS, *_UNIT_WORDS)), r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
+    day = rf"(?:\d{{1,2}}[/.-]\d{{1,2}}[/.-]\d{{4}}|\d{{4}}-\d{{2}}-\d{{2}}|\d{{1,2}}(?:st|nd|rd|th|\.|º)?\s(?:de\s|of\s)?(?:{_MONTH})(?:\s(?:de\s|del\s)?\d{{4}})?|(?:{_MONTH})\s(?:de\s)?(?:\d{{1,2}},\s)?\d{{4}})"
+    forms = (
+        rf"{day}(?:\s(?:-|–|to|al|hasta|a)\s{day})?",
+        rf"(?:{'|'.join(WEEKDAYS)})",
+        rf"(?:{'|'.join(STANDALONE_WORDS)})",
+        rf"\d+\s(?:{unit})\s(?:ago|fa)",
+        rf"(?:hace|il y a|vor|in|dans|tra|fra|within|dentro de)\s\d+\s(?:{unit})",
+        rf"(?:next|last|pr[oó]xim\p{{L}}*|pasad\p{{L}}*|n[aä]chst\p{{L}}*|letzt\p{{L}}*|prossim\p{{L}}*|scors\p{{L}}*)\s(?:{unit})",
+        rf"(?:(?<=in\s)|(?<=en\s)|(?<=since\s)|(?<=seit\s)|(?<=nel\s)|(?<=em\s))(?:{YEAR})",
+    )
+    pattern = rf"(?iu){edge_l}(?:{'|'.join(forms)}){edge_r}"
+    return F.regexp_extract_all(F.col(text) if isinstance(text, str) else text, F.lit(pattern), F.lit(0))
+
+
+_NUMBERED = re.compile(r"\b(?:\d{4}-\d{1,2}-\d{1,2}|\d{1,2}-\d{1,2}-\d{4})\b")
+_RANGE = re.compile(RANGE)
+
+
+def range_ends(expression: str) -> list[str]:
+    """The two sides of a range, or the expression alone; dashes inside a date in numbers part nothing."""
+    guarded = _NUMBERED.sub(lambda m: m[0].replace("-", "\0"), expression)
+    sides = [side.replace("\0", "-").strip() for side in _RANGE.split(guarded, maxsplit=1)]
+    return sides if all(sides) else [expression]
 
 
 def _safe(year: int, month: int, day: int) -> date | None:
@@ -147,12 +172,29 @@ def resolved(expression: str | Column, anchor: str | Column) -> Column:
     return run(expression, anchor)
 
 
+def resolve_range(expression: str | None, anchor: date | None) -> tuple[date | None, date | None]:
+    """First and last day of a range, in order, the last null without a range.
+
+    A side that is no date by itself ("3" of "3 to 5 May 2024") borrows what it lacks from the other.
+    """
+    sides = range_ends(expression) if expression else []
+    if len(sides) == 2:
+        days = [resolve(side, anchor) or resolve(f"{side} {other}", anchor) for side, other in (sides, sides[::-1])]
+        if all(days):
+            return min(days), max(days)
+    return resolve(expression, anchor), None
+
+
 def resolved_range(expression: str | Column, anchor: str | Column) -> tuple[Column, Column]:
-    """First and last day of a range, in order; the last is null without a range."""
-    ends = range_ends(expression)
-    a = F.col(anchor) if isinstance(anchor, str) else anchor
-    first, last = resolved(F.element_at(ends, 1), a), F.when(F.size(ends) > 1, resolved(F.try_element_at(ends, F.lit(2)), a))
-    return F.least(first, F.coalesce(last, first)), F.when(last.isNotNull(), F.greatest(first, last))
+    """``resolve_range`` for columns, in Arrow batches: the first and the last day."""
+
+    @F.pandas_udf("first date, last date")
+    def run(expressions: pd.Series, anchors: pd.Series) -> pd.DataFrame:
+        days = [resolve_range(e, a if isinstance(a, date) else None) for e, a in zip(expressions, anchors, strict=True)]
+        return pd.DataFrame({"first": pd.Series([d[0] for d in days], dtype=object), "last": pd.Series([d[1] for d in days], dtype=object)})
+
+    found = run(expression, anchor)
+    return found["first"], found["last"]
 
 
 def snippet(text: str | Column, offset: str | Column, length: str | Column, around: int = 60) -> Column:

@@ -149,3 +149,41 @@ def fenced(updates: DataFrame, owners: DataFrame) -> DataFrame:
 def hash_chain_breaks(events: DataFrame) -> DataFrame:
     """Events of one id with different content hashes: event_id, n_hashes."""
     return events.where("event_id is not null").groupBy("event_id").agg(F.count_distinct("content_hash").alias("n_hashes")).where("n_hashes > 1")
+
+
+# States that end an execution.
+END_STATES = ("completed", "failed", "cancelled")
+
+
+def repeated_ends(events: DataFrame) -> DataFrame:
+    """root_execution_id, execution_id, n_ends of executions whose events bring them to an end more than once.
+
+    Redelivered events count once; events without execution or with an unreadable envelope don't count.
+    """
+    moves = events.where("event_type = 'execution.state_changed' and event_id is not null and execution_id is not null")
+    ends = moves.select("event_id", "root_execution_id", "execution_id", F.get_json_object("envelope", "$.payload.to").alias("state")).where(F.col("state").isin(*END_STATES)).distinct()
+    return ends.groupBy("root_execution_id", "execution_id").agg(F.count_distinct("event_id").alias("n_ends")).where("n_ends > 1")
+
+
+def _reports(events: DataFrame, *columns: Column) -> DataFrame:
+    rows = events.where("event_type = 'progress.reported' and event_id is not null and execution_id is not null and envelope is not null")
+    return rows.select("event_id", "execution_id", "sequence", *columns).dropDuplicates(["event_id"])
+
+
+def progress(events: DataFrame) -> DataFrame:
+    """execution_id, n_reports, n_ledgers: progress reports of each execution, once each, and those with a ledger."""
+    kind = F.get_json_object("envelope", "$.payload.kind").alias("kind")
+    return _reports(events, kind).groupBy("execution_id").agg(F.count(F.lit(1)).alias("n_reports"), F.count_if(F.col("kind") == "ledger_snapshot").alias("n_ledgers"))
+
+
+def ledgers(events: DataFrame) -> DataFrame:
+    """execution_id, bucket, used, reserved of each execution's last ledger, replayed from its reports.
+
+    The last report by sequence, then event id, counts.  Entries and reservations may be lists, single
+    objects, or either as a string; entries without a bucket are left out, several of one bucket add up.
+    """
+    reports = _reports(events, F.get_json_object("envelope", "$.payload.ledger.entries").alias("entries")).where("entries is not null")
+    last = reports.groupBy("execution_id").agg(F.max_by("entries", F.struct("sequence", "event_id")).alias("entries"))
+    entry = last.select("execution_id", F.explode(F.from_json("entries", "array<struct<bucket string, used long, reservations string>>")).alias("e")).where("e.bucket is not null")
+    units = F.aggregate(F.from_json("e.reservations", "array<struct<units long>>"), F.lit(0).cast("long"), lambda n, r: n + F.coalesce(r["units"], F.lit(0)))
+    return entry.groupBy("execution_id", F.col("e.bucket").alias("bucket")).agg(F.sum(F.coalesce("e.used", F.lit(0))).alias("used"), F.sum(F.coalesce(units, F.lit(0))).alias("reserved"))

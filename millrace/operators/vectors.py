@@ -116,19 +116,27 @@ def by_centrality(points: DataFrame, centres: DataFrame, group: str, key: str =
 
 
 def distinct_greedy(candidates: DataFrame, group: str, order: str, vector: str = "vector", most_alike: float = 0.9) -> DataFrame:
-    """Candidates kept one by one while none kept before is as similar as ``most_alike``; per group in order."""
+    """Candidates kept one by one while none kept before is as similar as ``most_alike``; per group in order.
+
+    What is kept depends on all that was kept before, so a group, the candidates of one text, is one
+    task.  Vectors that are null, not finite, all zero or of another length than most of the group are left out.
+    """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable")
+        rows = rows[rows[vector].notna()].sort_values(order, kind="stable")
+        sizes = rows[vector].map(len)
+        if not len(rows):
+            return rows
+        rows = rows[sizes == sizes.mode().iloc[0]]
+        values = np.stack([np.asarray(v, dtype=np.float64) for v in rows[vector]])
+        lengths = np.linalg.norm(values, axis=1)
+        sound = np.isfinite(lengths) & (lengths > 0)
+        rows, values = rows[sound], values[sound] / lengths[sound, None]
+        held = np.empty_like(values)
         kept: list[int] = []
-        held: list[np.ndarray] = []
-        for at, value in enumerate(rows[vector]):
-            if value is None:
-                continue
-            x = np.asarray(value, dtype=np.float64)
-            x = x / max(float(np.linalg.norm(x)), 1e-300)
-            if not held or float(np.max(np.stack(held) @ x)) < most_alike:
-                held.append(x)
+        for at, x in enumerate(values):
+            if not kept or float((held[: len(kept)] @ x).max()) < most_alike:
+                held[len(kept)] = x
                 kept.append(at)
         return rows.iloc[kept]
 

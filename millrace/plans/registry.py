@@ -11,6 +11,7 @@ from millrace.operators import tabular
 from millrace.plans.predicates import filtered, selected
 
 Operator = Callable[..., DataFrame]
+Query = Callable[..., DataFrame]
 OPERATORS: dict[str, Operator] = {}
 
 
@@ -30,6 +31,21 @@ def run(name: str, *frames: DataFrame, **params: Any) -> DataFrame:
     return OPERATORS[name](*frames, **params)
 
 
+def registrar(queries: dict[str, Query], oracles: dict[str, str]) -> Callable[..., Callable[[Query], Query]]:
+    """A decorator that keeps a query, and the SQL that gives the same rows if there is one, by the query's name."""
+
+    def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
+        def register(run: Query) -> Query:
+            queries[name or run.__name__] = run
+            if sql:
+                oracles[name or run.__name__] = sql
+            return run
+
+        return register
+
+    return query
+
+
 class Pipeline:
     """Stages of the form ``stage(frame) -> frame``, each in its turn; a stage that is None is left out."""
 

@@ -2,30 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import dates, markup, records, scalars, segments, text
 from millrace.operators import eventlog, extraction, graph, tabular, vectors
 from millrace.plans.predicates import contained, filtered, resolve, selected
+from millrace.plans.registry import Query, registrar
 from millrace.sources.readers import DatasetSchema, Field, typed_records
 from millrace.streaming import windows
 
-Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
-    def register(run: Query) -> Query:
-        QUERIES[name or run.__name__] = run
-        if sql:
-            ORACLES[name or run.__name__] = sql
-        return run
-
-    return register
+query = registrar(QUERIES, ORACLES)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -454,8 +445,8 @@ def vec_rerank_dedupe(spark, folder):
 
 @query()
 def vec_distinct_greedy(spark, folder):
-    points = table(spark, folder, "embeddings").select("vec_id", "label", "embedding")
-    return vectors.distinct_greedy(points, "label", "vec_id", "embedding", 0.5).select("vec_id", "label")
+    points = table(spark, folder, "rag_chunks").where("source_id is not null and vector is not null").select("source_id", "id", "vector")
+    return vectors.distinct_greedy(points, "source_id", "id", "vector", 0.9).select("source_id", "id")
 
 
 @query(
@@ -488,15 +479,22 @@ def recent_entries(spark, folder):
 
 
 @query(
-    """WITH hits AS (SELECT doc_id AS id, row_number() OVER (ORDER BY doc_id) AS rank FROM documents WHERE doc_id IN (SELECT doc_id FROM documents ORDER BY doc_id LIMIT 8)),
-r AS (SELECT doc_id AS id, row_number() OVER (ORDER BY doc_id) AS rank FROM documents WHERE doc_id IN (SELECT doc_id FROM documents ORDER BY doc_id LIMIT 15))
+    _SCORED
+    + """, hits AS (SELECT vec_id AS id, row_number() OVER (ORDER BY score DESC, vec_id) AS rank FROM s ORDER BY score DESC, vec_id LIMIT 8),
+r AS (SELECT doc_id AS id, row_number() OVER (ORDER BY created_at DESC NULLS LAST, doc_id DESC) AS rank FROM documents WHERE source = 'inbox_sync' ORDER BY rank LIMIT 15)
 SELECT * FROM (SELECT id, rank::INT AS rank, 0 AS src FROM hits UNION ALL SELECT id, rank::INT, 1 FROM r WHERE id NOT IN (SELECT id FROM hits)) ORDER BY src, rank LIMIT 12"""
 )
 def memory_hits_recent(spark, folder):
+    """The points most like the first one, then the newest documents of a source."""
     from pyspark.sql import Window
 
-    ids = table(spark, folder, "documents").select(F.col("doc_id").alias("id")).orderBy("id").limit(15).withColumn("rank", F.row_number().over(Window.orderBy("id")))
-    return vectors.with_recent(ids.where("rank <= 8"), ids)
+    points, wanted = _embeddings(spark, folder)
+    hits = vectors.search(points, wanted, 8, key="vec_id", vector="embedding")
+    newest = vectors.recent(table(spark, folder, "documents"), "source", "inbox_sync", key="doc_id", most=15)
+    # Both are a few rows by now, so that a window over all of them is no bottleneck.
+    hits = hits.select(F.col("vec_id").alias("id"), F.row_number().over(Window.orderBy(F.desc("score"), "vec_id")).alias("rank"))
+    newest = newest.select(F.col("doc_id").alias("id"), F.row_number().over(Window.orderBy(F.desc_nulls_last("created_at"), F.desc("doc_id"))).alias("rank"))
+    return vectors.with_recent(hits, newest)
 
 
 # --- graphs
@@ -837,10 +835,9 @@ _REDACTED = """regexp_replace(regexp_replace(regexp_replace(text, '<think>.*?</t
 '\\b(access[_-]?token|api[_-]?key|auth[_-]?token|authorization|cookie|id[_-]?token|password|refresh[_-]?token|session[_-]?token|token)\\s*[:=]\\s*([^\\s,;]+)', '\\1=[REDACTED]', 'gi')"""
 
 
-@query(f"SELECT doc_id, {_REDACTED} AS text FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '<think>', 'i')")
+@query(f"SELECT doc_id, {_REDACTED} AS text FROM documents WHERE text IS NOT NULL")
 def text_redact(spark, folder):
-    rows = table(spark, folder, "documents").where("text is not null and not text rlike '(?i)<think>'")
-    return rows.select("doc_id", text.redacted("text").alias("text"))
+    return table(spark, folder, "documents").where("text is not null").select("doc_id", text.redacted("text").alias("text"))
 
 
 @query("SELECT doc_id, regexp_replace(regexp_replace(text, 'data:[a-zA-Z0-9+./;=-]*;base64,[A-Za-z0-9+/=\\s]+', '[image]', 'g'), '\\S{1000}\\S{1000}\\S*', '[blob]', 'g') AS text FROM documents WHERE text IS NOT NULL")
@@ -878,9 +875,9 @@ def text_keyword_fallback(spark, folder):
     return extraction.fallback_keywords(table(spark, folder, "documents"))
 
 
-@query("SELECT doc_id, 'sha256:' || sha256('{\"doc_id\":' || doc_id || ',\"n_chars\":' || n_chars || '}') AS hash FROM documents WHERE n_chars IS NOT NULL")
+@query("SELECT doc_id, 'sha256:' || sha256('{\"doc_id\":' || doc_id || ',\"text\":' || to_json(text)::VARCHAR || '}') AS hash FROM documents WHERE text IS NOT NULL")
 def doc_hash(spark, folder):
-    return table(spark, folder, "documents").where("n_chars is not null").select("doc_id", text.content_hash("n_chars", "doc_id").alias("hash"))
+    return table(spark, folder, "documents").where("text is not null").select("doc_id", text.content_hash("text", "doc_id").alias("hash"))
 
 
 @query()
@@ -923,24 +920,45 @@ def html_markdown(spark, folder):
     return table(spark, folder, "documents").where("text like '%<%'").select("doc_id", markup.to_markdown("text").alias("markdown"))
 
 
-_DATES = "regexp_extract_all(text, '\\d{1,2} (?:January|February|March|April|May|June|July|August|September|October|November|December)|\\d{4}-\\d{2}-\\d{2}')"
+_PADDED = "' ' || lower(e.expression) || ' '"
+
+
+def _bounded(pattern: str) -> str:
+    """A pattern between edges of words, over padded text; no look-around, which DuckDB hasn't."""
+    return f"regexp_matches({_PADDED}, '[^\\p{{L}}\\p{{N}}_](?:{pattern.replace(chr(39), chr(39) * 2)})[^\\p{{L}}\\p{{N}}_]')"
+
+
+_NUMERIC_DATE = r"\d{1,2}[/\-.]\d{1,2}[/\-.]\d{2,4}|\d{4}[/\-.]\d{1,2}[/\-.]\d{1,2}"
+_ABSOLUTE = " OR ".join(map(_bounded, ("1[0-9]{3}|2[0-9]{3}", _NUMERIC_DATE, "|".join(w for words in dates.MONTHS.values() for w in words.split()), "|".join(dates.WEEKDAYS))))
+_RELATIVE = f"{_bounded('|'.join(dates.STANDALONE_WORDS))} OR ({_bounded('|'.join(dates.MARKERS))} AND {_bounded('|'.join(dates.TIME_UNITS))})"
+_MONTH_NAMED, _YEAR_NAMED, _DAY_NAMED = map(_bounded, ("|".join(w for words in dates.MONTHS.values() for w in words.split()), "1[0-9]{3}|2[0-9]{3}", r"0?[1-9]|[12]\d|3[01]"))
 
 
 @query(
-    f"""SELECT doc_id, expression, 'absolute' AS kind, 'day' AS "precision" FROM (SELECT DISTINCT doc_id, unnest({_DATES}) AS expression FROM documents WHERE text IS NOT NULL)"""
+    f"""WITH e AS (SELECT DISTINCT doc_id, unnest({_SENTENCES.format("text")}) AS expression FROM documents WHERE text IS NOT NULL)
+SELECT * FROM (SELECT doc_id, expression, CASE WHEN {_ABSOLUTE} THEN 'absolute' WHEN {_RELATIVE} THEN 'relative' END AS kind,
+CASE WHEN {_bounded(_NUMERIC_DATE)} THEN 'day' WHEN {_MONTH_NAMED} AND {_YEAR_NAMED} AND NOT {_DAY_NAMED} THEN 'month' WHEN {_YEAR_NAMED} AND NOT {_MONTH_NAMED} THEN 'year' ELSE 'day' END AS "precision"
+FROM e) WHERE kind IS NOT NULL"""
 )
 def date_classify(spark, folder):
-    pattern = r"\d{1,2} (?:January|February|March|April|May|June|July|August|September|October|November|December)|\d{4}-\d{2}-\d{2}"
-    found = table(spark, folder, "documents").where("text is not null").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("expression")).distinct()
-    return found.select("doc_id", "expression", dates.kind_of("expression").alias("kind"), dates.precision_of("expression").alias("precision"))
+    """Every sentence that names a date, by the kind of date and its precision."""
+    found = table(spark, folder, "documents").where("text is not null").select("doc_id", F.explode(text.sentences("text")).alias("expression")).distinct()
+    return found.select("doc_id", "expression", dates.kind_of("expression").alias("kind"), dates.precision_of("expression").alias("precision")).where("kind is not null")
 
 
-@query(
-    """SELECT doc_id, d AS expression, TRY_CAST(d AS DATE) AS resolved FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '\\d{4}-\\d{2}-\\d{2}')) AS d FROM documents WHERE text IS NOT NULL)"""
-)
+@query()
 def date_resolve(spark, folder):
-    rows = table(spark, folder, "documents").where("text is not null").select("doc_id", F.col("created_at").cast("date").alias("day"), F.explode(F.regexp_extract_all("text", F.lit(r"\d{4}-\d{2}-\d{2}"), F.lit(0))).alias("expression"))
-    return rows.distinct().select("doc_id", "expression", dates.resolved("expression", "day").alias("resolved"))
+    """Every date expression of the texts in any form the rules know, with its place and the day it means as of the document."""
+    rows = table(spark, folder, "documents").where("text is not null").select("doc_id", F.col("created_at").cast("date").alias("day"), "text", F.explode(F.array_distinct(dates.expressions("text"))).alias("expression"))
+    first, last = dates.resolved_range("expression", "day")
+    return rows.select("doc_id", "expression", dates.located("text", "expression").alias("offset"), first.alias("resolved"), last.alias("resolved_end"))
+
+
+@query()
+def date_merged(spark, folder):
+    """The dates of each text without repeats, in the order of time."""
+    found = date_resolve(spark, folder).select("doc_id", F.col("expression").alias("raw"), F.col("resolved").alias("start"), "offset")
+    return dates.merged_dates(found)
 
 
 @query("SELECT execution_id, 'sha256:' || sha256(input) AS hash FROM (SELECT DISTINCT execution_id, '{\"id\":\"' || execution_id || '\",\"n\":' || step || '}' AS input FROM executions WHERE step IS NOT NULL)")

@@ -95,6 +95,19 @@ def test_chunk_frames(spark):
     assert sorted(tuple(r) for r in S.chunked(frame).collect()) == [(1, 1, 1, "a b"), (1, 1, 1, "a b")]
 
 
+def test_date_expressions_of_every_form(spark):
+    text = (
+        "Seen on 2024-01-05, 31/12/2023 and 3rd of May 2024; May 7, 2024 to 9 May 2024. Last Monday? Yesterday, 2 weeks ago, within 3 days or next month, in 1999. "
+        "El 12 de abril de 2023, el lunes, ayer, hace 3 días, el próximo mes. Le 4 juillet 2020, mardi, hier, il y a 2 ans. Am 5. März 2021, Freitag, gestern, vor 2 Wochen. Il 12 aprile, venerdì, ieri, tra 2 giorni. "
+        "Nothing in version 2.3.1, mondays, 1234 items or 12 rows."
+    )
+    assert one(spark, D.expressions, text)[0] == [
+        "2024-01-05", "31/12/2023", "3rd of May 2024", "May 7, 2024 to 9 May 2024", "Monday", "Yesterday", "2 weeks ago", "within 3 days", "next month", "1999",
+        "12 de abril de 2023", "lunes", "ayer", "hace 3 días", "próximo mes", "4 juillet 2020", "mardi", "hier", "il y a 2 ans", "5. März 2021", "Freitag", "gestern", "vor 2 Wochen", "12 aprile", "venerdì", "ieri", "tra 2 giorni",
+    ]
+    assert one(spark, D.expressions, "", None) == [[], None]
+
+
 def test_dates(spark):
     kinds = one(spark, D.kind_of, "3 March 2024", "2024-01-05", "last week", "ayer", "hace 3 días", "lunes", "price 5", "vor 2 Tagen", "90 minutos")
     assert kinds == ["absolute", "absolute", "relative", "relative", "relative", "absolute", None, "relative", None]
@@ -104,6 +117,8 @@ def test_dates(spark):
     assert {e: D.resolve(e, anchor) for e in expected} == expected
     rows = spark.createDataFrame([("5 May 2024 to 2 May 2024", anchor), ("1999", anchor)], "e string, a date").select(*D.resolved_range("e", "a")).collect()
     assert [tuple(r) for r in rows] == [(date(2024, 5, 2), date(2024, 5, 5)), (date(1999, 1, 1), None)]
+    days = {"2025-01-12": (date(2025, 1, 12), None), "2025-01-12 - 2025-02-03": (date(2025, 1, 12), date(2025, 2, 3)), "2025-01-12-2025-02-03": (date(2025, 1, 12), date(2025, 2, 3)), "3-5 May 2024": (date(2024, 5, 3), date(2024, 5, 5)), "3 to 5 mayo 2024": (date(2024, 5, 3), date(2024, 5, 5)), "monday": (date(2024, 3, 11), None), "": (None, None)}
+    assert {e: D.resolve_range(e, anchor) for e in days} == days
     entries = spark.createDataFrame([(1, "May 2", date(2024, 5, 2), 10), (1, "May 2", date(2024, 5, 2), 10), (1, "2 May", date(2024, 5, 2), 12), (1, "x", None, 3), (1, "May 1", date(2024, 5, 1), 40)], "doc_id long, raw string, start date, offset int")
     assert [(r.raw, r.offset) for r in D.merged_dates(entries).collect()] == [("May 1", 40), ("May 2", 10), ("x", 3)]
     found = spark.createDataFrame([("aXbxX", "X", 2), ("aXb", "x", 0), ("a", "q", 0)], "t string, p string, c int").select(D.located("t", "p", "c")).collect()
@@ -186,3 +201,29 @@ def test_streams(spark, tmp_path):
     states.stop()
     assert max((r.sequence, r.applied) for r in spark.table("states").collect())[0] == 3
     assert windows.tumbling(spark.read.schema(schema).parquet(str(tmp_path / "in/0")), "occurred_at", "1 hour", ["event_type"]).count() == 2
+
+
+def test_distinct_greedy_leaves_out_what_cannot_be_used(spark):
+    rows = [("g", 1, [1.0, 0.0]), ("g", 2, [2.0, 0.01]), ("g", 3, [0.0, 1.0]), ("g", 4, None), ("g", 5, [0.0, 0.0]), ("g", 6, [1.0]), ("g", 7, [float("nan"), 1.0]), ("h", 8, None), (None, 9, [1.0, 0.0])]
+    frame = spark.createDataFrame(rows, "grp string, id long, vector array<double>")
+    assert {(r.grp, r.id) for r in vectors.distinct_greedy(frame, "grp", "id").collect()} == {("g", 1), ("g", 3), (None, 9)}
+
+
+def test_ends_progress_and_ledgers(spark):
+    import json
+
+    def event(at, kind, execution, payload):
+        return (f"e{at}", kind, "r", execution, at, json.dumps({"payload": payload}) if payload is not None else None)
+
+    entries = [{"bucket": "root", "used": 2, "reservations": [{"units": 1}, {"units": 4}]}, {"bucket": "root", "used": 3, "reservations": None}, {"bucket": "leaf", "used": None, "reservations": {"units": 7}}, {"used": 9}]
+    rows = [
+        event(1, "execution.state_changed", "x", {"to": "completed"}), event(2, "execution.state_changed", "x", {"to": "failed"}), event(2, "execution.state_changed", "x", {"to": "failed"}),
+        event(3, "execution.state_changed", "y", {"to": "completed"}), event(4, "execution.state_changed", "y", None), event(5, "execution.state_changed", None, {"to": "failed"}),
+        event(6, "progress.reported", "x", {"kind": "ledger_snapshot", "ledger": {"entries": [{"bucket": "old", "used": 1}]}}), event(7, "progress.reported", "x", {"kind": "ledger_snapshot", "ledger": {"entries": json.dumps(entries)}}),
+        event(7, "progress.reported", "x", {"kind": "ledger_snapshot", "ledger": {"entries": json.dumps(entries)}}), event(8, "progress.reported", "x", {"kind": "other", "ledger": {"entries": None}}), event(9, "progress.reported", "z", {"ledger": {"entries": entries[0]}}),
+    ]
+    frame = spark.createDataFrame(rows, "event_id string, event_type string, root_execution_id string, execution_id string, sequence long, envelope string")
+    assert [tuple(r) for r in eventlog.repeated_ends(frame).collect()] == [("r", "x", 2)]
+    assert {tuple(r) for r in eventlog.progress(frame).collect()} == {("x", 3, 2), ("z", 1, 0)}
+    assert {tuple(r) for r in eventlog.ledgers(frame).collect()} == {("x", "root", 5, 5), ("x", "leaf", 0, 7), ("z", "root", 2, 5)}
+    assert eventlog.ledgers(frame.limit(0)).count() == 0 and eventlog.repeated_ends(frame.limit(0)).count() == 0
