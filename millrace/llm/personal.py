@@ -5,7 +5,8 @@ odd blanks and dashes into plain characters, leave invisible characters out, and
 and at/dot disguises; each keeps the place of every character, so that a span found in the aligned
 form is a span of the text as it stands, and all other text stays as it is.
 
-One pass over the text column, no shuffle.  Patterns start from anchors (an at sign, a digit, a known
+A first pass over the text column learns given names from the places where persons sign, speak, are
+greeted or listed; the second finds, with no shuffle.  Patterns start from anchors (an at sign, a digit, a known
 given name, a title, a place where a person signs, speaks or is greeted, a street word) and look at a bounded stretch around them, so very long texts and runs
 cost linear time.
 """
@@ -14,7 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
-from functools import cache
+from functools import lru_cache
 
 import ahocorasick
 import pyarrow as pa
@@ -26,81 +27,20 @@ from millrace.session import spread
 
 KINDS = ("name", "email", "phone", "id", "addr")
 
-# Given names, without accents; these were collected from documents of the test data.
-GIVEN_NAMES = """
-alvaro andrea anna annika antonio aurelien bastien beatrice beatriz bernard callum camille carlos carmen catherine charlotte chiara claire
-conceicao daniel david desmond detlef diego duarte elena elisabeth elodie emma fabrizio francesca francois friederike giovanni giulia gonzalo
-hans harriet heinrich helena iker imogen ines isabel james jean jean-luc joao joaquin john jose juan jurgen julia karl kathe klaus laura leila
-leonor lucia ludovica luis lukas maelle maeve manuel marco margaux maria marie mario marta martin mary matteo matthias michael miguel monika nadia
-niccolo nicolas nuria odile oliver paolo paul pedro peter philippe pierre pilar priya rafael robert rocio rui rupert sabine sandro sarah sofia
-solene stefan susan svenja tamsin teresa thibault thomas tiago torsten ulrich ursula wiebke william winston wolfgang yannick yvonne
-""".split()
-# Given names common in the six languages and beyond, written down from general knowledge.  Names that are also words,
-# months or places (Will, May, Mark, Rose, Grace, Amber, Aurora, Florence, Santiago) aren't in it.
+# Everyday given names of six languages, without accents. They stand in where a corpus is too small to learn from.
 COMMON_NAMES = """
-aaron abdul abdullah abel abigail achille achim ada adalberto adam adelaide adele adolfo adrian adriana adriano adrien agata agathe agnes agnese agostino agustin
-ahmad ahmed aicha aidan aisha aitor alain alan alana alba albert alberta alberto albrecht aldo alejandra alejandro alena alessandra alessandro alessia alessio alex
-alexander alexandra alexandre alexandrine alexia alexis alfonso alfred alfredo ali alice alicia alina aline alison alistair allan allison alois alonso aloysius
-alphonse amadou amalia amanda amandine amaya amelia amelie amina amir amit amparo amy ana anabel anais anastasia andre andreas andreia andres andrew andrzej angela
-angele angelica angelika angelina angelo angus anibal anika anita anja anke ann annabel anne anneliese annemarie annette annie anouk anselm anthony antoine
-antoinette anton antonella antonia antonietta antonin antony apolline ariana ariane arianna armand armando armelle armin arnaud arnold arthur artur arturo arun
-ashley asier astrid audrey augusto aurelia aurelie aurelio axel ayesha ayse aziz baptiste barbara barnaby barry bart bartholomew bartolomeo beate beatrix belen ben
-benedetta benedetto benedict benedikt benito benjamin benoit berenice bernadette bernardo bernd bernhard bert bertha berthold bertrand beth bettina betty billy
-birgit birgitta bjorn boris bradley brandon brenda brendan brian bridget brigida brigitte britta bruce bruna bruno bryan burkhard caetano caitlin calvin cameron
-camila camilla camilo carina carl carla carlo carlota carlotta carmela carmelo carol carola carole carolin caroline carolyn carsten casimir caspar cassandra catarina
-caterina cathy cecile cecilia cedric celestino celia celine cesar cesare chantal charles charlie chen cheryl chloe chris christa christel christelle christian
-christiane christina christine christoph christophe christopher cindy clara clarissa claudia claudine claudio claus clelia clemence clemens clementine cleo clive
-clotilde colette colin colm concetta connor conor conrad constantin cora corentin corinna corinne cornelia cornelius cosimo craig cristian cristiana cristiano
-cristina cristobal cyril cyrille cyrus dagmar daisuke daisy damian damien dan dana daniela daniele danielle danilo danny daria dario darren dave davide deborah debra
-deirdre delia delphine denis denise dennis derek desiree detlev diana diane didier dieter dietmar dietrich dimitri dinah dino dirk dmitri domenico dominic dominik
-dominique donald donata donatella donato donna dora doreen doris dorothea dorothee dorothy douglas duncan dylan eamon ebba eberhard eckhard eddie edgar edgardo edith
-edmond edmund edna edoardo eduard eduarda eduardo edward edwin egon eileen elaine eleanor eleonora eleonore eli elia elias elif elio elisa elise eliza elizabeth elke
-ellen elliot elliott eloise elsa elsbeth elvira emanuel emanuela emanuele emil emile emilia emiliano emilie emilio emily emmanuel emmanuelle enrica enrico enrique
-enzo eric erica erich erik erika ernest ernesto ernst erwin esteban estelle ester esther ethan etienne eugen eugene eugenia eugenie eugenio eva evan evaristo eve
-evelyn evelyne ewa ewald fabian fabiana fabien fabienne fabio fabiola fabrice fanny fatih fatima fatou federica federico felicia felicitas felicity felipe felix
-ferdinand ferdinando fergus fernand fernanda fernando fiammetta filipa filipe filippo fiona flavia flavio flora florian floriana franca francis francisca francisco
-franck franco francoise frank frankie franz fred freddie frederic frederica frederick frederico frederik fredrik frida frieda friedhelm friedrich fritz gabriel
-gabriela gabriele gabriella gabrielle gael gaelle gaetano gareth gary gaspard gaston gavin gemma geneva genevieve geoffrey georg george georges georgina gerald
-geraldine gerard gerardo gerd gerda gerhard gernot gertrud gertrude gesine ghislaine giacomo giada gian gianfranco gianluca gianna gianni gideon gilbert gilberto
-gilles gillian gina ginevra gino gioia giorgia giorgio giovanna gisela giselle giuliana giuliano giulio giuseppe giuseppina gladys glen glenn goncalo gordon
-gottfried graciela graham greg gregor gregorio gregory greta gretchen gudrun guglielmo guido guilherme guillaume guillermo gunnar gunter gunther gustav gustave
-gustavo gwen hamid hana hanna hannah hannelore hannes harald hari harold harry hartmut harvey hasan hassan hauke hector hedwig heide heidi heike heiko heiner heinz
-helen helene helga hella hellmut helmut hendrik henri henriette henrik henrique henry herbert heriberto hermann herminia hernan herve hilary hilda hildegard hiroshi
-holger horacio horst howard hubert hugh hugo humberto hussein ian ibrahim ida ignacio igor ilaria ilias ilka ilona ilse imran ina inga inge ingeborg ingo ingrid
-inigo inmaculada ioana irena irene irina iris irma irmgard isaac isabela isabella isabelle isaias isidoro ismael ivan ivana ivo ivonne izaskun jacek jacob jacopo
-jacqueline jacques jaime jake jakob jamal jamie jan jana janet janice janina janine janis jannik jaroslav jasmin jasmine jason javier jeanette jeanne jeannine jeff
-jeffrey jemima jenna jennifer jenny jens jeremy jerome jerry jesse jessica jessie jesus jill jim jimena jimmy joachim joan joana joanna joanne joaquina jochen joe
-joel joelle joerg johan johann johanna johannes johnny jon jonas jonathan jordi jorg jorge josef josefa josefina joseph josephine josh joshua josiane josue joyce
-juana juanita judith judy jules julian juliana juliane julie julien juliet juliette julio julius justin justine justyna jutta kai karen karim karin karina karl-heinz
-karla karsten kasper kate katerina katharina katherine kathleen kathrin kathryn kathy katia katja katrin katy kay keiko keith kelly ken kenji kenneth kerstin kevin
-khalid kiara kilian kim kirsten kirsty klara knut konrad konstantin kristin kristina krzysztof kurt kyle lara larissa larry lars laszlo lauren laurence laurent
-laurie lautaro lea leah leandro lena lennart leo leon leonard leonardo leonhard leonie leopold leopoldo leroy leslie leticia letizia lewis lia liam lidia liesel
-lieselotte lila lilian liliana lilly lily lina linda lionel lisa liselotte livia livio lloyd loic lola lorena lorenz lorenzo loretta lorraine lothar lou louis louisa
-louise lourdes luana luc luca lucas luciana luciano lucie lucien lucienne lucile lucinda lucrezia lucy ludger ludovic ludovico ludwig luigi luisa luise luiz lutz
-lydia lynn mabel maddalena madeleine madeline mafalda magali magda magdalena maggie mahmoud maike maite malcolm malik malte manfred manolo manon manuela mara marc
-marcel marcela marcella marcelle marcello marcelo marcia marcin marcos marcus marek margaret margareta margarete margarida margarita margherita margit margot
-marguerite mariam mariana marianne mariano maribel maricarmen marietta marilena marilyn marina mariola marion marisa marisol marius marjorie mark-anthony markus
-marleen marlene marlies marlon martha marthe martim martina martine marvin maryam massimiliano massimo mateo mateus mathias mathieu mathilda mathilde matilde matt
-matthew matthieu maud maura maureen maurice mauricio maurizio mauro maxime maximilian maximo maxwell mechthild mehmet meike melanie melina melissa meredith merle mia
-micaela michaela michel michela michele micheline michelle miguel-angel mihai mikael mike mikhail mila milan milena millie miranda mireille miriam mirjam mirko
-mohamed mohammad mohammed moira moises mona montserrat morgane moritz morten moses muriel mustafa myriam nadege nadine nadja naomi natacha natalia natalie natascha
-natasha nathalie nathan nathaniel neil nelly nelson nestor nicholas nick nicola nicole nicoletta nicolo nigel nikita nikolai nikolaus nils nina nino noah noel noelia
-noelle noemi nora norbert norma norman octavio odette ofelia olaf olga olivia olivier omar oscar oskar osvaldo oswald otto pablo pamela paola pascal pascale pascual
-patrice patricia patricio patrick patrizia patrizio paula paulette paulina pauline paulo pawel peggy penelope perrine petra phil philip philipp philippa phillip
-phoebe phyllis pia pier pierluigi piero pierrick pietro piotr placido quentin rachel rachele radu rafaela raffaele raffaella rahul raimund rainer raj rajesh ralf
-ralph ramiro ramon ramona randy raoul raquel raul ravi raymond raymonde rebeca rebecca reginald regine regis reinhard reinhold remi remy renata renate renato rene
-renee reto rhiannon ricarda ricardo riccardo richard rita roberta roberto robin rodolfo rodrigo roger roland rolando rolf romain roman romina romy ron ronald rosa
-rosalia rosalie rosalind rosanna rosaria rosario roseline rosemarie rosemary rosina rosita ross roswitha roxane roy ruben rudi rudiger rudolf russell ruth ryan
-sabina sabrina sally salma salvatore sam samantha samir samira samuel sandra sanjay sara sascha saskia saul savannah scott sean sebastian sebastiano sebastien selim
-selina serge sergei sergio severin severine sharon shaun sheila shirley sibylle sidney siegfried siegrid sigrid silke silvana silvia silvio simon simona simone
-siobhan solange sonia sonja sonya sophia sophie soraya stacy stanislas stanislaw stanley stefania stefanie stefano steffen steffi stephan stephane stephanie stephen
-steve steven stewart stuart suzanne svetlana swen sybille sylvain sylvia sylvie tania tanja tanya tara tatiana tatjana ted telma terence terry thea thelma theo
-theodor theodore theresa therese thierry thilo thora thorsten tiffany tilman tim timo timothy tina tito tobias toby todd tom tomas tommaso tommy toni tony tracy
-trevor tristan trudy tullio udo ugo ulla ulrike umberto ute uwe valentin valentina valentino valeria valerie valerio vanessa vasco vera verena veronica veronika
-veronique vicente vicki victoire victor vikram viktor viktoria vincent vincente vincenzo violaine violeta violette virginie vito vittoria vittorio vivian viviana
-vivien vivienne vladimir volker waldemar walter wanda warren wayne wendy wenzel werner wilfried wilhelm willi willy wilma winfried wolfram xavier ximena yago yann
-yannis yasmin yasmina yoko yolanda yosef youssef yuki yusuf yves yvette zachary zaira zara zeynep zoe zuzanna
+james john robert michael william david richard thomas charles mary patricia jennifer linda elizabeth susan sarah karen nancy margaret emily george paul peter andrew
+anthony helen anna laura emma oliver antonio jose manuel francisco juan javier carlos miguel pedro luis fernando pablo sergio maria carmen ana isabel dolores pilar lucia
+marta elena cristina alejandro rafael beatriz rosa diego jean pierre michel andre philippe alain bernard jacques nicolas julien louis francois marie nathalie isabelle
+catherine sophie camille claire anne chloe celine sylvie valerie antoine hans klaus wolfgang jurgen dieter stefan andreas martin christian matthias lukas ursula monika
+petra sabine renate karin katharina julia lena heike birgit claudia joao paulo rui tiago ricardo bruno ines catarina mariana teresa sofia joana leonor margarida helena
+giuseppe giovanni mario luigi francesco marco alessandro andrea roberto matteo stefano paolo giulia francesca chiara sara valentina alessandra silvia paola martina
+daniel matthew mark steven kevin brian edward ronald donna carol ruth sharon michelle barbara jessica amanda melissa rebecca ahmed mohammed fatima ali omar ivan olga
 """.split()
+#: Different family names that must follow a word, where a person's name stands, before it counts as a given name anywhere.
+LEAST_FAMILIES = 3
+#: Given names that are broadcast at most, those of the most family names first; some 3 MB, and far more than are in use.
+MOST_NAMES = 200_000
 # Particles of family names.
 PARTICLES = "d' da dal de dei del della der des di do dos du la le mac san ten ter van vom von zu zum".split()
 # Titles, which are no part of a name.
@@ -186,15 +126,15 @@ def _upper(text: str) -> bool:
     return text[:1].isupper()
 
 
-@cache
-def _anchors() -> ahocorasick.Automaton:
+@lru_cache(maxsize=4)
+def _anchors(names: frozenset[str]) -> ahocorasick.Automaton:
     """Given names, with their length; pairs of spelled digits, with 0; titles, greetings and who did something, with -(4 x length + 1, 2 or 3)."""
     automaton = ahocorasick.Automaton()
     for first in DIGITS:
         for second in DIGITS:
             for mark in (" ", "-", ", ", ","):
                 automaton.add_word(f"{first}{mark}{second}", 0)
-    for name in (*GIVEN_NAMES, *COMMON_NAMES):
+    for name in names:
         automaton.add_word(name, len(name))
     titles = [f"{t}{dot} " for t in TITLES for dot in ("", ".") if (t, dot) != ("m", "")]
     for kind, words in ((1, titles), (2, [f"{w} " for w in GREETINGS]), (3, [f"{w} " for w in DONE_BY])):
@@ -344,23 +284,18 @@ CLOSINGS = frozenset("regards sincerely cheers thanks wishes saludos saludo aten
 _CELL_BEFORE = re.compile(rf"(?:^|[\n|>;]) ?{_CELL} ?[;|\t] ?$")
 
 
-@cache
-def _known() -> frozenset[str]:
-    return frozenset((*GIVEN_NAMES, *COMMON_NAMES))
-
-
 def _no_name(word: str) -> bool:
     return not _upper(word) or word.lower() in NO_NAMES or word.lower() in OPENERS or word.lower() in TITLES
 
 
-def _name_at(text: str, at: int, closed: bool = False) -> int:
+def _name_at(text: str, at: int, names: frozenset[str], closed: bool = False) -> int:
     """End of the given and family name that start here by their shape, or 0.
 
     Family name and given name, with a comma, count in a ``closed`` place or with the family name in capitals.
     """
     turned = _REVERSED.match(text, at)
     if turned and not _no_name(turned[1].rpartition(" ")[2].removeprefix("d'").removeprefix("d’")) and not _no_name(turned[3]):
-        known = aligned(turned[3])[0] in _known()
+        known = aligned(turned[3])[0] in names
         if (closed or known or (turned[1].isupper() and len(turned[1]) > 2 and not turned[3].isupper())) and (not turned[2] or _upper(turned[2])):
             return turned.end()
     given = _GIVEN_AT.match(text, at)
@@ -398,7 +333,7 @@ def _closed(text: str) -> Iterator[tuple[int, int]]:
         at = end + 1
 
 
-def _placed_names(anchors: list[tuple[int, int]], plain: str, text: str, emails: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+def _placed_names(anchors: list[tuple[int, int]], plain: str, text: str, emails: list[tuple[int, int]], names: frozenset[str]) -> Iterator[tuple[int, int]]:
     """Names of any given name by where they stand: after a title, a greeting or who did something, as a speaker, a signature or the owner of an address."""
     for last, code in anchors:
         if code >= 0:
@@ -411,16 +346,16 @@ def _placed_names(anchors: list[tuple[int, int]], plain: str, text: str, emails:
             title = text[start : at - 1]
             if not (_upper(title) and (title.endswith(".") or title[1:].islower())) and length <= 5:
                 continue
-        end = _name_at(text, at)
+        end = _name_at(text, at, names)
         if end and (kind != 2 or text[end : end + 1] in ("", ",", "!", ":", "\r", "\n")):
             yield at, end
     for start, end in _closed(text):
-        if _name_at(text, start, closed=True) == end:
+        if _name_at(text, start, names, closed=True) == end:
             yield start, end
     for start, _ in emails:
         low = max(0, start - 90)
         head = text[low:start]
-        if head.rstrip(" ")[-1:] in (";", "|", "\t") and (found := _CELL_BEFORE.search(head)) and _name_at(text, low + found.start(1), closed=True) == low + found.end(1):
+        if head.rstrip(" ")[-1:] in (";", "|", "\t") and (found := _CELL_BEFORE.search(head)) and _name_at(text, low + found.start(1), names, closed=True) == low + found.end(1):
             yield low + found.start(1), low + found.end(1)
 
 
@@ -577,30 +512,39 @@ def _addresses(plain: str, text: str) -> Iterator[tuple[int, int]]:
 _LINKS = frozenset("de la los las del da das do dos della delle dei degli di e y du des".split())
 
 
-def spans(text: str | None) -> list[tuple[int, int, str]]:
-    """Non-overlapping (start, end, kind) of personal data in ``text``, in order.
+COMMON = frozenset(COMMON_NAMES)
 
-    Of overlapping finds an email address wins, then an address, a number and a name; within a kind
-    the longer.  Null and empty text have none.
-    """
-    if not text:
-        return []
+
+def _prepared(text: str) -> tuple[str, str, list[int] | None, list[tuple[int, int]]]:
+    """The plain and the cased aligned form of a text, the places of their characters, and the email addresses."""
     plain, places = aligned(text)
     cased = text if places is None else "".join(text[i] for i in places)
-    found: list[tuple[int, int, int, str]] = []
     emails: list[tuple[int, int]] = []
     if "@" in plain or " dot " in plain or "at)" in plain or "at]" in plain or "at}" in plain or "at>" in plain or "arroba" in plain or "&#64;" in plain or "%40" in plain:
         emails = list(_emails(plain))
-        found += [(0, a, b, "email") for a, b in emails]
+    return plain, cased, places, emails
+
+
+def spans(text: str | None, names: frozenset[str] = COMMON) -> list[tuple[int, int, str]]:
+    """Non-overlapping (start, end, kind) of personal data in ``text``, in order.
+
+    ``names`` are the given names that make the word after them a family name wherever they stand.  Of
+    overlapping finds an email address wins, then an address, a number and a name; within a kind the
+    longer.  Null and empty text have none.
+    """
+    if not text:
+        return []
+    plain, cased, places, emails = _prepared(text)
+    found: list[tuple[int, int, int, str]] = [(0, a, b, "email") for a, b in emails]
     found += [(1, a, b, "addr") for a, b in _addresses(plain, cased)]
     found += [(2, a, b, kind) for kind, a, b in _numbers(plain)]
-    anchors = list(_anchors().iter_long(plain))
+    anchors = list(_anchors(names).iter_long(plain))
     if any(not length for _, length in anchors) and (spelled := _spelled(plain)):
         digits, where = spelled
         found += [(2, where[a], where[b - 1] + 1, kind) for kind, a, b in _numbers(digits) if where[b - 1] + 1 - where[a] > b - a + 4]
     found += [(3, a, b, "name") for a, b in _names(anchors, plain, cased)]
     found += [(3, a, b, "name") for a, b in _structural_names(plain, cased)]
-    found += [(3, a, b, "name") for a, b in _placed_names(anchors, plain, cased, emails)]
+    found += [(3, a, b, "name") for a, b in _placed_names(anchors, plain, cased, emails, names)]
     if not found:
         return []
     found.sort(key=lambda f: (f[0], -(f[2] - f[1]), f[1]))
@@ -613,25 +557,66 @@ def spans(text: str | None) -> list[tuple[int, int, str]]:
     return sorted(kept)
 
 
+def named(text: str | None) -> set[tuple[str, str]]:
+    """Given name and last family name, in plain letters, of the names that are found by where they stand."""
+    if not text:
+        return set()
+    plain, cased, _, emails = _prepared(text)
+    anchors = [anchor for anchor in _anchors(frozenset()).iter_long(plain) if anchor[1] < 0]
+    out = set()
+    for start, end in (*_structural_names(plain, cased), *_placed_names(anchors, plain, cased, emails, COMMON)):
+        before, comma, after = plain[start:end].partition(",")
+        words = (f"{after.strip()} {before}" if comma else before).split()
+        if len(words) > 1 and len(words[0]) > 1 and words[0].replace("-", "").isalpha():
+            out.add((words[0], words[-1]))
+    return out
+
+
 def bare(piece: str) -> str:
     """Letters and digits of a piece, in lower case."""
     return "".join(c for c in piece.lower() if c.isalnum())
 
 
-def redact(text: str | None) -> str | None:
-    """The text with a placeholder such as ``[EMAIL]`` for each find; null stays null."""
-    if not text:
+def _replaced(text: str | None, found: list[tuple[int, int, str]]) -> str | None:
+    if not found:
         return text
     out, at = [], 0
-    for start, end, kind in spans(text):
+    for start, end, kind in found:
         out += [text[at:start], f"[{kind.upper()}]"]
         at = end
     return "".join(out) + text[at:]
 
 
-def personal_found(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, kind, found of each piece of personal data, distinct within its document."""
+def redact(text: str | None, names: frozenset[str] = COMMON) -> str | None:
+    """The text with a placeholder such as ``[EMAIL]`` for each find; null stays null."""
+    return _replaced(text, spans(text, names))
+
+
+def given_names(documents: DataFrame, text_column: str = "text", least: int = LEAST_FAMILIES) -> frozenset[str]:
+    """Everyday given names and those learnt from the names that stand at places of persons in ``documents``.
+
+    A word counts if ``least`` different family names follow it over all documents.  Pairs are made
+    distinct where they lie before they meet, so that a name in a third of all texts is no hot key;
+    what comes to the driver are names, at most ``MOST_NAMES``.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pairs = sorted(set().union(*map(named, batch.column(0).to_pylist())))
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.string()) for k in (0, 1)], names=["given", "family"])
+
+    pairs = spread(documents.select(text_column).where(F.col(text_column) != "")).mapInArrow(run, "given string, family string").distinct()
+    counted = pairs.groupBy("given").agg(F.count(F.lit(1)).alias("families")).where(F.col("families") >= least)
+    return COMMON.union(r["given"] for r in counted.orderBy(F.desc("families"), "given").limit(MOST_NAMES).collect())
+
+
+def personal_found(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", names: frozenset[str] | None = None) -> DataFrame:
+    """doc_id, kind, found of each piece of personal data, distinct within its document.
+
+    ``names`` are given names as of ``given_names``, which learns them from the documents if they aren't given.
+    """
     id_type = documents.schema[id_column].dataType.simpleString()
+    names = given_names(documents, text_column) if names is None else names
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -639,7 +624,7 @@ def personal_found(documents: DataFrame, id_column: str = "doc_id", text_column:
             kinds: list[str] = []
             pieces: list[str] = []
             for row, text in enumerate(batch.column(1).to_pylist()):
-                for kind, piece in {(k, bare(text[a:b])) for a, b, k in spans(text)}:
+                for kind, piece in {(k, bare(text[a:b])) for a, b, k in spans(text, names)}:
                     owners.append(row)
                     kinds.append(kind)
                     pieces.append(piece)
@@ -649,15 +634,19 @@ def personal_found(documents: DataFrame, id_column: str = "doc_id", text_column:
     return spread(documents.select(id_column, text_column)).mapInArrow(run, f"`{id_column}` {id_type}, kind string, found string")
 
 
-def redacted(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, text with typed placeholders and n_replaced of every document; null text stays null."""
+def redacted(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", names: frozenset[str] | None = None) -> DataFrame:
+    """doc_id, text with typed placeholders and n_replaced of every document; null text stays null.
+
+    ``names`` as of ``personal_found``.
+    """
     id_type = documents.schema[id_column].dataType.simpleString()
+    names = given_names(documents, text_column) if names is None else names
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            clean = [redact(t) for t in texts]
-            counts = [len(spans(t)) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(clean, pa.string()), pa.array(counts, pa.int32())], names=[id_column, "text", "n_replaced"])
+            found = [spans(t, names) for t in texts]
+            clean = [_replaced(t, f) for t, f in zip(texts, found, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(clean, pa.string()), pa.array(list(map(len, found)), pa.int32())], names=[id_column, "text", "n_replaced"])
 
     return spread(documents.select(id_column, F.col(text_column).alias("text"))).mapInArrow(run, f"`{id_column}` {id_type}, text string, n_replaced int")

@@ -6,6 +6,8 @@ import pytest
 
 from millrace.llm import personal as P
 
+NAMES = P.COMMON | {"annika", "harriet", "kathe", "rocio", "elodie"}
+
 FOUND = [
     ("Minutes taken by Harriet L. Fenwick-Low, approved.", "name", "Harriet L. Fenwick-Low"),
     ("Dr. FENLOW, Harriet asked", "name", "FENLOW, Harriet"),
@@ -48,12 +50,12 @@ NOTHING = [
 
 @pytest.mark.parametrize(("text", "kind", "piece"), FOUND)
 def test_found(text, kind, piece):
-    assert [(k, text[a:b]) for a, b, k in P.spans(text)] == [(kind, piece)]
+    assert [(k, text[a:b]) for a, b, k in P.spans(text, NAMES)] == [(kind, piece)]
 
 
 @pytest.mark.parametrize("text", NOTHING)
 def test_nothing(text):
-    assert P.spans(text) == []
+    assert P.spans(text, NAMES) == []
 
 
 def test_spans_survive_invisible_and_lookalike_characters():
@@ -65,9 +67,9 @@ def test_spans_survive_invisible_and_lookalike_characters():
 
 def test_redaction_changes_nothing_else():
     whole = " | ".join(t for t, _, _ in FOUND[:-10]) + " plain end"
-    clean = P.redact(whole)
+    clean = P.redact(whole, NAMES)
     at, out = 0, []
-    for a, b, kind in P.spans(whole):
+    for a, b, kind in P.spans(whole, NAMES):
         out += [re.escape(whole[at:a]), re.escape(f"[{kind.upper()}]")]
         at = b
     assert re.fullmatch("".join(out) + re.escape(whole[at:]), clean)
@@ -84,6 +86,21 @@ def test_frames_with_nulls_repeats_and_long_texts(spark):
     assert P.personal_found(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_given_names_are_learnt_where_persons_stand(spark):
+    """Zebulon signs, speaks and is greeted with three family names, so he is known in running text; Sorrel with two isn't, and Product is no person."""
+    texts = [
+        "all done.\n-- \nZebulon Fenmore\n", "[11:03] Daltal, Zebulon: it is done", "Dear Zebulon Krugmann,\nwe moved it", "Then Zebulon Fenmore asked Ms. Sorrel Fenmore", "Mr. Sorrel Daltal",
+        "Later Zebulon Quarrow and Sorrel Quarrow left", "Product Launch and Product Design met Product Owner", None, "", "Dear Support Team,\n", "hello",
+    ]
+    frame = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)], "doc_id long, text string, kind string")
+    assert P.given_names(frame) - P.COMMON == {"zebulon"}
+    found = {(r.doc_id, r.found) for r in P.personal_found(frame.repartition(5)).collect()}
+    assert found == {(0, "zebulonfenmore"), (1, "daltalzebulon"), (2, "zebulonkrugmann"), (3, "zebulonfenmore"), (3, "sorrelfenmore"), (4, "sorreldaltal"), (5, "zebulonquarrow")}
+    clean = {r.doc_id: r.text for r in P.redacted(frame).collect()}
+    assert clean[5] == "Later [NAME] and Sorrel Quarrow left" and clean[7] is None
+    assert P.given_names(frame.limit(0)) == P.COMMON
+
+
 PLACED = [
     ("The call with Richard Fenmore was short.", "Richard Fenmore"), ("Nous avons vu Sophie Calvel hier", "Sophie Calvel"), ("ha scritto Giuseppe Gortini ieri", "Giuseppe Gortini"),
     ("Then Mr. Zebulon Fenmore asked", "Zebulon Fenmore"), ("Wie Frau Ortrun von Halmann sagte", "Ortrun von Halmann"), ("Dr. FENLOW, Zebulon asked", "FENLOW, Zebulon"),
