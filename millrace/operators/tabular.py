@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DateType, NumericType, StringType, TimestampNTZType, TimestampType
 
 from millrace.functions.scalars import finite, key_text, moment, number
+from millrace.operators.quantiles import exact_quantiles, is_large
 from millrace.plans.predicates import filtered
 
 TIMES = (DateType, TimestampType, TimestampNTZType)
@@ -33,6 +34,28 @@ def aggregate(name: str, value: Column, of_nothing: bool = True) -> Column:
     return F.percentile(value, 0.5) if name == "median" else F.avg(value)
 
 
+def aggregated(rows: DataFrame, keys: Sequence[str], fn: str, value: str) -> DataFrame:
+    """keys, value: one aggregate of a numeric column per group; a median of large tables is searched by counting."""
+    if fn != "median" or not is_large(rows):
+        return rows.groupBy(*keys).agg(finite(aggregate(fn, F.col(value))).alias("value"))
+    medians = exact_quantiles(rows, [0.5], keys, value)
+    groups = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).drop("__n")
+    return groups.join(medians, list(keys), "left").select(*keys, finite(F.element_at("q", 1)).alias("value"))
+
+
+def with_quantiles(rows: DataFrame, moments: Sequence[Column], value: str, **at: float) -> DataFrame:
+    """One row: aggregates of all rows, and exact quantiles of a column by name; those of a large table are searched by counting."""
+    if not is_large(rows):
+        whole = rows.agg(*moments, F.percentile(value, F.array(*map(F.lit, at.values()))).alias("__q"))
+        return whole.withColumns({name: F.get("__q", F.lit(k)) for k, name in enumerate(at)}).drop("__q")
+    stats = rows.agg(*moments)
+    found = exact_quantiles(rows, list(at.values()), value=value)
+    one = found.select(*(F.element_at("q", k + 1).alias(name) for k, name in enumerate(at)))
+    # Both are one row; without values there are no quantiles, and a row of nulls stands for them.
+    one = one.agg(*(F.max(name).alias(name) for name in at))
+    return stats.withColumn("__one", F.lit(1)).join(F.broadcast(one.withColumn("__one", F.lit(1))), "__one").drop("__one")
+
+
 def numeric(frame: DataFrame, field: str) -> Column:
     return number(F.col(field), isinstance(frame.schema[field].dataType, NumericType))
 
@@ -50,7 +73,7 @@ def group_values(frame: DataFrame, group: str, value: str, fn: str = "mean") ->
     """label, value: one aggregate per group, highest first.  Rows with null group or value are dropped."""
     need(frame, group, value)
     rows = frame.select(F.col(group).alias("label"), numeric(frame, value).alias("value")).na.drop()
-    grouped = rows.groupBy("label").agg(finite(aggregate(fn, F.col("value"))).alias("value"))
+    grouped = aggregated(rows, ["label"], fn, "value")
     return grouped.orderBy(F.desc_nulls_last("value"), "label")
 
 
@@ -61,8 +84,11 @@ def group_query(frame: DataFrame, group: str, value: str | None = None, fn: str
     """
     need(frame, group)
     rows = frame.where(F.col(group).isNotNull())
-    measure = F.count(F.lit(1)) if value not in frame.columns else aggregate(fn, numeric(frame, value))
-    return rows.groupBy(F.col(group).alias("label")).agg(finite(measure).alias("value")).orderBy(F.desc_nulls_last("value"), "label")
+    if value in frame.columns:
+        grouped = aggregated(rows.select(F.col(group).alias("label"), numeric(frame, value).alias("v")), ["label"], fn, "v")
+    else:
+        grouped = rows.groupBy(F.col(group).alias("label")).agg(finite(F.count(F.lit(1))).alias("value"))
+    return grouped.orderBy(F.desc_nulls_last("value"), "label")
 
 
 def group_stats(frame: DataFrame, group: str, value: str) -> DataFrame:
@@ -130,7 +156,7 @@ def chart_values(
     need(frame, x)
     if y in frame.columns:
         rows = frame.select(F.col(x).alias("label"), numeric(frame, y).alias("v")).where("v is not null and label is not null")
-        result = rows.groupBy("label").agg(finite(aggregate(fn, F.col("v"))).alias("value"))
+        result = aggregated(rows, ["label"], fn, "v")
     else:
         result = frame.where(F.col(x).isNotNull()).groupBy(F.col(x).alias("label")).agg(F.count(F.lit(1)).cast("double").alias("value"))
     by = "label" if sort == "label" else "value"
@@ -163,8 +189,11 @@ def pivot_filled(frame: DataFrame, row: str, column: str, value: str | None = No
     Cells that are null, which mean, min, max and median may give, are left out; sum and count give 0 and keep them.
     """
     need(frame, row, column)
-    measure = F.count(F.lit(1)) if value not in frame.columns else aggregate(fn, numeric(frame, value))
-    cells = frame.where(F.col(row).isNotNull() & F.col(column).isNotNull()).groupBy(F.col(row).alias("row"), F.col(column).alias("col")).agg(finite(measure).alias("value"))
+    rows = frame.where(F.col(row).isNotNull() & F.col(column).isNotNull())
+    if value in frame.columns:
+        cells = aggregated(rows.select(F.col(row).alias("row"), F.col(column).alias("col"), numeric(frame, value).alias("v")), ["row", "col"], fn, "v")
+    else:
+        cells = rows.groupBy(F.col(row).alias("row"), F.col(column).alias("col")).agg(finite(F.count(F.lit(1))).alias("value"))
     return cells.where("value is not null")
 
 
@@ -185,8 +214,12 @@ def pivot_cells(frame: DataFrame, row: str, column: str, value: str | None = Non
 
 def pivot_wide(frame: DataFrame, row: str, column: str, columns: Sequence[str], value: str | None = None, fn: str = "count") -> DataFrame:
     """One column per given label; the labels are given, so that no extra pass looks for them."""
+    rows = frame.where(F.col(row).isNotNull())
+    if value in frame.columns and fn == "median" and is_large(rows):
+        cells = aggregated(rows.select(F.col(row).alias("row"), F.col(column).alias("col"), numeric(frame, value).alias("v")), ["row", "col"], fn, "v")
+        return cells.groupBy("row").pivot("col", list(columns)).agg(F.max("value")).na.fill(0.0)
     measure = F.count(F.lit(1)) if value not in frame.columns else aggregate(fn, numeric(frame, value))
-    return frame.where(F.col(row).isNotNull()).groupBy(F.col(row).alias("row")).pivot(column, list(columns)).agg(finite(measure)).na.fill(0.0)
+    return rows.groupBy(F.col(row).alias("row")).pivot(column, list(columns)).agg(finite(measure)).na.fill(0.0)
 
 
 def pivot_totals(cells: DataFrame) -> DataFrame:
@@ -258,6 +291,7 @@ def summary(frame: DataFrame, fields: Sequence[str] | None = None) -> DataFrame:
     Numbers, counts and ranges of all fields are one pass; each text field adds a grouped count.
     """
     fields = [f for f in fields or frame.columns if f in frame.columns]
+    large = any(kind_of(frame, f) == "number" for f in fields) and is_large(frame)
     parts: list[Column] = []
     for at, field in enumerate(fields):
         x, kind = F.col(field), kind_of(frame, field)
@@ -274,7 +308,7 @@ def summary(frame: DataFrame, fields: Sequence[str] | None = None) -> DataFrame:
                 (F.count(F.lit(1)) - F.count(x)).alias("null_count"),
                 F.round((F.count(F.lit(1)) - F.count(x)) * 100.0 / F.greatest(F.count(F.lit(1)), F.lit(1)), 2).alias("null_percent"),
                 (finite(F.avg(value)) if is_number else nothing).alias("mean"),
-                (finite(F.percentile(value, 0.5)) if is_number else nothing).alias("median"),
+                (finite(F.percentile(value, 0.5)) if is_number and not large else nothing).alias("median"),
                 (finite(F.stddev_samp(value)) if is_number else nothing).alias("std"),
                 (finite(F.min(value)) if is_number else nothing).alias("min"),
                 (finite(F.max(value)) if is_number else nothing).alias("max"),
@@ -283,6 +317,10 @@ def summary(frame: DataFrame, fields: Sequence[str] | None = None) -> DataFrame:
             ).alias(f"f{at}")
         )
     wide = frame.agg(*parts).select(F.explode(F.array(*(F.col(f"f{at}") for at in range(len(fields))))).alias("s")).select("s.*")
+    if large:
+        numbers = [f for f in fields if kind_of(frame, f) == "number"]
+        medians = [exact_quantiles(frame, [0.5], value=f).select(F.lit(f).alias("field"), finite(F.element_at("q", 1)).alias("__median")) for f in numbers]
+        wide = wide.join(F.broadcast(reduce(DataFrame.unionByName, medians)), "field", "left").withColumn("median", F.col("__median")).drop("__median")
     texts = [f for f in fields if kind_of(frame, f) == "text"]
     if texts:
         counted = []
@@ -308,23 +346,15 @@ def skew_kurtosis(value: Column) -> tuple[Column, Column]:
 
 
 def distribution_stats(frame: DataFrame, field: str) -> DataFrame:
-    """n, mean, median, std, min, max, q25, q75, skew, kurtosis of a numeric field, in one pass."""
+    """n, mean, median, std, min, max, q25, q75, skew, kurtosis of a numeric field, in one pass unless the table is large."""
     need(frame, field)
     v = F.col("v")
     skew, kurtosis = skew_kurtosis(v)
     rows = frame.select(numeric(frame, field).alias("v")).where("v is not null")
-    return rows.agg(
-        F.count("v").alias("n"),
-        finite(F.avg("v")).alias("mean"),
-        finite(F.percentile("v", 0.5)).alias("median"),
-        finite(F.stddev_samp("v")).alias("std"),
-        finite(F.min("v")).alias("min"),
-        finite(F.max("v")).alias("max"),
-        finite(F.percentile("v", 0.25)).alias("q25"),
-        finite(F.percentile("v", 0.75)).alias("q75"),
-        finite(skew).alias("skew"),
-        finite(kurtosis).alias("kurtosis"),
-    )
+    moments = {"n": F.count("v"), "mean": finite(F.avg("v")), "std": finite(F.stddev_samp("v")), "min": finite(F.min("v")), "max": finite(F.max("v")), "skew": finite(skew), "kurtosis": finite(kurtosis)}
+    at = {"median": 0.5, "q25": 0.25, "q75": 0.75}
+    stats = with_quantiles(rows, [c.alias(name) for name, c in moments.items()], "v", **at).withColumns({name: finite(name) for name in at})
+    return stats.select("n", "mean", "median", "std", "min", "max", "q25", "q75", "skew", "kurtosis")
 
 
 def bin_count(bounds: Column, bins: int | str) -> Column:
@@ -347,7 +377,9 @@ def histogram(frame: DataFrame, field: str, bins: int | str = "auto") -> DataFra
     """
     need(frame, field)
     rows = frame.select(numeric(frame, field).alias("v")).where("v is not null and not isnan(v)")
-    bounds = rows.agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.percentile("v", 0.25).alias("q25"), F.percentile("v", 0.75).alias("q75")).where("n > 0")
+    ends = (F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    fixed = isinstance(bins, int) or bins.strip().isdigit()
+    bounds = (rows.agg(*ends) if fixed else with_quantiles(rows, ends, "v", q25=0.25, q75=0.75)).where("n > 0")
     flat = F.col("hi") == F.col("lo")
     edges = bounds.select(F.struct("*").alias("b")).select(bin_count(F.col("b"), bins).alias("k"), F.col("b.lo").alias("lo"), F.col("b.hi").alias("hi"))
     edges = edges.select("k", F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"), F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"))
@@ -371,7 +403,8 @@ def value_counts(frame: DataFrame, field: str, limit: int = 30) -> DataFrame:
 
 
 def _fences(rows: DataFrame) -> DataFrame:
-    stats = rows.agg(F.count("value").alias("n"), F.percentile("value", 0.25).alias("q1"), F.percentile("value", 0.75).alias("q3"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
+    moments = (F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
+    stats = with_quantiles(rows, moments, "value", q1=0.25, q3=0.75)
     spread = F.col("q3") - F.col("q1")
     return stats.withColumns({"low": F.col("q1") - 1.5 * spread, "high": F.col("q3") + 1.5 * spread})
 
