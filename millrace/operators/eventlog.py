@@ -2,7 +2,7 @@
 
 Checks over a log partition by its root.  A root may hold a third of all events, so gaps and order
 are found by an equi-join of neighbouring sequence numbers and by partial aggregates, not by a window
-over one root; only numbering, which is sequential by nature, is cut into slices of arrival time.
+over one root; what needs the order of all of a root's events runs in slices of it.
 """
 
 from __future__ import annotations
@@ -10,6 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.sliced import with_position, with_previous
+
+#: Numbers, and seconds, of one slice of a root's order.
+SLICE_NUMBERS = 65_536
+SLICE_SECONDS = 600
+
+
 def priority_rank(priority: str = "priority") -> Column:
     return F.when(F.col(priority) == "high", 0).when(F.col(priority) == "normal", 1).otherwise(2)
 
@@ -91,8 +98,8 @@ def producer_order(events: DataFrame) -> DataFrame:
     """event_id of events whose producer number isn't above that of the event before in the same stream of a root."""
     keys = ["root_execution_id", "producer_component", "producer_instance_id"]
     one = events.where("event_id is not null and sequence is not null and producer_sequence is not null").groupBy("event_id").agg(*(F.min(c).alias(c) for c in (*keys, "sequence", "producer_sequence")))
-    before = Window.partitionBy(*keys).orderBy("sequence", "event_id")
-    return one.withColumn("last", F.lag("producer_sequence").over(before)).where("producer_sequence <= last").select("event_id")
+    ordered = with_previous(one, keys, F.floor(F.col("sequence") / SLICE_NUMBERS), ["sequence", "event_id"], "producer_sequence", "last")
+    return ordered.where("producer_sequence <= last").select("event_id")
 
 
 def open_operations(events: DataFrame) -> DataFrame:
@@ -121,16 +128,20 @@ def appended(log: DataFrame, fresh: DataFrame) -> DataFrame:
     known = log.join(roots, "root_execution_id", "left_semi")
     last = known.groupBy("root_execution_id").agg(F.max("sequence").alias("last_sequence"), F.max_by("event_id", F.struct("sequence", "event_id")).alias("last_event_id"))
     last_own = known.groupBy(*stream).agg(F.max("producer_sequence").alias("last_own"))
-    by_root = Window.partitionBy("root_execution_id").orderBy("occurred_at", "event_id")
-    by_stream = Window.partitionBy(*stream).orderBy("occurred_at", "event_id")
-    rows = new.join(last, "root_execution_id", "left").join(last_own, stream, "left")
+    order = ["occurred_at", "event_id"]
+    # Slices of time; events without a time come first, as in the order.
+    slice_of = F.coalesce(F.floor(F.unix_micros(F.col("occurred_at").cast("timestamp")) / (SLICE_SECONDS * 1_000_000)), F.lit(-(1 << 62)))
+    rows = with_position(new, ["root_execution_id"], slice_of, [F.col(c) for c in order], "place")
+    rows = with_previous(rows, ["root_execution_id"], slice_of, order, "event_id", "event_before")
+    rows = with_position(rows, stream, slice_of, [F.col(c) for c in order], "own_place")
+    rows = rows.join(last, "root_execution_id", "left").join(last_own, stream, "left")
     rows = rows.withColumns(
         {
-            "sequence": F.coalesce("last_sequence", F.lit(0)) + F.row_number().over(by_root),
-            "producer_sequence": F.coalesce("last_own", F.lit(0)) + F.row_number().over(by_stream),
-            "caused_by_event_id": F.coalesce(F.lag("event_id").over(by_root), F.col("last_event_id")),
+            "sequence": F.coalesce("last_sequence", F.lit(0)) + F.col("place"),
+            "producer_sequence": F.coalesce("last_own", F.lit(0)) + F.col("own_place"),
+            "caused_by_event_id": F.coalesce("event_before", "last_event_id"),
         }
-    )
+    ).drop("place", "own_place", "event_before")
     body = F.to_json(F.struct("caused_by_event_id", "event_id", "event_type", "payload", "producer_sequence", "root_execution_id", "sequence"))
     return rows.drop("last_sequence", "last_event_id", "last_own").withColumn("content_hash", F.concat(F.lit("sha256:"), F.sha2(body, 256)))
 

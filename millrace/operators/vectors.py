@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.scalars import cut_text
+from millrace.operators.sliced import with_position
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -110,9 +111,13 @@ def centroids(points: DataFrame, group: str, vector: str = "vector") -> DataFram
 
 
 def by_centrality(points: DataFrame, centres: DataFrame, group: str, key: str = "id", vector: str = "vector") -> DataFrame:
-    """Points with their cosine to their group's centroid and rank by it."""
+    """Points with their cosine to their group's centroid and rank by it; without a cosine they come last.
+
+    Groups may be of any size: ranks are taken in slices of the cosine.
+    """
     joined = points.join(centres, group).withColumn("centrality", cosine(F.col(vector), F.col("centroid")))
-    return joined.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(F.desc("centrality"), key)))
+    slice_of = F.coalesce(F.floor((1 - F.col("centrality")) * 4096), F.lit(1 << 20))
+    return with_position(joined, [group], slice_of, [F.desc_nulls_last("centrality"), F.col(key)], "rank").withColumn("rank", F.col("rank").cast("int"))
 
 
 def distinct_greedy(candidates: DataFrame, group: str, order: str, vector: str = "vector", most_alike: float = 0.9) -> DataFrame:
