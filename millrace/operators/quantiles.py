@@ -10,7 +10,7 @@ large group; no task ever holds a group.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -21,6 +21,8 @@ from millrace.session import SharedTables
 #: Values up to which a group's distinct ones may be held in one buffer.
 MOST_IN_ONE = 500_000
 BINS = 4_096
+#: Large groups whose keys and ranges are broadcast at most; more are joined as the planner sees fit.
+MOST_BROADCAST = 100_000
 
 
 def is_large(rows: DataFrame, most: int | None = None) -> bool:
@@ -51,14 +53,14 @@ def exact_quantiles(rows: DataFrame, at: Sequence[float], keys: Sequence[str] =
     sizes = rows.groupBy(*names).agg(F.count("x").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).where(F.col("n") > most)
     large = store.put("large", sizes)
     same = lambda other: reduce(Column.__and__, (rows[k].eqNullSafe(other[k]) for k in names))
-    # A large group has more than ``most`` rows, so there are fewer of them than the table has rows by that.
-    few = F.broadcast(large.select(*names))
+    sent = F.broadcast if large.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else lambda table: table
+    few = sent(large.select(*names))
     small = rows.join(few, same(few), "left_anti").groupBy(*names).agg(F.percentile("x", F.array(*map(F.lit, at))).alias("q"))
     targets = store.put("targets-0", _targets(large, names, at))
     step = 0
     while not targets.where("low < high").isEmpty():
         step += 1
-        targets = store.put(f"targets-{step}", _narrowed(rows, targets, names))
+        targets = store.put(f"targets-{step}", _narrowed(rows, targets, names, sent))
     found = targets.groupBy(*names, "at").agg(F.sum(F.col("weight") * F.col("low")).alias("v"))
     hot = found.groupBy(*names).agg(F.array_sort(F.collect_list(F.struct("at", "v"))).alias("q")).withColumn("q", F.transform("q", lambda s: s["v"]))
     return small.unionByName(hot).select(*keys, "q")
@@ -76,9 +78,9 @@ def _targets(large: DataFrame, names: list[str], at: Sequence[float]) -> DataFra
     return each.select(*names, "low", "high", "below", "r.*").where("weight > 0")
 
 
-def _narrowed(rows: DataFrame, targets: DataFrame, names: list[str]) -> DataFrame:
+def _narrowed(rows: DataFrame, targets: DataFrame, names: list[str], sent: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The targets with the range of each cut to the bin that holds its rank."""
-    ranges = F.broadcast(targets.where("low < high").select(*names, "low", "high").distinct())
+    ranges = sent(targets.where("low < high").select(*names, "low", "high").distinct())
     group = reduce(Column.__and__, (rows[k].eqNullSafe(ranges[k]) for k in names))
     held = rows.join(ranges, group & (F.col("x") >= F.col("low")) & (F.col("x") <= F.col("high")))
     held = held.select(*(ranges[k] for k in names), "low", "high", "x")
