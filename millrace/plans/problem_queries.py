@@ -84,7 +84,29 @@ tops AS (
   FROM n)
 """
 
+def _opened(value: str) -> str:
+    """The JSON object or list that a JSON string spells, or the value."""
+    inner = f"json_extract_string({value}, '$')"
+    return f"CASE WHEN json_type({value}) = 'VARCHAR' AND regexp_matches({inner}, '^\\s*[\\[{{{{]') AND json_valid({inner}) THEN {inner}::JSON ELSE {value} END".replace("{{", "{")
+
+
+P5_SQL = f"""WITH RECURSIVE records AS (
+  SELECT DISTINCT execution_id AS record_id, payload AS j FROM executions WHERE execution_id IS NOT NULL AND json_valid(payload)
+  UNION ALL SELECT DISTINCT event_id, envelope FROM execution_events WHERE event_id IS NOT NULL AND json_valid(envelope)),
+nodes(record_id, value, name, path, near, element) AS (
+  SELECT record_id, {_opened("j::JSON")}, '', '', '', false FROM records
+  UNION ALL
+  SELECT record_id, value, name, CASE WHEN single THEN path || '[0]' ELSE path END, near, single OR (listed AND json_type(value) = 'OBJECT') FROM (
+    SELECT *, NOT listed AND json_type(value) = 'OBJECT' AND name IN ({", ".join(f"'{k}'" for k in sorted(flatten.LIST_KEYS))}) AS single FROM (
+      SELECT n.record_id, {_opened("c.value")} AS value, json_type(n.value) = 'ARRAY' AS listed, CASE WHEN json_type(n.value) = 'ARRAY' THEN n.name ELSE c.key END AS name,
+        CASE WHEN json_type(n.value) = 'ARRAY' THEN n.path || '[' || c.key || ']' WHEN n.path = '' THEN c.key ELSE n.path || '.' || c.key END AS path,
+        CASE WHEN n.element THEN n.path ELSE n.near END AS near
+      FROM nodes n, json_each(n.value) c) s) t
+  WHERE json_type(value) IN ('OBJECT', 'ARRAY'))
+SELECT DISTINCT record_id, path AS node_path, near AS parent_path FROM nodes WHERE element"""
+
 ORACLES = {
+    "p5_found": P5_SQL,
     "p1_found": P1_CTE + "SELECT DISTINCT root AS root_execution_id, hour_id, outcome FROM outcomes WHERE outcome <> 'on_time'",
     "p1_hours": P1_CTE
     + """SELECT root AS root_execution_id, hour_id, count(*) FILTER (outcome <> 'cut_off') AS n_counted,
