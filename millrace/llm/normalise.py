@@ -39,6 +39,26 @@ class _Plain(dict):
 
 
 _PLAIN = _Plain()
+_OTHER = re.compile(r"[^\x00-\x7f]")
+
+
+class _OfChar(dict):
+    """A translation by character in place of its code."""
+
+    def __init__(self, by_code: dict[int, str]) -> None:
+        super().__init__()
+        self.by_code = by_code
+
+    def __missing__(self, char: str) -> str:
+        self[char] = plain = self.by_code[ord(char)]
+        return plain
+
+    def over(self, text: str) -> str:
+        """What ``str.translate`` gives; letters beyond ASCII are few, so only these are looked up."""
+        return _OTHER.sub(lambda m: self[m[0]], text).lower()
+
+
+_PLAIN_OF = _OfChar(_PLAIN)
 
 
 def plain_words(text: str | None) -> list[str]:
@@ -51,7 +71,7 @@ def plain_words(text: str | None) -> list[str]:
         text = _TAG.sub(" ", text)
     if "&" in text:
         text = _ENTITY.sub(lambda m: html.unescape(m[0]), text)
-    text = text.lower() if text.isascii() else text.translate(_PLAIN)
+    text = text.lower() if text.isascii() else _PLAIN_OF.over(text)
     return _WORD.findall(text)
 
 
@@ -72,6 +92,13 @@ class _SameLength(dict):
 
 
 _SAME = _SameLength()
+_SAME_OF = _OfChar(_SAME)
+
+
+def _same_length(text: str) -> str:
+    out = _SAME_OF.over(text)
+    # Lower case of one letter may be two.
+    return out if len(out) == len(text) else text.translate(_SAME)
 
 
 def aligned(text: str) -> tuple[str, list[int] | None]:
@@ -80,5 +107,5 @@ def aligned(text: str) -> tuple[str, list[int] | None]:
         return text.lower(), None
     if _INVISIBLE.search(text):
         places = [i for i, c in enumerate(text) if c not in INVISIBLE]
-        return "".join(text[i] for i in places).translate(_SAME), places
-    return text.translate(_SAME), None
+        return _same_length("".join([text[i] for i in places])), places
+    return _same_length(text), None

@@ -250,7 +250,9 @@ def _opens(head: str) -> bool:
 
 def _structural_names(plain: str, text: str) -> Iterator[tuple[int, int]]:
     """Names by where they stand: the contact of a record, or beside an address in a mail header."""
-    for pattern in (_CONTACT, _MAILTO, _HEADER):
+    for pattern, mark in ((_CONTACT, '"'), (_MAILTO, "mailto:"), (_HEADER, " <")):
+        if mark not in text:
+            continue
         for found in pattern.finditer(text):
             words = found[1].replace(",", " ").split()
             if 2 <= len(words) <= 6 and all(_upper(w) or w.lower() in PARTICLES for w in words) and not any(c.isdigit() for c in found[1]):
@@ -518,7 +520,7 @@ COMMON = frozenset(COMMON_NAMES)
 def _prepared(text: str) -> tuple[str, str, list[int] | None, list[tuple[int, int]]]:
     """The plain and the cased aligned form of a text, the places of their characters, and the email addresses."""
     plain, places = aligned(text)
-    cased = text if places is None else "".join(text[i] for i in places)
+    cased = text if places is None else "".join([text[i] for i in places])
     emails: list[tuple[int, int]] = []
     if "@" in plain or " dot " in plain or "at)" in plain or "at]" in plain or "at}" in plain or "at>" in plain or "arroba" in plain or "&#64;" in plain or "%40" in plain:
         emails = list(_emails(plain))

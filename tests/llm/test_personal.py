@@ -3,7 +3,10 @@
 import re
 
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 
+from millrace.llm import normalise as N
 from millrace.llm import personal as P
 
 NAMES = P.COMMON | {"annika", "harriet", "kathe", "rocio", "elodie"}
@@ -131,3 +134,18 @@ def test_second_family_names_of_any_ending(name):
 @pytest.mark.parametrize(("text", "piece"), [("Laut Anna Krug Ende Mai", "Anna Krug"), ("met Sarah Fenwick Monday", "Sarah Fenwick"), ("JUAN VIDAL CON ELLA", "JUAN VIDAL"), ("Notes by Paul Fenlow And Others", "Paul Fenlow"), ("David Fenlow Ltd is", "David Fenlow")])
 def test_words_after_a_name_that_are_no_second_family_name(text, piece):
     assert [(k, text[a:b]) for a, b, k in P.spans(text)] == [("name", piece)]
+
+
+@given(st.text(alphabet=st.sampled_from("aZ9 .-İßŒﬁÉé\u0301ΑаВ５\u200b\u00a0–漢Σς𝐀K"), max_size=40))
+def test_aligned_text_keeps_its_places(text):
+    plain, places = N.aligned(text)
+    assert len(plain) == (len(text) if places is None else len(places))
+    if places is not None:
+        assert [text[i] for i in places] == [c for c in text if c not in N.INVISIBLE]
+    for at, char in enumerate(plain):
+        assert char == N.aligned(text[at if places is None else places[at]])[0]
+
+
+@given(st.text(alphabet=st.sampled_from("aZ9 .-ßŒﬁÉé\u0301ΑаВ５–漢"), max_size=40))
+def test_plain_letters_as_character_by_character(text):
+    assert N._PLAIN_OF.over(text) == text.translate(N._PLAIN)
