@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from millrace.functions.text import entity_valid, first_words, sentences, word_count
+from millrace.session import cut
 
 
 class Model(Protocol):
@@ -36,16 +37,42 @@ def applied(frame: DataFrame, text: str, model: Callable[[list[str]], list[str]]
     return frame.mapInPandas(run, schema)
 
 
-def map_reduce(chunks: DataFrame, leaf: Callable[[list[str]], list[str]], merge: Callable[[list[str]], str], key: str = "doc_id", position: str = "pos", text: str = "chunk") -> DataFrame:
-    """key, result: the leaf answers of a text's chunks, merged in order.  Failed tasks are retried by Spark."""
-    answered = applied(chunks.select(key, position, text), text, leaf).where("answer is not null")
-    parts = answered.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(position).alias("p"), "answer"))).alias("a"))
+def map_reduce(
+    chunks: DataFrame,
+    leaf: Callable[[list[str]], list[str]],
+    merge: Callable[[list[str]], str],
+    key: str = "doc_id",
+    position: str = "pos",
+    text: str = "chunk",
+    budget: int | None = None,
+    rounds: int = 3,
+) -> DataFrame:
+    """key, result: the leaf answers of a text's chunks, merged in order.  Failed tasks are retried by Spark.
+
+    With a ``budget`` of characters, a result of more than twice as many is cut into chunks of that
+    length and goes through again, at most ``rounds`` times.  Answers of a round are written before the
+    next, so that no model is asked twice.  Texts without an answer have no row.
+    """
 
     @F.pandas_udf("string")
     def reduced(lists: pd.Series) -> pd.Series:
         return lists.map(lambda x: merge(list(x)))
 
-    return parts.select(key, reduced(F.transform("a", lambda x: x["answer"])).alias("result"))
+    def once(rows: DataFrame) -> DataFrame:
+        answered = applied(rows.select(key, position, text), text, leaf).where("answer is not null")
+        parts = answered.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(position).alias("p"), "answer"))).alias("a"))
+        return parts.select(key, reduced(F.transform("a", lambda x: x["answer"])).alias("result"))
+
+    result = once(chunks)
+    for _ in range(rounds if budget else 0):
+        result = cut(result)
+        long = F.length("result") > 2 * budget
+        if result.where(long).isEmpty():
+            break
+        starts = F.sequence(F.lit(1), F.length("result"), F.lit(budget))
+        again = result.where(long).select(key, "result", F.posexplode(starts).alias(position, "__at")).select(key, position, F.substring(F.col("result"), F.col("__at"), F.lit(budget)).alias(text))
+        result = result.where(~F.coalesce(long, F.lit(False))).unionByName(once(again))
+    return result
 
 
 def translated(items: DataFrame, model: Callable[[list[str]], list[str]], key: str, text: str, most: int = 400) -> DataFrame:

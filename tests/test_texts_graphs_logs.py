@@ -227,3 +227,14 @@ def test_ends_progress_and_ledgers(spark):
     assert {tuple(r) for r in eventlog.progress(frame).collect()} == {("x", 3, 2), ("z", 1, 0)}
     assert {tuple(r) for r in eventlog.ledgers(frame).collect()} == {("x", "root", 5, 5), ("x", "leaf", 0, 7), ("z", "root", 2, 5)}
     assert eventlog.ledgers(frame.limit(0)).count() == 0 and eventlog.repeated_ends(frame.limit(0)).count() == 0
+
+
+def test_results_above_the_budget_go_through_again(spark):
+    rows = [("long", k, "ab" * 20) for k in range(6)] + [("short", 0, "xyxy"), ("none", 0, None)]
+    frame = spark.createDataFrame(rows, "doc_id string, pos int, chunk string")
+    halved = lambda texts: [t[: (len(t) + 1) // 2] for t in texts]
+    found = dict(map(tuple, extraction.map_reduce(frame, halved, "".join, budget=20).collect()))
+    # 240 characters become 120, then 60, then 30, which is within twice the budget.
+    assert found == {"long": "ab" * 15, "short": "xy"}
+    assert {k: len(v) for k, v in extraction.map_reduce(frame, halved, "".join, budget=20, rounds=1).collect()} == {"long": 60, "short": 2}
+    assert {k: len(v) for k, v in extraction.map_reduce(frame, halved, "".join).collect()} == {"long": 120, "short": 2}
