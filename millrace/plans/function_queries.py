@@ -266,6 +266,19 @@ def record_lists(spark, folder):
     return rows.select("execution_id", F.size(records.to_list(answer)).alias("n")).where("n > 0").distinct()
 
 
+@query()
+def columns_proposed(spark, folder):
+    """Columns proposed for a dataset, checked: the columns that extractions were asked for stand for a model's proposal."""
+
+    @F.pandas_udf("array<string>")
+    def checked(lists: pd.Series) -> pd.Series:
+        proposed = lists.map(lambda t: [c | {"description": c.get("description") or c.get("name")} for c in records.tolerant_list(t) if isinstance(c, dict)])
+        return proposed.map(lambda columns: [records.canonical(c) for c in records.proposed_columns(columns)])
+
+    asked = table(spark, folder, "executions").where("payload is not null").select("execution_id", F.get_json_object("payload", "$.columns").alias("columns")).where("columns is not null").distinct()
+    return asked.select("execution_id", F.posexplode(checked("columns")).alias("pos", "column"))
+
+
 @query()
 def page_fields(spark, folder):
     """Title, author, date and content of the texts that are pages."""
