@@ -272,7 +272,7 @@ def columns_proposed(spark, folder):
 
     @F.pandas_udf("array<string>")
     def checked(lists: pd.Series) -> pd.Series:
-        proposed = lists.map(lambda t: [c | {"description": c.get("description") or c.get("name")} for c in records.tolerant_list(t) if isinstance(c, dict)])
+        proposed = lists.map(lambda t: [c | {"description": c.get("description") or c.get("name") or c.get("key")} for c in records.tolerant_list(t) if isinstance(c, dict)])
         return proposed.map(lambda columns: [records.canonical(c) for c in records.proposed_columns(columns)])
 
     asked = table(spark, folder, "executions").where("payload is not null").select("execution_id", F.get_json_object("payload", "$.columns").alias("columns")).where("columns is not null").distinct()
