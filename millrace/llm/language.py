@@ -197,7 +197,8 @@ class _Counted:
             clusters /= np.maximum(np.linalg.norm(clusters, axis=1, keepdims=True), 1e-9)
             centres.append(clusters)
             of_language += [k] * len(clusters)
-        return LanguageModel(self.languages, weights, np.concatenate(centres), np.array(of_language), columns)
+        stacked = np.concatenate(centres) if centres else np.zeros((0, len(kept)), dtype=np.float32)
+        return LanguageModel(self.languages, weights, stacked, np.array(of_language, dtype=np.int64), columns)
 
 
 def fit(samples: list[tuple[str, str]], centroids: int = CENTROIDS) -> LanguageModel:
@@ -238,7 +239,8 @@ def fit_model(samples: DataFrame, documents: DataFrame | None = None, rows: int
     """Fit on labelled sentences and, if given, on a bounded draw of labelled documents.
 
     ``rows`` and ``texts`` bound what is drawn, by hash, from ``samples`` (language, sample) and
-    ``documents`` (doc_id, text, lang); rows without label or text are left out.
+    ``documents`` (doc_id, text, lang); rows without label or text are left out.  The languages are those
+    of the labelled sentences: without any, no text has a language.
     """
     wanted = samples.where("language is not null and sample is not null").select(F.lower(F.trim("language")).alias("l"), F.col("sample").alias("t")).distinct()
     picked = sorted((r["l"], r["t"]) for r in wanted.orderBy(F.xxhash64("t"), "l", "t").limit(rows).collect())
@@ -355,6 +357,9 @@ def _sliced(texts: list[str | None]) -> Iterator[tuple[int, int, list[list[tuple
 
 
 def _judged(model: LanguageModel, held: list[list[tuple[str, list[str]]]]) -> Iterator[list[tuple[int, float] | None]]:
+    if not model.languages:
+        yield from ([None] * len(found) for found in held)
+        return
     flat = [words for found in held for _, words in found]
     cosines = model.cosines(flat) if flat else np.zeros((0, len(model.languages)), np.float32)
     at = 0

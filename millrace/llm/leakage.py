@@ -282,7 +282,7 @@ def leaks(documents: DataFrame, items: DataFrame, id_column: str = "doc_id", tex
 
 
 def leak_report(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """item_id, n_documents: how many documents hold each item; items that leaked nowhere have 0."""
+    """item_id, n_documents: how many documents hold each item; items that leaked nowhere have 0, those without an id no row."""
     found = leaks(documents, items).groupBy("item_id").agg(F.count("doc_id").alias("n_documents"))
-    every = items.select("item_id").distinct()
+    every = items.select("item_id").where("item_id is not null").distinct()
     return every.join(found, "item_id", "left").select("item_id", F.coalesce("n_documents", F.lit(0)).alias("n_documents"))

@@ -109,3 +109,11 @@ def test_fit_from_tables(spark):
     samples = spark.createDataFrame([*SENTENCES, (None, "x"), ("en", None)], "language string, sample string")
     documents = spark.createDataFrame([(1, SENTENCES[0][1], "en"), (2, None, "en"), (3, "x", None)], "doc_id long, text string, lang string")
     assert L.fit_model(samples, documents).languages == ["de", "en", "es", "fr"]
+
+
+def test_without_labelled_sentences_no_text_has_a_language(spark):
+    samples = spark.createDataFrame([], "language string, sample string")
+    documents = spark.createDataFrame([(1, SENTENCES[0][1], "en"), (2, None, None)], "doc_id long, text string, lang string")
+    model = L.fit_model(samples, documents)
+    assert model.languages == [] and L.fit_model(samples).languages == []
+    assert L.wrong_labels(documents, model).count() == 0 and L.segments(documents, model).count() == 0
