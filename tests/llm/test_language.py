@@ -93,9 +93,11 @@ def test_fit_is_the_same_in_any_process():
     """The order of sets differs from process to process; the model doesn't."""
     import subprocess
     import sys
+    from pathlib import Path
 
+    root = str(Path(__file__).resolve().parents[2])
     code = "from millrace.llm import language as L; from tests.llm.test_language import SENTENCES as S; print(L.refit(S[::2], S[1::2]).centroids.sum(axis=0)[:50].tolist())"
-    found = {subprocess.run([sys.executable, "-c", code], env={"PYTHONHASHSEED": seed, "PYTHONPATH": "."}, capture_output=True, text=True, check=True).stdout for seed in "123"}
+    found = {subprocess.run([sys.executable, "-c", code], env={"PYTHONHASHSEED": seed, "PYTHONPATH": root}, cwd=root, capture_output=True, text=True, check=True).stdout for seed in "123"}
     assert len(found) == 1
 
 
