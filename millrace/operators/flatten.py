@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.session import spread
+
 #: Keys whose value is a list by contract, even where a single object stands there.
 LIST_KEYS = frozenset(
     "aggregations all any attachments columns documents entries filters hits messages notes options reservations sections sort "
@@ -176,7 +178,7 @@ def schema_graph(records: DataFrame, json_column: str, list_keys: frozenset[str]
             schema=pa.schema([("around", pa.string()), ("element", pa.string()), ("repeated", pa.bool_()), ("records", pa.int64())]),
         )
 
-    edges = records.select(json_column).mapInArrow(scan, "around string, element string, repeated boolean, records long")
+    edges = spread(records.select(json_column)).mapInArrow(scan, "around string, element string, repeated boolean, records long")
     return edges.groupBy("around", "element").agg(F.max("repeated").alias("repeated"), F.sum("records").alias("records"))
 
 
@@ -280,7 +282,7 @@ def shred(
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, (_, t) in zip(out, fields, strict=True)], schema=schema)
 
     wide = "table_name string, record_id string, node_path string, parent_path string, owner_path string, is_element boolean, ordinal int"
-    rows = records.select(F.col(id_column).cast("string"), F.col(json_column).cast("string")).mapInArrow(run, wide + (", columns string" if with_columns else ""))
+    rows = spread(records.select(F.col(id_column).cast("string"), F.col(json_column).cast("string"))).mapInArrow(run, wide + (", columns string" if with_columns else ""))
     return rows
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from millrace.functions import dates, markup, records, scalars, segments, text
 from millrace.operators import eventlog, extraction, graph, vectors
 from millrace.plans.registry import Query, registrar
+from millrace.session import spread
 from millrace.sources import readers
 
 QUERIES: dict[str, Query] = {}
@@ -20,7 +21,9 @@ query = registrar(QUERIES, ORACLES)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    rows = spark.read.parquet(f"{folder}/{name}.parquet")
+    # Work on texts is heavy for its bytes: a table of few splits is spread over all tasks.
+    return spread(rows) if name == "documents" else rows
 
 
 def _texts(spark: SparkSession, folder: str) -> DataFrame:
